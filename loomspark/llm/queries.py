@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op10_mixing": mixing.op10_mixing,
 }
 SQL = {
