@@ -10,9 +10,9 @@ targets) is used up: there every source stands at its own target, time 1, and
 the document over the cut gives its first words only.
 
 No row waits for a whole source: the shuffle hash deals a source's rows to
-buckets of about `bucket_rows` rows; buckets are summed, the small table of
-bucket sums gets its running totals, and each row adds the running total inside
-its own bucket. Only (doc_id, source, size, hash) are shuffled, never texts.
+as many buckets as each then has rows (the square root of the source's rows);
+buckets are summed, the table of bucket sums gets its running totals, and each
+row adds the running total inside its own bucket. Only (doc_id, source, size, hash) are shuffled, never texts.
 
 Null and empty texts have size 0 and are taken 0 times; a null source is a
 source of its own, last in order; repeated rows are rows like any others; an
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, free_name, stored, table
 
-REPEATS, WEIGHTS, BUCKET_ROWS = 3, 3, 20_000
+REPEATS, WEIGHTS = 3, 3
 
 
 def word_count(text: Column) -> Column:
@@ -63,7 +63,7 @@ def source_targets(sources: DataFrame, repeats: int = REPEATS, weights: int = WE
     return s.select("source", "source_size", "n_rows", target.alias("target"))
 
 
-def mix(docs: DataFrame, repeats: int = REPEATS, weights: int = WEIGHTS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix(docs: DataFrame, repeats: int = REPEATS, weights: int = WEIGHTS) -> DataFrame:
     """doc_id, size, source, source_size, target, taken, finish_time of every
     row of docs, range-sorted by the virtual finish time of its first pass.
 
@@ -72,7 +72,7 @@ def mix(docs: DataFrame, repeats: int = REPEATS, weights: int = WEIGHTS, bucket_
     sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_hash(F.col("doc_id")).alias("h")))
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), repeats, weights)
     # One row a source: far below the rows, and joined by Spark as its measured size allows.
-    sources = stored(sources.withColumn("buckets", F.ceil(F.col("n_rows") / bucket_rows)))
+    sources = stored(sources.withColumn("buckets", F.ceil(F.sqrt("n_rows"))))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     rows = sized.join(sources, same(sized, sources)).select(sized["*"], "source_size", "target", "buckets")
     rows = rows.withColumn("bucket", F.floor(F.col("h") / (F.lit(float(1 << 60)) / F.col("buckets"))).cast("long"))
