@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import mixing, packing, simhash, token_counts
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op4_token_counts": token_counts.op4_token_counts,
+    "op5_packing": packing.op5_packing,
     "op10_mixing": mixing.op10_mixing,
 }
 SQL = {
