@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, simhash, token_counts
+from . import mixing, packing, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_packing": packing.op5_packing,
+    "op8_quality": quality.op8_quality,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
 }
 SQL = {
