@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import uuid
 from collections.abc import Callable
@@ -80,17 +81,22 @@ class WordCache(dict):
         return value
 
 
+def literal(values: list, kind: str) -> Column:
+    """A constant array, as one folded expression whatever its length."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
 def range_bounds(df: DataFrame, column: str, buckets: int) -> list:
-    """At most buckets - 1 ascending cut values of a column, from one partial
-    aggregation (nulls take no part)."""
+    """At most buckets - 1 ascending cut values of a numeric column, from one
+    partial aggregation (nulls take no part)."""
     if buckets < 2:
         return []
-    shares = [k / buckets for k in range(1, buckets)]
+    shares = literal([k / buckets for k in range(1, buckets)], "double")
     row = df.agg(F.percentile_approx(column, shares, max(1000, 20 * buckets)).alias("b")).first()
     return sorted(row["b"] or [])
 
 
-def range_bucket(value: Column, bounds: list, tie: Column) -> Column:
+def range_bucket(value: Column, bounds: list, kind: str, tie: Column) -> Column:
     """The bucket of a value among the cut values, null first.
 
     Two short scans of about sqrt(n) cut values find it. Where one value fills
@@ -100,8 +106,7 @@ def range_bucket(value: Column, bounds: list, tie: Column) -> Column:
     if not bounds:
         return F.lit(0)
     width = max(1, int(len(bounds) ** 0.5))
-    flat = F.lit(bounds)
-    coarse = F.lit(bounds[width - 1 :: width])
+    flat, coarse = literal(bounds, kind), literal(bounds[width - 1 :: width], kind)
 
     def below(upto: Callable[[Column], Column]) -> Column:
         skipped = F.size(F.filter(coarse, upto)) * width

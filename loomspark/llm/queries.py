@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, simhash, token_counts, toxicity
+from . import licenses, merkle, mixing, packing, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_licenses": licenses.op2_licenses,
+    "op3_merkle": merkle.op3_merkle,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_packing": packing.op5_packing,
     "op8_quality": quality.op8_quality,
@@ -13,5 +15,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 SQL = {
+    "op2_licenses": licenses.OP2_SQL,
+    "op3_merkle": merkle.OP3_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
