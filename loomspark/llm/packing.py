@@ -17,9 +17,8 @@ sequence remain, and there every position is a possible cut, so it is divided
 into powers of two where that is cheaper than padding.
 
 A document's ids are those of the tokenizer without special tokens, then the
-end id. Tokens never cross white space in this tokenizer, so the ids of pieces
-between white space are kept in a bounded cache, as are those of the pre-tokens
-in them; texts where this isn't proven
+end id. The tokenizer merges each pre-token on its own, so the ids of pre-tokens
+are kept in a bounded cache; texts where the cut into them isn't proven
 (code points above 255, control separators, strings that may be special) go
 through the library whole. Null texts are empty: one piece with the end id
 only. Repeated rows and ids are packed one by one; a null doc_id comes first.
@@ -41,16 +40,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import WordCache, table
+from .common import table
 from .token_counts import LETTERS, NUMBERS, SPACES, byte_letters
 
 LENGTH, END, SEGMENT = 4096, 2, 1 << 20
 SEQUENCE_COST, SENTENCE_COST, HARD_COST, HARD_STEP = 8, 4, 64, 256
-#: Texts that the library encodes whole; a word's closing stop or comma before white space; the
-#: tokenizer's pre-tokens for code points up to 255; vocabulary entries that end a sentence.
+#: Marks of texts that the library encodes whole; the tokenizer's pre-tokens for code points up to
+#: 255; vocabulary entries that end a sentence.
 WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
-CLOSED = re.compile(r"([a-z\xdf-\xf6\xf8-\xff])([.,])[ \n]")
-PRE_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+PRE_TOKENS = re.compile(f"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 STOP = re.compile(r"[!-/:-@\[-`{-~]*[.!?]+[!-/:-@\[-`{-~]*</w>")
 
 
@@ -60,10 +58,9 @@ class Encoder:
     def __init__(self, path: str, limit: int = 400_000):
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.letters = byte_letters()
-        self.pre_tokens = WordCache(self.merged, 20_000)
-        self.chunks: dict[str, bytes] = {}
-        stops = (t for t in self.tokenizer.get_vocab() if STOP.fullmatch(t))
-        self.stops = np.array(sorted(map(self.tokenizer.token_to_id, stops)), "<u4")
+        self.known: dict[str, bytes] = {}
+        self.stops = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.stops[[n for t, n in self.tokenizer.get_vocab().items() if STOP.fullmatch(t)]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -73,11 +70,6 @@ class Encoder:
             word = "".join(map(self.letters.__getitem__, word.encode()))
         return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
 
-    def made(self, chunk: str) -> bytes:
-        if chunk.isalpha():
-            return self.merged(chunk)
-        return b"".join(map(self.pre_tokens.__getitem__, PRE_TOKENS.findall(chunk)))
-
     def ids(self, text: str) -> bytes:
         try:
             text.encode("latin-1")
@@ -86,22 +78,23 @@ class Encoder:
             plain = False
         if not plain:
             return self.whole(text)
-        chunks = CLOSED.sub(r"\1 \2 ", text.lower()).split()
-        found = list(map(self.chunks.get, chunks))
+        words = PRE_TOKENS.findall(text.lower())
+        found = list(map(self.known.get, words))
         if None in found:
-            if len(self.chunks) > self.limit:
-                self.chunks.clear()  # what is frequent is soon back
-            for k in (k for k, ids in enumerate(found) if ids is None):
-                chunk = chunks[k]
-                found[k] = ids = self.made(chunk)
-                if len(chunk) <= 32:
-                    self.chunks[chunk] = ids
+            if len(self.known) > self.limit:
+                self.known.clear()  # what is frequent is soon back
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                word = words[at]
+                found[at] = ids = self.known.get(word) or self.merged(word)
+                if len(word) <= 32:
+                    self.known[word] = ids
         return b"".join(found)
 
     def encode(self, text: str) -> tuple[bytes, list[int]]:
         ids = self.ids(text)
-        ends = np.flatnonzero(np.isin(np.frombuffer(ids, "<u4"), self.stops)) + 1
-        return ids, ends.tolist()
+        return ids, (np.flatnonzero(self.stops[np.frombuffer(ids, "<u4")]) + 1).tolist()
 
 
 @functools.cache
