@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, merkle, mixing, packing, quality, simhash, token_counts, toxicity
+from . import chat, licenses, merkle, mixing, packing, quality, simhash, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_merkle": merkle.op3_merkle,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_packing": packing.op5_packing,
+    "op6_chat": chat.op6_chat,
+    "op7_topk": topk.op7_topk,
     "op8_quality": quality.op8_quality,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
@@ -17,5 +19,7 @@ QUERIES = {
 SQL = {
     "op2_licenses": licenses.OP2_SQL,
     "op3_merkle": merkle.OP3_SQL,
+    "op6_chat": chat.OP6_SQL,
+    "op7_topk": topk.OP7_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }

@@ -34,10 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import free_name, stored, table
 from .components import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -269,14 +269,13 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     Should the smallest doc_id itself be repeated, one of its rows stays (the
     smallest by all columns' hash).
     """
-    from pyspark.sql import Window as W
-
     found = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = stored(found.groupBy("doc_id").agg(F.count("*").alias("n_rows")))
     single = docs.join(kept.where("n_rows = 1").select(F.col("doc_id").alias("kept_id")), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
     several = docs.join(kept.where("n_rows > 1").select(F.col("doc_id").alias("kept_id")), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    n = free_name("place", docs.columns)
     place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    several = several.select("*", place.alias("__place")).where("__place = 1").drop("__place")
+    several = several.select("*", place.alias(n)).where(F.col(n) == 1).drop(n)
     return single.unionByName(several)
 
 
