@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,6 +23,7 @@ ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read by Spark's own reader."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,6 +51,7 @@ def stored(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read again: the lineage ends
     here, a lost executor costs nothing, and Spark knows the table's size."""
     spark = df.sparkSession
+    ship(spark)
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
