@@ -146,7 +146,7 @@ def keyword(c: Column) -> Column:
     """A keyword candidate's normal form, null if it is none: signs to blanks, no
     numbers, no single Latin characters, Latin parts lower-case."""
     text = F.regexp_replace(humanize(c), f"(?U)[^\\w\\s{CJK}/-]", " ")
-    text = F.trim(F.lit(" -_/"), squeezed(text))
+    text = F.trim(squeezed(text), F.lit(" -_/"))
     cjk = F.regexp_like(text, F.lit(f"[{CJK}]"))
     bad = (text == "") | F.regexp_like(text, F.lit(r"(?U)^\d+$")) | (~cjk & ~text.contains(" ") & (F.length(text) < 2))
     return F.when(~bad, F.when(cjk, F.array_join(F.transform(F.split(text, " "), lambda p: F.when(F.regexp_like(p, F.lit(f"[{CJK}]")), p).otherwise(F.lower(p))), " ")).otherwise(F.lower(text)))
@@ -157,7 +157,7 @@ def focus_variants(c: Column) -> Column:
     raw = F.trim(c)
     one = squeezed(raw)
     forms = F.array(raw, one, F.replace(one, F.lit(" "), F.lit("_")), F.replace(one, F.lit("_"), F.lit(" ")), F.regexp_replace(one, r"(?U)[\s_]+", ""))
-    parts = F.filter(F.transform(F.split(one, r"(?U)[\s_;/,，、-]+"), F.trim), lambda p: F.length(p) > 1)
+    parts = F.filter(F.transform(F.split(one, r"(?U)[\s_;/,，、-]+"), lambda p: F.trim(p)), lambda p: F.length(p) > 1)
     return F.array_distinct(F.filter(F.transform(F.concat(forms, parts), F.lower), lambda v: F.length(v) > 0))
 
 

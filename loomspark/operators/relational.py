@@ -293,7 +293,7 @@ def normalize_metadata(df: DataFrame, institutions: dict[str, str] | None = None
     over aliases."""
     signs = "".join("\\" + c for c in delimiters) or ";"
     institution = F.trim(F.regexp_replace(F.coalesce("institution", F.lit("")), f"[{signs}]", ";"))
-    names = F.filter(F.transform(F.split(institution, ";"), F.trim), lambda p: p != "")
+    names = F.filter(F.transform(F.split(institution, ";"), lambda p: F.trim(p)), lambda p: p != "")
     names = F.slice(names, 1, 1) if keep_first else names
     table = F.create_map(*(F.lit(x) for kv in institutions.items() for x in kv)) if institutions else None
     if table is not None:
