@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -117,12 +119,23 @@ def similarity(weights: DataFrame, corpus: DataFrame, features: DataFrame | None
     left = indexed.select(F.col("doc_id").alias("x"), "term")
     right = placed.select(F.col("doc_id").alias("y"), "term")
     pairs = left.join(right, "term").where("x <> y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
-    vectors = w.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"))
-    a = vectors.select(F.col("doc_id").alias("doc_id_a"), F.col("v").alias("va"))
-    b = vectors.select(F.col("doc_id").alias("doc_id_b"), F.col("v").alias("vb"))
-    terms = F.map_entries("va")
-    dot = F.aggregate(terms, F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
-    scored = pairs.join(a, "doc_id_a").join(b, "doc_id_b").select("doc_id_a", "doc_id_b", F.round(dot, 6).alias("similarity")).where(F.col("similarity") >= least)
+    # Terms as 64-bit hashes in ascending order, so two vectors are merged in one pass.
+    listed = F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")))
+    vectors = w.groupBy("doc_id").agg(listed.alias("v")).select("doc_id", F.col("v.t").alias("t"), F.col("v.w").alias("w"))
+    a = vectors.select(F.col("doc_id").alias("doc_id_a"), F.col("t").alias("ta"), F.col("w").alias("wa"))
+    b = vectors.select(F.col("doc_id").alias("doc_id_b"), F.col("t").alias("tb"), F.col("w").alias("wb"))
+
+    @F.pandas_udf("double")
+    def dot(ta: pd.Series, wa: pd.Series, tb: pd.Series, wb: pd.Series) -> pd.Series:
+        out = np.zeros(len(ta))
+        for k, (x, u, y, v) in enumerate(zip(ta, wa, tb, wb, strict=True)):
+            at = np.searchsorted(y, x)
+            at[at == len(y)] = 0
+            same = y[at] == x
+            out[k] = u[same] @ v[at[same]]
+        return pd.Series(out)
+
+    scored = pairs.join(a, "doc_id_a").join(b, "doc_id_b").select("doc_id_a", "doc_id_b", F.round(dot("ta", "wa", "tb", "wb"), 6).alias("similarity")).where(F.col("similarity") >= least)
     if top > 0:
         scored = scored.orderBy(F.desc("similarity"), "doc_id_a", "doc_id_b").limit(top)
     have = [c for c in ("title", "year", "institution") if c in corpus.columns]

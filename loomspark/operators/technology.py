@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def half_up(c: Column) -> Column:
+    """Four digits; the last bits of a double don't decide a tie."""
+    return F.round(F.round(c, 10), 4)
+
+
 def indicators(term_year: DataFrame, metrics: DataFrame | None, year: int) -> DataFrame:
     """Growth, novelty, disruption and maturity of each term at a year: one pass
     of conditional sums over the term-year table, graph metrics joined (0 if missing)."""
@@ -29,8 +34,8 @@ def indicators(term_year: DataFrame, metrics: DataFrame | None, year: int) -> Da
     span = F.col("last_year") - F.col("first_year") + 1
     maturity = F.least(one, span / 10 * 0.4 + F.col("baseline_tf") / total * 0.6)
     return terms.select(
-        "term", "first_year", "last_year", "total_tf", "total_df", "recent_tf", "baseline_tf", F.round(growth, 4).alias("growth_rate"), F.round(novelty, 4).alias("novelty_score"),
-        F.round(disruption, 4).alias("disruption_score"), F.round(maturity, 4).alias("maturity_score"), F.round("betweenness", 6).alias("betweenness"), F.round("pagerank", 6).alias("pagerank"),
+        "term", "first_year", "last_year", "total_tf", "total_df", "recent_tf", "baseline_tf", half_up(growth).alias("growth_rate"), half_up(novelty).alias("novelty_score"),
+        half_up(disruption).alias("disruption_score"), half_up(maturity).alias("maturity_score"), F.round("betweenness", 6).alias("betweenness"), F.round("pagerank", 6).alias("pagerank"),
     )
 
 
@@ -57,4 +62,4 @@ def classify(rows: DataFrame, **thresholds: float) -> DataFrame:
     name, sure, why = F.lit("monitor"), F.lit(0.5), F.lit("between the thresholds: keep watching")
     for label, fits, confidence, reason in reversed(cases):
         name, sure, why = F.when(fits, label).otherwise(name), F.when(fits, F.least(F.lit(1.0), confidence)).otherwise(sure), F.when(fits, reason).otherwise(why)
-    return rows.select("term", name.alias("technology_class"), F.round(sure, 4).alias("confidence"), why.alias("primary_reason"), "novelty_score", "disruption_score", "maturity_score", "growth_rate")
+    return rows.select("term", name.alias("technology_class"), half_up(sure).alias("confidence"), why.alias("primary_reason"), "novelty_score", "disruption_score", "maturity_score", "growth_rate")

@@ -539,8 +539,8 @@ def link_prediction(spark, d):
 TECH = FILTERED + """, ty AS (SELECT term, year, count(*) AS tf, count(DISTINCT doc_id) AS df FROM ex GROUP BY ALL),
 t AS (SELECT term, min(year) AS first_year, max(year) AS last_year, CAST(sum(tf) AS BIGINT) AS total_tf, CAST(sum(df) AS BIGINT) AS total_df, CAST(coalesce(sum(tf) FILTER (year BETWEEN 2022 AND 2024), 0) AS BIGINT) AS recent_tf, CAST(coalesce(sum(tf) FILTER (year BETWEEN 2017 AND 2021), 0) AS BIGINT) AS baseline_tf FROM ty GROUP BY term),
 m AS (SELECT *, CASE WHEN term = 'the' THEN 0.12 ELSE 0.0 END AS betweenness, CASE WHEN term IN ('the', 'und') THEN 0.05 ELSE 0.0 END AS pagerank, (recent_tf + 1) / (baseline_tf + 1) AS g FROM t),
-ind AS (SELECT term, first_year, last_year, total_tf, total_df, recent_tf, baseline_tf, round(g, 4) AS growth_rate, round(least(1.0, CASE WHEN first_year >= 2021 THEN 1.0 ELSE 0.3 END * (1 / (1 + baseline_tf / total_tf)) * (1 + recent_tf / total_tf)), 4) AS novelty_score,
-  round(least(1.0, g / (1 + g) * 0.7 + least(1.0, betweenness * 5 + pagerank * 2) * 0.3), 4) AS disruption_score, round(least(1.0, (last_year - first_year + 1) / 10 * 0.4 + baseline_tf / total_tf * 0.6), 4) AS maturity_score, CAST(betweenness AS DOUBLE) AS betweenness, CAST(pagerank AS DOUBLE) AS pagerank FROM m)"""
+ind AS (SELECT term, first_year, last_year, total_tf, total_df, recent_tf, baseline_tf, CAST(round(CAST(g AS DECIMAL(30, 12)), 4) AS DOUBLE) AS growth_rate, CAST(round(CAST(least(1.0, CASE WHEN first_year >= 2021 THEN 1.0 ELSE 0.3 END * (1 / (1 + baseline_tf / total_tf)) * (1 + recent_tf / total_tf)) AS DECIMAL(30, 12)), 4) AS DOUBLE) AS novelty_score,
+  CAST(round(CAST(least(1.0, g / (1 + g) * 0.7 + least(1.0, betweenness * 5 + pagerank * 2) * 0.3) AS DECIMAL(30, 12)), 4) AS DOUBLE) AS disruption_score, CAST(round(CAST(least(1.0, (last_year - first_year + 1) / 10 * 0.4 + baseline_tf / total_tf * 0.6) AS DECIMAL(30, 12)), 4) AS DOUBLE) AS maturity_score, CAST(betweenness AS DOUBLE) AS betweenness, CAST(pagerank AS DOUBLE) AS pagerank FROM m)"""
 
 
 def tech(spark, d):
