@@ -69,7 +69,7 @@ class WordCache(dict):
     word is simply made again.
     """
 
-    def __init__(self, make: Callable, limit: int = 200_000, longest: int = 64):
+    def __init__(self, make: Callable, limit: int = 100_000, longest: int = 64):
         super().__init__()
         self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -15,6 +16,8 @@ from .common import WordCache, crc_fold, table
 
 #: Labelled rows that a classifier is fitted on at most (about; drawn by a hash of the id).
 SAMPLE_ROWS = 8_000
+#: Words that a worker keeps hashed, in each of two generations.
+CACHED_WORDS = 60_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
 
 
@@ -33,16 +36,22 @@ def shape(word: str) -> str:
 
 
 class Hasher:
-    """Turns a text into the array of its features (with repeats)."""
+    """Turns a text into the array of its words' hashes (with repeats), `width` numbers a word."""
 
     def __init__(self, make: Callable[[str], bytes], width: int):
-        self.words, self.width = WordCache(make), width
+        self.words, self.width = WordCache(make, CACHED_WORDS), width
 
     def hashes(self, text: str) -> np.ndarray:
         flat = np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), np.uint64)
         return flat.reshape(-1, self.width)
 
 
+@functools.cache
+def hasher(make: Callable[[str], bytes], width: int) -> Hasher:
+    """The worker's hasher for a word function: its bounded cache serves all tasks of the worker."""
+    return Hasher(make, width)
+
+
 def as_bytes(*hashes: int) -> bytes:
     return np.array(hashes, np.uint64).tobytes()
 
@@ -116,4 +125,4 @@ def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(beta[0]) / scale, 1e-6), float(beta[1])
 
 
-__all__ = ["Hasher", "MIX", "as_bytes", "collected", "fold", "kept", "key", "labelled", "logistic", "scored", "shape", "sigmoid", "table"]
+__all__ = ["MIX", "as_bytes", "collected", "fold", "hasher", "kept", "key", "labelled", "logistic", "scored", "shape", "sigmoid", "table"]

@@ -101,7 +101,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     counted = counted.groupBy("doc_id", "size", "source").agg(
         F.round(F.sum("taken") / F.count("*") / F.first("size")).cast("int").alias(n)
     )
-    counted = stored(counted.where(F.col(n) > 0))
+    # The counts grow with the corpus, so they are never broadcast: the same plan at every size.
+    counted = stored(counted.where(F.col(n) > 0)).hint("merge")
     match = docs["doc_id"].eqNullSafe(counted["doc_id"]) & docs["source"].eqNullSafe(counted["source"])
     match = match & (word_count(docs["text"]) == counted["size"])
     out = docs.join(counted, match).select(docs["*"], F.explode(F.sequence(F.lit(1), F.col(n))).alias(free_name("pass", docs.columns)))

@@ -55,7 +55,7 @@ STOP = re.compile(r"[!-/:-@\[-`{-~]*[.!?]+[!-/:-@\[-`{-~]*</w>")
 class Encoder:
     """A text's ids as little-endian 32-bit bytes, and where its sentences end."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 150_000):
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.letters = byte_letters()
         self.known: dict[str, bytes] = {}

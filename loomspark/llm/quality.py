@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .features import MIX, SAMPLE_ROWS, Hasher, as_bytes, collected, fold, kept, key, labelled, logistic, scored, shape, sigmoid, table
+from .features import MIX, SAMPLE_ROWS, as_bytes, collected, fold, hasher, kept, key, labelled, logistic, scored, shape, sigmoid, table
 
 BITS, FOLDS, HELD_OUT, THRESHOLD = 18, 4, 2, 0.7
 SMOOTH, COST, PASSES, MIN_ROWS = 1.0, 0.01, 12, 5
@@ -31,18 +31,10 @@ def word_hash(word: str) -> bytes:
 
 
 class Features:
-    """The n-gram hashes of a text; made anew in each worker."""
-
-    def __init__(self):
-        self.hasher = None
-
-    def __getstate__(self):
-        return {"hasher": None}
+    """The n-gram hashes of a text."""
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.hasher is None:
-            self.hasher = Hasher(word_hash, 2)
-        h = self.hasher.hashes(text)
+        h = hasher(word_hash, 2).hashes(text)
         w, s = h[:, 0], h[:, 1]
         same = w[:-1] == w[1:]
         runs = same[:-2] & same[1:-1] & same[2:]  # four equal words in a row

@@ -271,12 +271,15 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """
     found = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = stored(found.groupBy("doc_id").agg(F.count("*").alias("n_rows")))
-    single = docs.join(kept.where("n_rows = 1").select(F.col("doc_id").alias("kept_id")), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
-    several = docs.join(kept.where("n_rows > 1").select(F.col("doc_id").alias("kept_id")), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    # The kept ids grow with the corpus, so they are never broadcast: the same plan at every size.
+    ids = kept.select(F.col("doc_id").alias(k := free_name("kept_id", docs.columns)), F.col("n_rows").alias(m := free_name("n_rows", docs.columns)))
+    both = docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(ids[k])).select(docs["*"], m)
+    if not kept.where("n_rows > 1").take(1):
+        return both.drop(m)
     n = free_name("place", docs.columns)
     place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    several = several.select("*", place.alias(n)).where(F.col(n) == 1).drop(n)
-    return single.unionByName(several)
+    several = both.where(F.col(m) > 1).select("*", place.alias(n)).where(F.col(n) == 1).drop(n, m)
+    return both.where(F.col(m) == 1).drop(m).unionByName(several)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .features import MIX, SAMPLE_ROWS, Hasher, as_bytes, collected, fold, kept, key, labelled, logistic, scored, sigmoid, table
+from .features import MIX, SAMPLE_ROWS, as_bytes, collected, fold, hasher, kept, key, labelled, logistic, scored, sigmoid, table
 
 BITS, FOLDS, HELD_OUT, THRESHOLD = 20, 3, 1, 0.7
 ALPHA, BETA, L1, L2, PASSES = 0.3, 1.0, 3.0, 0.5, 6
@@ -34,18 +34,10 @@ def word_hash(word: str) -> bytes:
 
 
 class Features:
-    """The n-gram and skip-gram hashes of a text; made anew in each worker."""
-
-    def __init__(self):
-        self.hasher = None
-
-    def __getstate__(self):
-        return {"hasher": None}
+    """The n-gram and skip-gram hashes of a text."""
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.hasher is None:
-            self.hasher = Hasher(word_hash, 3)
-        h = self.hasher.hashes(text)
+        h = hasher(word_hash, 3).hashes(text)
         w = h[:, 0]
         return np.concatenate((w * MIX[0], h[:, 1] * MIX[0], h[:, 2] * MIX[0], w[:-1] * MIX[1] + w[1:] * MIX[2], w[:-2] * MIX[3] + w[2:] * MIX[1]))
 
