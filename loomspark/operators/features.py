@@ -28,8 +28,9 @@ def tfidf(corpus: DataFrame) -> DataFrame:
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = corpus.agg(F.count("*").alias("docs"))  # one row
     raw = tf.join(df, "term").join(F.broadcast(n)).select("doc_id", "term", (F.col("tf") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1)).alias("raw"))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("raw") / F.col("norm")).alias("w"))
+    # A window holds one document's distinct terms.
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("doc_id")))
+    return raw.select("doc_id", "term", (F.col("raw") / norm).alias("w"))
 
 
 def feature_terms(weights: DataFrame, count: int | None = 1000, digits: int | None = None) -> DataFrame:
@@ -46,6 +47,7 @@ def feature_terms(weights: DataFrame, count: int | None = 1000, digits: int | No
 
 def ranks(df: DataFrame, score: str, tie: str, buckets: int = 200) -> DataFrame:
     """Adds rank (from 1): by falling score, then by tie; without a global window."""
+    df = df.persist()  # read three times
     cuts = df.agg(F.percentile_approx(score, [k / buckets for k in range(1, buckets)], 10_000).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts), reverse=True)
     bucket = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: F.col(score) < c)) if cuts else F.lit(0)

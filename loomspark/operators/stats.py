@@ -45,8 +45,9 @@ def filter_terms(corpus: DataFrame, shortest: int = 2, least: int = 1, numeric:
     local = corpus.withColumn(TOKENS, F.filter(tokens, fits))
     if least <= 1:
         return local
-    rare = exploded(corpus, tokens=tokens).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") < least).select("term")
-    found = exploded(local.select("doc_id", TOKENS), "doc_id").join(rare, "term").groupBy("doc_id").agg(F.collect_set("term").alias("__rare"))
+    pairs = counted(corpus, tokens=tokens)  # used twice: its shuffle is made once and reused
+    rare = pairs.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") < least).select("term")
+    found = pairs.join(rare, "term").groupBy("doc_id").agg(F.collect_set("term").alias("__rare"))
     joined = local.join(found, "doc_id", "left")
     return joined.withColumn(TOKENS, F.when(F.col("__rare").isNull(), F.col(TOKENS)).otherwise(F.filter(TOKENS, lambda t: ~F.array_contains("__rare", t)))).drop("__rare")
 
@@ -62,7 +63,7 @@ def frequency(corpus: DataFrame, top: int | None = None) -> DataFrame:
     last = F.max("year") if has_year else F.lit(None).cast("int")
     pairs = counted(corpus, *(["year"] if has_year else []))
     terms = pairs.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"), year.alias("first_year"), last.alias("last_year"))
-    total = corpus.agg(F.sum(F.size(TOKENS)).alias("__total"))  # one row
+    total = pairs.agg(F.sum("n").alias("__total"))  # one row, from the same shuffle
     out = terms.join(F.broadcast(total)).select(
         "term", "tf", "df", "first_year", "last_year", (F.col("tf") / F.col("__total")).alias("ratio"),
         F.length("term").alias("word_length"), (F.col("tf") / F.col("df")).alias("avg_per_doc"),
@@ -79,9 +80,9 @@ def term_document(corpus: DataFrame) -> DataFrame:
 def term_year(corpus: DataFrame) -> DataFrame:
     """term, year, tf_in_year, df_in_year, ratio_in_year of documents with a year."""
     dated = corpus.where("year is not null")
-    terms = counted(dated, "year").groupBy("term", "year").agg(F.sum("n").alias("tf_in_year"), F.count("*").alias("df_in_year"))
-    # One row a year.
-    totals = dated.groupBy("year").agg(F.sum(F.size(TOKENS)).alias("__total"))
+    pairs = counted(dated, "year")
+    terms = pairs.groupBy("term", "year").agg(F.sum("n").alias("tf_in_year"), F.count("*").alias("df_in_year"))
+    totals = pairs.groupBy("year").agg(F.sum("n").alias("__total"))  # one row a year, from the same shuffle
     return terms.join(totals, "year").select("term", "year", "tf_in_year", "df_in_year", (F.col("tf_in_year") / F.col("__total")).alias("ratio_in_year"))
 
 
@@ -111,8 +112,10 @@ def cooccurrence(corpus: DataFrame, width: int = 5, least: int = 2) -> DataFrame
 def group_terms(corpus: DataFrame, field: str) -> tuple[DataFrame, DataFrame]:
     """(group, term, n, docs) and (group, total); documents without a group are left out."""
     tagged = corpus.select("doc_id", F.trim(F.coalesce(lookup(corpus, field), F.lit(""))).alias("g"), TOKENS).where("g <> ''")
-    terms = counted(tagged, "g").groupBy("g", "term").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
-    return terms, tagged.groupBy("g").agg(F.sum(F.size(TOKENS)).alias("total"))
+    pairs = counted(tagged, "g")
+    # Read by several actions: kept (in memory or on disk) while it is in use.
+    terms = pairs.groupBy("g", "term").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).persist()
+    return terms, terms.groupBy("g").agg(F.sum("n").alias("total"))
 
 
 def group_compare(corpus: DataFrame, field: str, baseline: str, groups: Sequence[str] = (), least: int = 1) -> DataFrame:

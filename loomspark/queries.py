@@ -35,12 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table in fewer pieces than there are cores is dealt out by a key, so
+    text functions run on all of them; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 COUNTRY = {"de": "DE", "en": "US", "fr": "FR", "es": "ES"}
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     country = F.create_map(*(F.lit(x) for kv in COUNTRY.items() for x in kv))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("row_order"), F.substring(F.split("text", "\n")[0], 1, 120).alias("title"), F.col("text").alias("raw_text"),
         (F.lit(2015) + F.col("doc_id") % 10).cast("int").alias("year"), "source", F.col("source").alias("institution"), F.col("lang").alias("category_or_tag"), country[F.col("lang")].alias("country_or_region"),
     )
