@@ -23,7 +23,7 @@ def tfidf(corpus: DataFrame) -> DataFrame:
     Tokens with blanks count as several terms here. N counts all documents,
     empty ones too. One shuffle by (document, term), one by term, one by document.
     """
-    words = corpus.select("doc_id", F.explode(F.split(F.array_join(TOKENS, " "), " +")).alias("term")).where("term <> ''")
+    words = corpus.select("doc_id", F.explode_outer(F.split(F.array_join(TOKENS, " "), " +")).alias("term")).where("term <> ''")
     tf = words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = corpus.agg(F.count("*").alias("docs"))  # one row

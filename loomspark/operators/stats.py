@@ -18,8 +18,12 @@ TOKENS = "filtered_tokens"
 
 
 def exploded(corpus: DataFrame, *columns: str, tokens: str = TOKENS) -> DataFrame:
-    """One row a token: the columns named, and term."""
-    return corpus.select(*columns, F.explode(tokens).alias("term"))
+    """One row a token: the columns named, and term.
+
+    explode() would make Spark test the array's size below it, and so compute
+    the tokens twice; explode_outer() doesn't, and empty documents go after it.
+    """
+    return corpus.select(*columns, F.explode_outer(tokens).alias("term")).where("term is not null")
 
 
 def counted(corpus: DataFrame, *columns: str, tokens: str = TOKENS) -> DataFrame:
@@ -104,7 +108,7 @@ def window_pairs(tokens: Column, width: int) -> Column:
 
 def cooccurrence(corpus: DataFrame, width: int = 5, least: int = 2) -> DataFrame:
     """term_a < term_b, cooccurrence_count, score of pairs that share at least `least` windows."""
-    pairs = corpus.select(F.explode(window_pairs(F.col(TOKENS), width)).alias("p")).select(F.col("p.a").alias("term_a"), F.col("p.b").alias("term_b"))
+    pairs = corpus.select(F.explode_outer(window_pairs(F.col(TOKENS), width)).alias("p")).where("p is not null").select(F.col("p.a").alias("term_a"), F.col("p.b").alias("term_b"))
     counts = pairs.groupBy("term_a", "term_b").agg(F.count("*").alias("cooccurrence_count")).where(F.col("cooccurrence_count") >= least)
     return counts.withColumn("score", values.log_score(F.col("cooccurrence_count")))
 
