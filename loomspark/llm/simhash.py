@@ -34,9 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import free_name, stored, table
 from .components import components
 
@@ -263,23 +264,23 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, **options) -> DataFra
     return fps.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row for each component: that with its smallest doc_id.
+def deduplicated(docs: DataFrame, width: int = near_copies.WIDTH, similarity: float = near_copies.SIMILARITY) -> DataFrame:
+    """docs with one row for each component of near copies: that with its smallest doc_id.
 
-    Should the smallest doc_id itself be repeated, one of its rows stays (the
-    smallest by all columns' hash).
+    Near copies are texts whose `width`-word shingles have at least that Jaccard
+    similarity (see near_copies), not the links of operator 1. Rows are told
+    apart by a hash of all their columns, so null and repeated doc_ids keep a row
+    for every component; of a component's rows with the same smallest doc_id the
+    one with the smallest hash stays.
     """
-    found = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = stored(found.groupBy("doc_id").agg(F.count("*").alias("n_rows")))
-    # The kept ids grow with the corpus, so they are never broadcast: the same plan at every size.
-    ids = kept.select(F.col("doc_id").alias(k := free_name("kept_id", docs.columns)), F.col("n_rows").alias(m := free_name("n_rows", docs.columns)))
-    both = docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(ids[k])).select(docs["*"], m)
-    if not kept.where("n_rows > 1").take(1):
-        return both.drop(m)
-    n = free_name("place", docs.columns)
-    place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    several = both.where(F.col(m) > 1).select("*", place.alias(n)).where(F.col(n) == 1).drop(n, m)
-    return both.where(F.col(m) == 1).drop(m).unionByName(several)
+    found = near_copies.sets(docs, width, similarity)
+    group = components(near_copies.links(docs, found, width, similarity))
+    named = found.join(group, found["key"] == group["node"], "left").select(F.coalesce("root", "key").alias("root"), "best")
+    mark = free_name("mark", docs.columns)
+    kept = stored(named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.mark").alias(mark)))
+    # The kept rows grow with the corpus, so they are never broadcast: the same plan at every size.
+    both = docs.withColumn(mark, near_copies.row_mark(docs)).join(kept.hint("merge"), mark)
+    return both.dropDuplicates([mark]).select(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import json
 import random
+import re
 import zlib
 
 import numpy as np
@@ -68,6 +69,35 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def brute_kept(rows, width=5, similarity=0.8):
+    """Places of the rows that stay: the smallest id, nulls last, of each component; ties go to the first row."""
+    words = [[w.translate(common.ASCII_LOWER) for w in re.findall(common.WORD, t or "")] for _, t in rows]
+    sets = [{tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set() for w in words]
+    like = lambda a, b: len(a & b) >= similarity * len(a | b) - 1e-9
+    label = brute_components([(x, y) for x in range(len(rows)) for y in range(x + 1) if like(sets[x], sets[y])])
+    return sorted({min((k for k in label if label[k] == root), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k)) for root in set(label.values())})
+
+
+def test_near_copies_by_similarity(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for _ in range(40):
+        base = rng.choices(words, k=rng.randrange(3, 120))
+        for _ in range(rng.randrange(1, 6)):
+            copy = list(base)
+            for _ in range(rng.randrange(3)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute_kept(rows)
+    assert sorted(r.doc_id for r in simhash.deduplicated(df).collect()) == want and len(want) < len(rows)
+    # One word of 100 changed: five shingles of 96 on either side, Jaccard 91 / 101.
+    base = [f"v{k}" for k in range(100)]
+    pairs = [(0, " ".join(base)), (1, " ".join([*base[:50], "x", *base[51:]])), (2, " ".join([*base[:30], "x", *base[31:60], "y", *base[61:]])), (3, " ".join(base[:75]))]
+    assert [r.doc_id for r in simhash.deduplicated(spark.createDataFrame(pairs, df.schema)).collect()] == [k for k in brute_kept(pairs)] == [0, 3]
+
+
 def test_licenses(odd, empty):
     rows = {(r.doc_id, r.n_words): r for r in licenses.scan(odd).collect()}
     assert (rows[1, 9].n_base, rows[1, 9].first_word, rows[1, 9].last_word, rows[1, 9].base_labels) == (2, 3, 6, "gpl,mit")
