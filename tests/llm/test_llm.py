@@ -98,6 +98,16 @@ def test_near_copies_by_similarity(spark):
     assert [r.doc_id for r in simhash.deduplicated(spark.createDataFrame(pairs, df.schema)).collect()] == [k for k in brute_kept(pairs)] == [0, 3]
 
 
+def test_near_copies_of_null_and_repeated_ids(spark):
+    rng = random.Random(10)
+    texts = [" ".join(rng.choices([f"u{k}" for k in range(200)], k=60)) for _ in range(12)]
+    rows = [(None, t) for t in texts[:6]] + [(7, t) for t in texts[4:9]] + [(1, texts[8]), (3, texts[9]), (3, texts[0]), (3, texts[9]), (None, None), (None, " "), (9, texts[10] + " z"), (2, texts[10])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = simhash.deduplicated(df.repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got if (r.text or "").strip()) == sorted((rows[k][0] or 0, rows[k][1]) for k in brute_kept(rows) if (rows[k][1] or "").strip())
+    assert sum(not (r.text or "").strip() for r in got) == 1 and len(got) == len(brute_kept(rows)) == 12
+
+
 def test_licenses(odd, empty):
     rows = {(r.doc_id, r.n_words): r for r in licenses.scan(odd).collect()}
     assert (rows[1, 9].n_base, rows[1, 9].first_word, rows[1, 9].last_word, rows[1, 9].base_labels) == (2, 3, 6, "gpl,mit")
