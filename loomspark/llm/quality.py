@@ -12,7 +12,8 @@ feature, is broadcast. Rows are scored where they are read: no shuffle.
 Only rows outside the held-out fold are learnt from, and only texts are looked
 at. Features in fewer than MIN_ROWS examples have no weight. Null and empty
 texts have the score of the bias alone; repeated rows are scored alike; without
-labelled rows of both classes every score is 0.5.
+labelled rows of both classes every score is 0.5. If no feature got a weight (no
+such rows, or too few), every text has the same score, and `good` keeps them all.
 """
 
 from __future__ import annotations
@@ -83,6 +84,7 @@ class Model:
 
     def __init__(self, spark: SparkSession, weights: np.ndarray, bias: float, bits: int):
         self.shared, self.bits, self.features = spark.sparkContext.broadcast((weights, bias)), bits, Features()
+        self.learnt = bool(weights.any())
 
     def __call__(self, text: str) -> float:
         weights, bias = self.shared.value
@@ -102,8 +104,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that are predicted to be of low quality."""
-    return kept(docs, train(docs, labels), lambda s: s >= THRESHOLD)
+    """docs without the rows that are predicted to be of low quality; all of docs
+    if the labels taught nothing that tells texts apart."""
+    model = train(docs, labels)
+    return kept(docs, model, lambda s: s >= THRESHOLD) if model.learnt else docs
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -267,3 +267,12 @@ def test_classifiers(spark, odd, empty, module, label, bad):
     assert all(again[r.doc_id] == r.score for r in rows)
     assert all(0 <= r.score <= 1 for r in module.score(odd, model).collect()) and module.score(empty, model).count() == 0
     assert module.score(df, module.train(df, labels.limit(0))).first().score == 0.5
+
+
+def test_quality_without_a_sample_keeps_all(spark):
+    df = spark.createDataFrame([(k, f"text of row {k}") for k in range(50)], "doc_id bigint, text string")
+    none = spark.createDataFrame([], "doc_id bigint, quality int")
+    one_class = spark.createDataFrame([(k, 1) for k in range(50)], none.schema)
+    few = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, 0)], none.schema)
+    for labels in (none, one_class, few):
+        assert quality.good(df, labels).count() == 50
