@@ -1,8 +1,11 @@
 """License scans by an exact set-similarity join (operator 2), in DataFrame functions only.
 
 Base labels come from phrases whose words stand consecutively. The method's own
-labels come from templates: a text block (a line) matches a template if it holds
-at least THRESHOLD of the template's distinct words.
+labels come from templates: a text block matches a template if it holds at least
+THRESHOLD of the template's distinct words. Blocks are the lines and, for notices
+that are wrapped over several lines, all runs of as many consecutive words as
+the template has. Runs are looked at only in documents that hold enough of the
+template's words at all. OP2_SQL knows the lines only.
 
 The join is exact and prefix-filtered. All template words are ordered by their
 frequency in the corpus, rarest first; a block that holds `need` of a template's
@@ -87,6 +90,22 @@ def containment(own: list[str], threshold: float) -> Callable[[Column], Column]:
     return share
 
 
+def run_share(own: list[str], length: int, threshold: float) -> Callable[[Column, Column], Column]:
+    """The largest share of the template's words in `length` consecutive words
+    (tokens, and the template words among them), null below the threshold."""
+    need = math.ceil(threshold * len(own) - 1e-9)
+    template = literal(own, "string")
+
+    def share(tokens: Column, held: Column) -> Column:
+        # A best run may as well begin with one of the template's words.
+        starts = F.filter(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.array_contains(template, F.get(tokens, i - 1)))
+        most = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(template, F.slice(tokens, i, F.lit(length))))))
+        most = F.when(F.size(F.array_intersect(template, held)) >= need, most)
+        return F.when(most >= need, most / F.lit(len(own)))
+
+    return share
+
+
 def phrase_starts(tokens: Column, phrase: str) -> Column:
     """Places (from 0) where the phrase's words stand consecutively; looked for only if all its words occur."""
     parts = phrase.split()
@@ -109,6 +128,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     order = word_order(docs)
     rank = {w: k for k, w in enumerate(order)}
     templates = [(label, sorted(ws, key=rank.__getitem__)) for label, ws in template_words()]
+    lengths = [len(re.findall(WORDS, text.lower())) for _, text in TEMPLATES]
     prefixes = sorted({w for _, ws in templates for w in ws[: len(ws) - math.ceil(threshold * len(ws) - 1e-9) + 1]})
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("words", words(F.col("text")))
     for _, name in PHRASES:
@@ -118,10 +138,12 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     blocks = F.transform(F.split("text", "\n"), lambda line: F.array_intersect(literal(order, "string"), words(line)))
     blocks = F.when(F.arrays_overlap("words", literal(prefixes, "string")), F.filter(blocks, lambda b: F.size(b) > 0))
     rows = rows.withColumn("blocks", F.coalesce(blocks, F.array().cast("array<array<string>>")))
+    rows = rows.withColumn("held", F.array_intersect(literal(order, "string"), F.col("words")))
     best = []
     for k, (label, own) in enumerate(templates):
         name = f"t{k}"
-        rows = rows.withColumn(name, F.array_max(F.transform("blocks", containment(own, threshold))))
+        line = F.array_max(F.transform("blocks", containment(own, threshold)))
+        rows = rows.withColumn(name, F.greatest(line, run_share(own, lengths[k], threshold)(F.col("words"), F.col("held"))))
         best.append((label, F.col(name)))
     base = F.array(*(F.when(F.size(name) > 0, name) for _, name in PHRASES))
     more = F.array(*(F.when(c.isNotNull(), F.lit(label)) for label, c in best))

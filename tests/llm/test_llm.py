@@ -127,6 +127,20 @@ def test_license_join_against_brute_force(spark):
         assert got[k] == want - base[k]
 
 
+def test_wrapped_licenses(spark):
+    notices = {label: text for label, text in licenses.TEMPLATES if label in ("mpl", "bsd", "mit")}
+    rows = []
+    for text in notices.values():
+        words = text.split()
+        for width in (3, 7, 10):
+            lines = [" ".join(words[k : k + width]) for k in range(0, len(words), width)]
+            rows.append("Some code.\n\n# " + "\n# ".join(lines) + "\n\nimport os")
+    scattered = " other words stand here and there \n".join(notices["bsd"].split())
+    df = spark.createDataFrame([*enumerate(rows), (99, scattered)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(df).collect()}
+    assert got == {k: (label, 1.0) for k, label in enumerate(x for x in notices for _ in range(3))} | {99: ("", 0.0)}
+
+
 def test_merkle(spark, odd, empty):
     rows = merkle.with_next(odd).collect()
     order = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0))
