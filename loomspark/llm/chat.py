@@ -33,13 +33,13 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import record_batch, table
 
 # --- layouts -----------------------------------------------------------------
 
@@ -111,12 +111,12 @@ def mapped(record: dict, layout: dict) -> list[tuple[str, str]]:
 def record_turns(records: DataFrame, id_column: str, json_column: str) -> DataFrame:
     """conv_id, turn, role, text, fingerprint of JSON records of mixed layouts,
     one row a turn; a record of no known layout has one row with null turn."""
+    schema = T.StructType([T.StructField("conv_id", records.schema[id_column].dataType), *T.StructType.fromDDL("turn bigint, role string, text string, fingerprint string").fields])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for key, raw in zip(b["conv_id"].astype(object), b["raw"], strict=True):
-                key = None if pd.isna(key) else key
+            for key, raw in zip(b.column("conv_id").to_pylist(), b.column("raw").to_pylist(), strict=True):
                 try:
                     record = json.loads(raw or "null")
                 except ValueError:
@@ -128,11 +128,10 @@ def record_turns(records: DataFrame, id_column: str, json_column: str) -> DataFr
                     rows.append((key, None, None, None, print_))
                 else:
                     rows += [(key, k, role, text, print_) for k, (role, text) in enumerate(mapped(record, layout))]
-            yield pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text", "fingerprint"]).astype({"turn": "Int64"})
+            yield record_batch(rows, schema)
 
-    kind = records.schema[id_column].dataType.simpleString()
     source = records.select(F.col(id_column).alias("conv_id"), F.col(json_column).alias("raw"))
-    return source.mapInPandas(run, f"conv_id {kind}, turn bigint, role string, text string, fingerprint string")
+    return source.mapInArrow(run, schema)
 
 
 def table_turns(rows: DataFrame, id_column: str = "conv_id", turn_column: str = "turn") -> DataFrame:
@@ -206,23 +205,21 @@ def formatted(turns: DataFrame) -> DataFrame:
     """
     schema = T.StructType([T.StructField("conv_id", turns.schema["conv_id"].dataType)] + [T.StructField(n, k) for n, k in (("turn", T.LongType()), ("formatted", T.StringType()), ("start", T.LongType()), ("loss_start", T.LongType()), ("loss_length", T.LongType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, at = object(), 0
         for b in batches:
             rows = []
-            for key, turn, role, text in zip(b["conv_id"].astype(object), b["turn"].astype(object), b["role"], b["text"], strict=True):
-                key, turn = (None if pd.isna(x) else x for x in (key, turn))
+            for key, turn, role, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text")), strict=True):
                 if key != now:
                     now, at = key, 0
                 piece, first, length = written(role or "", text or "")
                 loss = role == "assistant"
                 rows.append((key, turn, piece, at, at + first if loss else None, length if loss else None))
                 at += len(piece)
-            out = pd.DataFrame(rows, columns=schema.names)
-            yield out.astype({n: "Int64" for n in ("turn", "start", "loss_start", "loss_length")})
+            yield record_batch(rows, schema)
 
     rows = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def digests(pieces: DataFrame) -> DataFrame:
@@ -230,17 +227,18 @@ def digests(pieces: DataFrame) -> DataFrame:
     turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     schema = T.StructType([pieces.schema["conv_id"]] + [T.StructField(n, k) for n, k in (("n_turns", T.LongType()), ("turns_sha256", T.StringType()), ("loss_chars", T.LongType()), ("loss_sha256", T.StringType()), ("formatted_chars", T.LongType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, reader, state = object(), None, None
 
         def row() -> tuple:
-            assert not reader.buffer, "formatted text that can't be read back"
+            if reader.buffer:
+                raise ValueError(f"formatted text of conversation {now} can't be read back")
             return now, state["n"], state["turns"].hexdigest(), state["loss"], state["sha"].hexdigest(), state["chars"]
 
         for b in batches:
             rows = []
-            for key, piece, loss_start, start, length in zip(b["conv_id"].astype(object), b["formatted"], b["loss_start"].astype(object), b["start"], b["loss_length"].astype(object), strict=True):
-                key = None if pd.isna(key) else key
+            columns = (b.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "start", "loss_length"))
+            for key, piece, loss_start, start, length in zip(*columns, strict=True):
                 if reader is None or key != now:
                     if reader is not None:
                         rows.append(row())
@@ -250,17 +248,17 @@ def digests(pieces: DataFrame) -> DataFrame:
                 for role, text in reader.feed(piece):
                     state["n"] += 1
                     state["turns"].update(f"{role}\n{text}\n".encode())
-                if not pd.isna(loss_start):
-                    at = int(loss_start) - int(start)
-                    text = plain(piece[at : at + int(length)])
+                if loss_start is not None:
+                    at = loss_start - start
+                    text = plain(piece[at : at + length])
                     state["loss"] += len(text)
                     state["sha"].update(text.encode())
             if rows:
-                yield pd.DataFrame(rows, columns=schema.names)
+                yield record_batch(rows, schema)
         if reader is not None:
-            yield pd.DataFrame([row()], columns=schema.names)
+            yield record_batch([row()], schema)
 
-    return pieces.mapInPandas(run, schema)
+    return pieces.mapInArrow(run, schema)
 
 
 PROBE = "\\### Assistant: </turn> ok"

@@ -6,10 +6,13 @@ import itertools
 import json
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import ship
 
@@ -57,6 +60,32 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extended(df: DataFrame, carried: list[str], made: Callable[[pa.RecordBatch], list], schema: str) -> DataFrame:
+    """The `carried` columns of df beside those that `made` finds for a batch,
+    which `schema` declares. Carried columns stay Arrow arrays: pandas would turn
+    a column of ids with a null into doubles and round large ones."""
+    new = T.StructType.fromDDL(schema)
+    whole = T.StructType([df.schema[c] for c in carried] + new.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), *map(pa.array, made(b))], names=whole.names)
+
+    return df.mapInArrow(run, whole)
+
+
+def record_batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    """Rows as an Arrow batch of the schema; integers stay exact beside nulls."""
+    kinds = to_arrow_schema(schema)
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+
+def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
+    """The texts of a batch, null as empty."""
+    return [t or "" for t in batch.column(column).to_pylist()]
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,11 +8,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, crc_fold, table
+from .common import WordCache, crc_fold, extended, table, texts
 
 #: Labelled rows that a classifier is fitted on at most (about; drawn by a hash of the id).
 SAMPLE_ROWS = 8_000
@@ -84,24 +85,23 @@ def collected(sample: DataFrame, features: Callable[[str], np.ndarray], bits: in
 def scored(docs: DataFrame, score: Callable[[str], float], folds: int, held_out: int, threshold: float) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs (doc_id, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = [score(t or "") for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": s, "predicted": [int(x >= threshold) for x in s]})
+    def made(b: pa.RecordBatch) -> list:
+        s = [score(t) for t in texts(b)]
+        return [s, pa.array([int(x >= threshold) for x in s], pa.int32())]
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", (crc_fold("doc_id", folds) == held_out).alias("held_out"))
-    return rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return extended(rows, ["doc_id", "held_out"], made, "score double, predicted int")
 
 
 def kept(docs: DataFrame, score: Callable[[str], float], passes: Callable[[float], bool]) -> DataFrame:
-    """The rows of docs whose text's score passes, scored where they are read."""
+    """The rows of docs whose text's score passes, scored where they are read;
+    all columns stay as they are, in Arrow batches."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b[[passes(score(t or "")) for t in b["text"]]]
+            yield b.filter(pa.array([passes(score(t)) for t in texts(b)], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def sigmoid(x: float) -> float:

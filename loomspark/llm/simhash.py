@@ -33,12 +33,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import free_name, stored, table
+from .common import extended, free_name, stored, table, texts
 from .components import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -70,13 +71,10 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fps = np.array([fingerprint(t, width) for t in b["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps})
+    def made(b: pa.RecordBatch) -> list:
+        return [np.array([fingerprint(t, width) for t in texts(b)], np.uint64).view(np.int64)]
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp bigint")
+    return extended(docs.select("doc_id", "text"), ["doc_id"], made, "fp bigint")
 
 
 # --- vantage-point trees -----------------------------------------------------

@@ -22,13 +22,12 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from .common import WordCache, table
+from .common import WordCache, extended, table, texts
 
 LIMIT = 1024
 #: Letters, numbers and white space among the code points up to 255.
@@ -110,15 +109,13 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs (doc_id, text)."""
     proven = docs.sparkSession.sparkContext.broadcast(prove(path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(b: pa.RecordBatch) -> list:
         counter = _counters.get(path) or _counters.setdefault(path, Counter(path, proven.value))
-        for b in batches:
-            texts = [t or "" for t in b["text"]]
-            n = [counter.count(t) for t in texts]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]})
+        own = texts(b)
+        n = [counter.count(t) for t in own]
+        return [[len(t.encode()) for t in own], n, [x > limit for x in n]]
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return extended(docs.select("doc_id", "text"), ["doc_id"], made, "n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
