@@ -3,21 +3,29 @@
 A text is cut into sections (at empty lines), a section into paragraphs (at line
 ends). A paragraph's node is the SHA-256 of its text, a section's that of its
 paragraphs' nodes, the root that of the sections' nodes: equal roots mean equal
-texts, and where two trees differ, the first differing section and in it the
-first differing paragraph locate the edit. Below the paragraphs, leaves of a few
-code points (LEAF, and FINE ones in the first HEAD code points, for short texts)
-hold 64-bit digests; the likeness of two fingerprints is the share of their
-leaves that agree place by place.
+texts, and where two trees differ, the differing branches locate the edits: the
+paragraphs between what the two have in common at their beginning and at their
+end (so what is put in or taken out moves nothing else), each told by section
+and paragraph.
+
+Below the paragraphs stand leaves of a few words. Their ends are told by the
+text itself (a blank behind certain letters, signs or digits), so leaves behind
+an insertion stay the same; in the first HEAD code points they are pieces of
+words, for short texts. The fingerprint is the root and, behind a colon, DIGITS
+hexadecimal digits of each leaf's MD5 in order. The likeness of two fingerprints
+is the number of leaves that both hold, wherever they stand and counted as often
+as they occur in both, divided by the larger number of leaves.
 
 The successor of each document is found without a global window: cut values of
 doc_id deal the rows to order buckets, and the first row of a bucket is also
 sent, as a guest, to the bucket before it (to the last one from the first). One
-shuffle carries each text once.
+shuffle carries each text once; a bucket is sorted by its task, on disk if need be.
 
-Null texts are empty; an empty text has one empty paragraph, no leaves, and is
-like another empty text (1.0). Equal doc_ids are ordered by a hash of the text;
-a null doc_id comes first; a single document is its own successor; an empty
-table gives an empty result. doc_id is numeric.
+Null texts are empty; a text without leaves (empty, or line ends only) is like
+one with the same root (1.0) and no other (0.0). Equal doc_ids are ordered by a
+hash of the text; a null doc_id comes first; a single document is its own
+successor; an empty table gives an empty result; extra columns are left out.
+doc_id is numeric.
 """
 
 from __future__ import annotations
@@ -27,7 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import literal, parts, range_bounds, range_bucket, table
 
-LEAF, FINE, HEAD, BUCKET_ROWS, MOST_BUCKETS = 16, 4, 64, 2_000, 20_000
+HEAD, DIGITS, BUCKET_ROWS, MOST_BUCKETS = 64, 6, 2_000, 20_000
+#: Leaves of the head and of the rest of a text.
+FINE, LEAF = "[^\n ]{1,4} ?| ", "[^\n]{16,38}?[esn.,:;!?0-9] |[^\n]{1,40}"
 
 
 def sha(text: Column) -> Column:
@@ -45,36 +55,74 @@ def root(nodes: Column) -> Column:
 
 
 def leaves(text: Column) -> Column:
-    """The leaves' digests in order; no leaf crosses a line end."""
+    """The leaves' digests in order."""
 
-    def cut(part: Column, width: int) -> Column:
-        return F.transform(F.regexp_extract_all(part, F.lit(f"[^\n]{{1,{width}}}\n?|\n"), F.lit(0)), lambda x: F.xxhash64(x))
+    def cut(part: Column, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(part, F.lit(pattern), F.lit(0)), lambda x: F.substring(F.md5(x.cast("binary")), 1, DIGITS))
 
     return F.concat(cut(F.substring(text, 1, HEAD), FINE), cut(F.substring(text, HEAD + 1, 2**31 - 1), LEAF))
 
 
+def fingerprint(nodes: Column, digests: Column) -> Column:
+    """The fingerprint of a tree and its leaves."""
+    return F.concat(root(nodes), F.lit(":"), F.array_join(digests, ""))
+
+
+def leaves_of(print_: Column) -> Column:
+    """The leaves' digests of a fingerprint."""
+    return F.regexp_extract_all(F.substring(print_, 66, 2**31 - 1), F.lit(f".{{{DIGITS}}}"), F.lit(0))
+
+
+def numbered(digests: Column) -> Column:
+    """Distinct values that stand for the digests: the n-th of equal ones gets its number."""
+
+    def told(ordered: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        return F.get(F.transform(F.array(starts), lambda at: runs(ordered, at)), F.lit(0))
+
+    def runs(ordered: Column, at: Column) -> Column:
+        def run(start: Column, k: Column) -> Column:
+            last = F.coalesce(F.get(at, k + 1), F.size(ordered)) - 1
+            return F.transform(F.sequence(start, last), lambda i: F.when(i == start, F.get(ordered, i)).otherwise(F.concat(F.get(ordered, i), (i - start).cast("string"))))
+
+        return F.flatten(F.transform(at, run))
+
+    repeated = F.get(F.transform(F.array(F.array_sort(digests)), told), F.lit(0))
+    return F.when(F.size(F.array_distinct(digests)) == F.size(digests), digests).otherwise(repeated)
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the leaves that agree place by place, 0 to 1."""
-    agree = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
-    most = F.greatest(F.size(a), F.size(b))
-    return F.when(most == 0, 1.0).otherwise(agree / most)
+    """Share of the leaves that two numbered lists have in common, 0 to 1; null if neither has any."""
+    return F.size(F.array_intersect(a, b)) / F.nullif(F.greatest(F.size(a), F.size(b)), F.lit(0))
+
 
+def differences(a: Column, b: Column) -> Column:
+    """The branches of tree b that differ from tree a, as places "section.paragraph" (from 1)."""
+    old, new = F.flatten(a), F.flatten(b)
+    text = lambda i: (i + 1).cast("string")
+    places = F.flatten(F.transform(b, lambda ps, s: F.transform(ps, lambda p, k: F.concat(text(s), F.lit("."), text(k)))))
 
-def first_difference(a: Column, b: Column) -> Column:
-    """1-based place of the first difference of two arrays, 0 if there is none."""
-    return F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True)
+    def alike(x: Column, y: Column) -> Column:
+        """How many first elements are equal."""
+        first = F.array_position(F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q)), True)
+        return F.when(first == 0, F.size(x)).otherwise(first - 1).cast("int")
 
+    def middle(t: Column) -> Column:
+        old, new, places = t["old"], t["new"], t["places"]
+        return F.filter(places, lambda _, i: (i >= t["head"]) & (i < F.size(new) - t["tail"]) & ~F.get(new, i).eqNullSafe(F.when(i < F.size(old) - t["tail"], F.get(old, i))))
 
-def located(a: Column, b: Column) -> Column:
-    """struct(section, paragraph): 1-based places of the first differing branch of two trees, 0 if equal."""
-    section = first_difference(a, b)
-    empty = F.array().cast("array<string>")
-    inside = first_difference(F.coalesce(F.get(a, section.cast("int") - 1), empty), F.coalesce(F.get(b, section.cast("int") - 1), empty))
-    return F.struct(section.alias("section"), F.when(section == 0, 0).otherwise(inside).cast("long").alias("paragraph"))
+    def ends(t: Column) -> Column:
+        head = alike(t["old"], t["new"])
+        tail = F.least(alike(F.reverse(t["old"]), F.reverse(t["new"])), F.least(F.size(t["old"]), F.size(t["new"])) - head)
+        return F.struct(t["old"].alias("old"), t["new"].alias("new"), t["places"].alias("places"), head.alias("head"), tail.alias("tail"))
+
+    # Lists of one element hold what is used more than once.
+    lists = F.array(F.struct(old.alias("old"), new.alias("new"), places.alias("places")))
+    return F.get(F.transform(F.transform(lists, ends), middle), F.lit(0))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, leaves of every row of docs and next_text, next_leaves of its successor."""
+    """doc_id, text, leaves, numbered (leaves) of every row of docs and next_text, next_numbered of its successor."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     buckets = min(MOST_BUCKETS, max(parts(spark), -(-docs.count() // BUCKET_ROWS)))
     bounds = range_bounds(docs, "doc_id", buckets)
@@ -91,34 +139,43 @@ def with_next(docs: DataFrame) -> DataFrame:
     guest = F.struct(F.get(literal(before, "int"), F.col("bucket")).alias("bucket"), F.lit(1).alias("guest"))
     placed = rows.select("doc_id", "text", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own))).alias("at"))
     placed = placed.select("doc_id", "text", "at.bucket", "at.guest").repartition(len(bounds) + 1, "bucket")
-    placed = placed.withColumn("leaves", leaves(F.col("text"))).withColumn("tie", F.xxhash64("text"))
+    placed = placed.withColumn("leaves", leaves(F.col("text"))).withColumn("numbered", numbered(F.col("leaves"))).withColumn("tie", F.xxhash64("text"))
     order = W.partitionBy("bucket").orderBy("guest", "doc_id", "tie")
-    both = placed.withColumn("next_text", F.lead("text").over(order)).withColumn("next_leaves", F.lead("leaves").over(order))
-    return both.where("guest = 0").select("doc_id", "text", "leaves", "next_text", "next_leaves")
+    both = placed.withColumn("next_text", F.lead("text").over(order)).withColumn("next_numbered", F.lead("numbered").over(order))
+    return both.where("guest = 0").select("doc_id", "text", "leaves", "numbered", "next_text", "next_numbered")
 
 
-def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts."""
-    rows = with_next(table(spark, sf_dir, "documents"))
+def compared(docs: DataFrame) -> DataFrame:
+    """The fingerprints of every row of docs (doc_id, text) and of its edited
+    text, their likeness, that to the next document's, and the places of the edits."""
+    rows = with_next(docs)
     n = F.length("text")
     part = F.floor(n / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - part), F.substring("next_text", F.lit(1), part)))
     rows = rows.withColumn("tree", tree(F.col("text"))).withColumn("edited_tree", tree(F.col("edited")))
     rows = rows.withColumn("edited_leaves", leaves(F.col("edited")))
-    at = located(F.col("tree"), F.col("edited_tree"))
+
+    def near(other: str, text: str) -> Column:
+        return F.coalesce(likeness(F.col("numbered"), F.col(other)), (F.col("text") == F.col(text)).cast("double"))
+
+    rows = rows.withColumn("edited_numbered", numbered(F.col("edited_leaves")))
     return rows.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         sha(F.col("edited")).alias("edited_sha256"),
-        root(F.col("tree")).alias("fingerprint"),
-        root(F.col("edited_tree")).alias("edited_fingerprint"),
-        likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"),
-        likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
-        at.alias("at"),
-    ).select("*", F.col("at.section").alias("edit_section"), F.col("at.paragraph").alias("edit_paragraph")).drop("at")
+        fingerprint(F.col("tree"), F.col("leaves")).alias("fingerprint"),
+        fingerprint(F.col("edited_tree"), F.col("edited_leaves")).alias("edited_fingerprint"),
+        near("edited_numbered", "edited").alias("near_edited"),
+        near("next_numbered", "next_text").alias("near_next"),
+        F.array_join(differences(F.col("tree"), F.col("edited_tree")), ",").alias("edits"),
+    )
+
+
+def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return compared(table(spark, sf_dir, "documents"))
 
 
-#: The columns that DuckDB's functions can express are checked with its own tree; likeness is counted on characters there.
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
@@ -131,19 +188,28 @@ WITH d AS (
   SELECT *,
     list_transform(string_split(text, E'\n\n'), lambda s: list_transform(string_split(s, E'\n'), lambda p: sha256(p))) AS a,
     list_transform(string_split(edited, E'\n\n'), lambda s: list_transform(string_split(s, E'\n'), lambda p: sha256(p))) AS b,
-    regexp_extract_all(substr(text, 1, 64), '[^\n]{1,4}\n?|\n') || regexp_extract_all(substr(text, 65), '[^\n]{1,16}\n?|\n') AS l,
-    regexp_extract_all(substr(edited, 1, 64), '[^\n]{1,4}\n?|\n') || regexp_extract_all(substr(edited, 65), '[^\n]{1,16}\n?|\n') AS m,
-    regexp_extract_all(substr(next_text, 1, 64), '[^\n]{1,4}\n?|\n') || regexp_extract_all(substr(next_text, 65), '[^\n]{1,16}\n?|\n') AS k
+    list_transform(regexp_extract_all(substr(text, 1, 64), '[^\n ]{1,4} ?| ') || regexp_extract_all(substr(text, 65), '[^\n]{16,38}?[esn.,:;!?0-9] |[^\n]{1,40}'), lambda x: md5(x)[1:6]) AS l,
+    list_transform(regexp_extract_all(substr(edited, 1, 64), '[^\n ]{1,4} ?| ') || regexp_extract_all(substr(edited, 65), '[^\n]{16,38}?[esn.,:;!?0-9] |[^\n]{1,40}'), lambda x: md5(x)[1:6]) AS m,
+    list_transform(regexp_extract_all(substr(next_text, 1, 64), '[^\n ]{1,4} ?| ') || regexp_extract_all(substr(next_text, 65), '[^\n]{16,38}?[esn.,:;!?0-9] |[^\n]{1,40}'), lambda x: md5(x)[1:6]) AS k
   FROM e
-), u AS (
-  SELECT *, coalesce(list_position(list_transform(list_zip(a, b), lambda z: z[1] IS DISTINCT FROM z[2]), true), 0) AS section FROM t
+), h AS (
+  SELECT *, list_aggregate(l, 'histogram') AS hl, list_aggregate(m, 'histogram') AS hm, list_aggregate(k, 'histogram') AS hk,
+    flatten(a) AS fa, flatten(b) AS fb,
+    flatten(list_transform(b, lambda s, i: list_transform(s, lambda x, j: i || '.' || j))) AS places FROM t
+), c AS (
+  SELECT *,
+    coalesce(list_sum(list_transform(map_keys(hl), lambda x: least(hl[x], coalesce(hm[x], 0)))), 0) AS in_edited,
+    coalesce(list_sum(list_transform(map_keys(hl), lambda x: least(hl[x], coalesce(hk[x], 0)))), 0) AS in_next,
+    coalesce(nullif(list_position(list_transform(list_zip(fa, fb), lambda z: z[1] IS DISTINCT FROM z[2]), true), 0) - 1, len(fa)) AS head,
+    coalesce(nullif(list_position(list_transform(list_zip(list_reverse(fa), list_reverse(fb)), lambda z: z[1] IS DISTINCT FROM z[2]), true), 0) - 1, len(fa)) AS back FROM h
+), f AS (
+  SELECT *, least(back, least(len(fa), len(fb)) - head) AS tail FROM c
 )
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256,
-  sha256(array_to_string(list_transform(a, lambda p: sha256(array_to_string(p, ''))), '')) AS fingerprint,
-  sha256(array_to_string(list_transform(b, lambda p: sha256(array_to_string(p, ''))), '')) AS edited_fingerprint,
-  CASE WHEN len(l) = 0 AND len(m) = 0 THEN 1.0 ELSE len(list_filter(list_zip(l, m), lambda z: z[1] = z[2])) / greatest(len(l), len(m)) END AS near_edited,
-  CASE WHEN len(l) = 0 AND len(k) = 0 THEN 1.0 ELSE len(list_filter(list_zip(l, k), lambda z: z[1] = z[2])) / greatest(len(l), len(k)) END AS near_next,
-  CAST(section AS BIGINT) AS edit_section,
-  CAST(CASE WHEN section = 0 THEN 0 ELSE coalesce(list_position(list_transform(list_zip(coalesce(a[section], []), coalesce(b[section], [])), lambda z: z[1] IS DISTINCT FROM z[2]), true), 0) END AS BIGINT) AS edit_paragraph
-FROM u
+  sha256(array_to_string(list_transform(a, lambda p: sha256(array_to_string(p, ''))), '')) || ':' || array_to_string(l, '') AS fingerprint,
+  sha256(array_to_string(list_transform(b, lambda p: sha256(array_to_string(p, ''))), '')) || ':' || array_to_string(m, '') AS edited_fingerprint,
+  CASE WHEN greatest(len(l), len(m)) = 0 THEN CAST(text = edited AS DOUBLE) ELSE in_edited / greatest(len(l), len(m)) END AS near_edited,
+  CASE WHEN greatest(len(l), len(k)) = 0 THEN CAST(text = next_text AS DOUBLE) ELSE in_next / greatest(len(l), len(k)) END AS near_next,
+  array_to_string(list_transform(list_filter(range(head + 1, len(fb) - tail + 1), lambda i: fb[i] IS DISTINCT FROM CASE WHEN i <= len(fa) - tail THEN fa[i] END), lambda i: places[i]), ',') AS edits
+FROM f
 """
