@@ -34,13 +34,14 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import table
+from .common import WordCache, record_batch, table, texts
 from .token_counts import LETTERS, NUMBERS, SPACES, byte_letters
 
 LENGTH, END, SEGMENT = 4096, 2, 1 << 20
@@ -55,16 +56,13 @@ STOP = re.compile(r"[!-/:-@\[-`{-~]*[.!?]+[!-/:-@\[-`{-~]*</w>")
 class Encoder:
     """A text's ids as little-endian 32-bit bytes, and where its sentences end."""
 
-    def __init__(self, path: str, limit: int = 150_000):
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+    def __init__(self, path: str, limit: int = 400_000):
+        self.tokenizer = Tokenizer.from_file(path)
         self.letters = byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.known = WordCache(self.merged, limit, 32)
         self.stops = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.stops[[n for t, n in self.tokenizer.get_vocab().items() if STOP.fullmatch(t)]] = True
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
     def merged(self, word: str) -> bytes:
         if not (word.isascii() and word.isprintable()):
             word = "".join(map(self.letters.__getitem__, word.encode()))
@@ -77,24 +75,12 @@ class Encoder:
         except UnicodeEncodeError:
             plain = False
         if not plain:
-            return self.whole(text)
-        words = PRE_TOKENS.findall(text.lower())
-        found = list(map(self.known.get, words))
-        if None in found:
-            if len(self.known) > self.limit:
-                self.known.clear()  # what is frequent is soon back
-            at = -1
-            for _ in range(found.count(None)):
-                at = found.index(None, at + 1)
-                word = words[at]
-                found[at] = ids = self.known.get(word) or self.merged(word)
-                if len(word) <= 32:
-                    self.known[word] = ids
-        return b"".join(found)
-
-    def encode(self, text: str) -> tuple[bytes, list[int]]:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.known.__getitem__, PRE_TOKENS.findall(text.lower())))
+
+    def encode(self, text: str) -> tuple[bytes, np.ndarray]:
         ids = self.ids(text)
-        return ids, (np.flatnonzero(self.stops[np.frombuffer(ids, "<u4")]) + 1).tolist()
+        return ids, np.flatnonzero(self.stops[np.frombuffer(ids, "<u4")]) + 1
 
 
 @functools.cache
@@ -102,7 +88,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def cuts(positions: list[int], penalties: list[int], length: int, shortest: int) -> list[int]:
+def cuts(positions: np.ndarray, penalties: np.ndarray, length: int, shortest: int) -> list[int]:
     """The cheapest chain of cuts from the first position to the last.
 
     positions ascend by at most `length` a step; penalties[j] is paid for a
@@ -110,21 +96,28 @@ def cuts(positions: list[int], penalties: list[int], length: int, shortest: int)
     like other lengths.
     """
     n = len(positions)
+    # Windows of a power of two: (end, start) as places, by rising end.
+    short: list[tuple[int, int]] = [(-1, -1)]
+    for k in range(length.bit_length()):
+        if shortest <= 1 << k < length:
+            start = np.minimum(np.searchsorted(positions, positions - (1 << k)), n - 1)
+            ends = np.flatnonzero(positions[start] == positions - (1 << k))
+            short += zip(ends.tolist(), start[ends].tolist(), strict=True)
+    short[1:] = sorted(short[1:], reverse=True)
+    at, price = positions.tolist(), (penalties + SEQUENCE_COST).tolist()
     cost, back = [0] * n, [0] * n
-    index = {p: i for i, p in enumerate(positions)}
-    powers = [1 << k for k in range(length.bit_length()) if shortest <= 1 << k < length]
-    queue = deque([(positions[0], 0, 0)])  # (cost + position, position, index), costs ascend
+    queue = deque([(at[0], at[0], 0)])  # (cost + position, position, index), costs ascend
     for j in range(1, n):
-        p = positions[j]
+        p = at[j]
         while queue[0][1] < p - length:
             queue.popleft()
         least, _, i = queue[0]
         best = least + length - p
-        for w in powers:
-            k = index.get(p - w)
-            if k is not None and cost[k] < best:
+        while short[-1][0] == j:
+            k = short.pop()[1]
+            if cost[k] < best:
                 best, i = cost[k], k
-        best += SEQUENCE_COST + penalties[j]
+        best += price[j]
         cost[j], back[j] = best, i
         while queue and queue[-1][0] >= best + p:
             queue.pop()
@@ -132,7 +125,7 @@ def cuts(positions: list[int], penalties: list[int], length: int, shortest: int)
     chain = [n - 1]
     while chain[-1]:
         chain.append(back[chain[-1]])
-    return [positions[i] for i in reversed(chain)]
+    return [at[i] for i in reversed(chain)]
 
 
 class Packer:
@@ -141,32 +134,35 @@ class Packer:
     def __init__(self, first_sequence: int, length: int, segment: int):
         self.sequence, self.length, self.segment = first_sequence, length, segment
         self.docs: list[tuple] = []  # (doc_id, ids, first token here, tokens before it, tokens of the document)
-        self.marks: list[tuple[int, int]] = []  # (position, penalty)
+        self.sentences: list[np.ndarray] = []  # positions after a sentence, ascending
+        self.ends: list[int] = []  # positions after a document
         self.tokens = 0
 
-    def add(self, doc_id, ids: bytes, ends: list[int]) -> list[tuple]:
+    def add(self, doc_id, ids: bytes, ends: np.ndarray) -> list[tuple]:
         n = len(ids) >> 2
         self.docs.append((doc_id, ids, self.tokens, 0, n))
-        self.marks += [(self.tokens + e, SENTENCE_COST) for e in ends if 0 < e < n]
+        self.sentences.append(ends + self.tokens)
         self.tokens += n
-        self.marks.append((self.tokens, 0))
+        self.ends.append(self.tokens)
         return self.solve(False) if self.tokens >= self.segment else []
 
+    def places(self, last: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The possible cuts, ascending from 0, and what a cut there costs."""
+        soft = np.unique(np.concatenate([[0], *self.sentences, self.ends])).astype(np.int64)
+        # Hard cuts only where no sentence ends for HARD_STEP tokens.
+        hard = [np.arange(soft[k] + HARD_STEP, soft[k + 1], HARD_STEP) for k in np.flatnonzero(np.diff(soft) > HARD_STEP)]
+        if last:
+            hard.append(np.arange(max(1, self.tokens - self.length), self.tokens))
+        positions = np.unique(np.concatenate([soft, *hard])).astype(np.int64)
+        price = np.full(len(positions), HARD_COST)
+        price[np.searchsorted(positions, soft)] = SENTENCE_COST
+        price[np.searchsorted(positions, self.ends)] = 0
+        return positions, price
+
     def solve(self, last: bool) -> list[tuple]:
         if not self.tokens:
             return []
-        price: dict[int, int] = {0: 0}
-        before = 0
-        for p, cost in self.marks:
-            if p - before > HARD_STEP:
-                price.update((q, HARD_COST) for q in range(before + HARD_STEP, p, HARD_STEP))
-            price[p] = min(cost, price.get(p, cost))
-            before = p
-        if last:
-            for q in range(max(1, self.tokens - self.length), self.tokens):
-                price.setdefault(q, HARD_COST)
-        positions = sorted(price)
-        chain = cuts(positions, [price[p] for p in positions], self.length, 1 if last else self.length // 8)
+        chain = cuts(*self.places(last), self.length, 1 if last else self.length // 8)
         if not last and len(chain) > 2:
             chain.pop()
         return self.emit(chain)
@@ -190,36 +186,34 @@ class Packer:
         for doc_id, ids, at, skipped, total in self.docs[k:]:
             gone = max(0, end - at)
             rest.append((doc_id, ids, max(0, at - end), skipped + gone, total))
-        self.docs, self.marks = rest, [(p - end, c) for p, c in self.marks if p > end]
+        soft = np.concatenate(self.sentences) - end
+        self.docs, self.sentences, self.ends = rest, [soft[soft > 0]], [p - end for p in self.ends if p > end]
         self.tokens -= end
         return rows
 
 
-COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-
-
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, segment: int = SEGMENT) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     last = np.array([end], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId() << 32, length, segment)
         code = encoder(path)
         for b in batches:
             rows = []
-            for doc_id, text in zip(b["doc_id"].astype(object), b["text"], strict=True):
-                ids, ends = code.encode(text or "")
-                rows += packer.add(None if pd.isna(doc_id) else doc_id, ids + last, ends)
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
+                ids, ends = code.encode(text)
+                rows += packer.add(doc_id, ids + last, ends)
             if rows:
-                yield pd.DataFrame(rows, columns=COLUMNS)
+                yield record_batch(rows, schema)
         if rows := packer.solve(True):
-            yield pd.DataFrame(rows, columns=COLUMNS)
+            yield record_batch(rows, schema)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     # Ties of doc_id are dealt out by the text's hash, so a repeated id doesn't meet in one task.
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
-    schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return rows.drop("h").mapInPandas(run, schema)
+    return rows.drop("h").mapInArrow(run, schema)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
