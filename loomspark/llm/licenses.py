@@ -2,26 +2,32 @@
 
 Base labels come from phrases whose words stand consecutively. The method's own
 labels come from templates: a text block matches a template if it holds at least
-THRESHOLD of the template's distinct words. Blocks are the lines and, for notices
-that are wrapped over several lines, all runs of as many consecutive words as
-the template has. Runs are looked at only in documents that hold enough of the
-template's words at all. OP2_SQL knows the lines only.
-
-The join is exact and prefix-filtered. All template words are ordered by their
-frequency in the corpus, rarest first; a block that holds `need` of a template's
-words holds one of its first size - need + 1 words (prefix filter), has at least
-`need` template words (length filter), and after its first common prefix word
-the words left on both sides must still suffice (positional filter). Only then
-are the words intersected. The templates are a fixed list, so their side is a
-set of constants in the plan: no block is shuffled, no pair is built outside its
-own row, and repeated rows or a hot text cost no more than others. One pass
-counts the templates' words (one row a word, a fixed number, comes back), a
-second one scans.
+THRESHOLD of the template's distinct words (all of them, if there are fewer than
+SHORT). Blocks are all runs of consecutive words, a quarter longer than the
+template, whatever lines or paragraphs they cross: notices may be wrapped,
+indented or commented out.
+
+The join is exact and filtered. All template words are ordered by the number of
+documents that hold them, rarest first. A block that holds `need` of a template's
+words holds one of its first size - need + 1 words (prefix filter), has `need`
+template words (length filter), and after the first common word of the order the
+words left on both sides must still suffice (positional filter). What holds for a
+block holds for its document, so the filters are put to a document's set of
+template words first; in the few documents that pass, only runs that begin with
+a template word, reach `need` of them and hold a prefix word are intersected. The
+templates are a fixed list, so their side is a set of constants in the plan: no
+block is shuffled, no pair is built outside its own row, and repeated rows or a
+hot text cost no more than others.
+
+Texts are read and cut into words once. That pass writes, for every row, the base
+scan's places and the template words it holds, and the words themselves only
+where some template can be contained; the frequencies and the join read this
+table.
 
 Words are A-Z lower-cased runs of letters, digits and code points above 127.
 Null and empty texts have no words and no labels, with empty strings for labels
 and score 0; ties of frequency are ordered by the word; an empty table gives an
-empty result.
+empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -33,17 +39,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, literal, table
+from .common import LOWER, UPPER, literal, stored, table
 
-THRESHOLD = 0.8
+THRESHOLD, SHORT = 0.8, 10
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The one letter beyond ASCII that lower() would make an ASCII letter, and another letter to stand for it.
+KELVIN, OTHER = "\u212a", "\u0138"
 #: Fixed values of the base scan.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Labels and texts of the templates: the usual notices of public licenses.
 TEMPLATES = (
-    ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("apache", "Licensed under the Apache License, Version 2.0."),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
@@ -51,59 +59,32 @@ TEMPLATES = (
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("bsl", "Distributed under the Boost Software License, Version 1.0."),
 )
 
 
-def template_words() -> list[tuple[str, list[str]]]:
-    return [(label, sorted(set(re.findall(WORDS, text.lower())))) for label, text in TEMPLATES]
+class Template:
+    """A template's distinct words, how many of them a block needs, and the block's length in words."""
 
+    def __init__(self, label: str, text: str, threshold: float):
+        found = re.findall(WORDS, text.lower())
+        self.label, self.words = label, sorted(set(found))
+        self.need = len(self.words) if len(self.words) < SHORT else math.ceil(threshold * len(self.words) - 1e-9)
+        self.span = len(found) + len(found) // 4
 
-def words(text: Column) -> Column:
-    """The words of a text in order."""
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORDS), F.lit(0))
-
-
-def word_order(docs: DataFrame) -> list[str]:
-    """The templates' words by the number of documents that hold them, rarest first."""
-    vocabulary = sorted({w for _, ws in template_words() for w in ws})
-    held = docs.select(F.explode(F.array_intersect(literal(vocabulary, "string"), words(F.col("text")))).alias("word"))
-    counts = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}
-    return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
-
-def containment(own: list[str], threshold: float) -> Callable[[Column], Column]:
-    """The share of the template's words in a block (its template words in the
-    global order), null if the filters or the threshold exclude it."""
-    need = math.ceil(threshold * len(own) - 1e-9)
-    prefix = own[: len(own) - need + 1]
-    template = literal(own, "string")
-
-    def share(block: Column) -> Column:
-        first = F.get(F.array_intersect(literal(prefix, "string"), block), F.lit(0))
-        # Words left from the first common one on, in the template and in the block.
-        left = F.least(F.lit(len(own) + 1) - F.array_position(template, first), F.size(block) + 1 - F.array_position(block, first))
-        common = F.size(F.array_intersect(template, block))
-        fits = (F.size(block) >= need) & F.arrays_overlap(literal(prefix, "string"), block) & (left >= need)
-        return F.when(fits & (common >= need), common / F.lit(len(own)))
-
-    return share
+def template_list(threshold: float = THRESHOLD) -> list[Template]:
+    return [Template(label, text, threshold) for label, text in TEMPLATES]
 
 
-def run_share(own: list[str], length: int, threshold: float) -> Callable[[Column, Column], Column]:
-    """The largest share of the template's words in `length` consecutive words
-    (tokens, and the template words among them), null below the threshold."""
-    need = math.ceil(threshold * len(own) - 1e-9)
-    template = literal(own, "string")
-
-    def share(tokens: Column, held: Column) -> Column:
-        # A best run may as well begin with one of the template's words.
-        starts = F.filter(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.array_contains(template, F.get(tokens, i - 1)))
-        most = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(template, F.slice(tokens, i, F.lit(length))))))
-        most = F.when(F.size(F.array_intersect(template, held)) >= need, most)
-        return F.when(most >= need, most / F.lit(len(own)))
-
-    return share
+def words(text: Column) -> Column:
+    """The words of a text in order (split is several times faster than extracting)."""
+    return F.array_remove(F.split(F.lower(F.replace(text, F.lit(KELVIN), F.lit(OTHER))), BETWEEN), "")
 
 
 def phrase_starts(tokens: Column, phrase: str) -> Column:
@@ -123,28 +104,75 @@ def phrase_starts(tokens: Column, phrase: str) -> Column:
     return F.when(there, F.filter(F.sequence(F.lit(0), F.size(tokens) - len(parts)), at)).otherwise(none)
 
 
+def scanned(docs: DataFrame, templates: list[Template]) -> DataFrame:
+    """doc_id, n_words, the starts of each phrase, held (the template words in
+    the text) and words (null where no template's `need` is held), written once."""
+    vocabulary = literal(sorted({w for t in templates for w in t.words}), "string")
+    rows = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("words"))
+    rows = rows.select("*", F.array_intersect(vocabulary, F.col("words")).alias("held"), *(phrase_starts(F.col("words"), p).alias(name) for p, name in PHRASES))
+    fits = F.lit(False)
+    for t in templates:
+        fits = fits | (F.size(F.array_intersect(literal(t.words, "string"), F.col("held"))) >= t.need)
+    names = [name for _, name in PHRASES]
+    return stored(rows.select("doc_id", F.size("words").cast("long").alias("n_words"), *names, "held", F.when(fits, F.col("words")).alias("words")))
+
+
+def word_order(rows: DataFrame, templates: list[Template]) -> list[str]:
+    """The templates' words by the number of documents that hold them, rarest
+    first (one row a template word comes back, a fixed number)."""
+    counts = {r["word"]: r["n"] for r in rows.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    return sorted({w for t in templates for w in t.words}, key=lambda w: (counts.get(w, 0), w))
+
+
+def passes(own: list[str], need: int) -> Callable[[Column], Column]:
+    """Whether a set of template words (in the global order) passes the prefix, length and positional filters."""
+    prefix = own[: len(own) - need + 1]
+    template = literal(own, "string")
+
+    def fits(held: Column) -> Column:
+        first = F.get(F.array_intersect(literal(prefix, "string"), held), F.lit(0))
+        # Words left from the first common one on, in the template and in the set.
+        left = F.least(F.lit(len(own) + 1) - F.array_position(template, first), F.size(held) + 1 - F.array_position(held, first))
+        return (F.size(held) >= need) & F.arrays_overlap(literal(prefix, "string"), held) & (left >= need)
+
+    return fits
+
+
+def best_share(own: list[str], need: int, span: int) -> Callable[[Column], Column]:
+    """The largest share of the template's words in `span` consecutive words, null if none reaches `need`."""
+    template, prefix = literal(own, "string"), literal(own[: len(own) - need + 1], "string")
+
+    def share(tokens: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.array_contains(template, F.get(tokens, i)))
+
+        def common(hits: Column) -> Column:
+            # A best run may as well begin with one of the template's words and reach `need` of them.
+            runs = F.filter(F.sequence(F.lit(0), F.size(hits) - need), lambda k: F.get(hits, k + (need - 1)) - F.get(hits, k) < span)
+            runs = F.transform(runs, lambda k: F.slice(tokens, F.get(hits, k) + 1, F.lit(span)))
+            runs = F.filter(runs, lambda run: F.arrays_overlap(prefix, run))
+            return F.array_max(F.transform(runs, lambda run: F.size(F.array_intersect(template, run))))
+
+        # The template words' places are found once, as a list of one list.
+        most = F.get(F.transform(F.array(at), lambda hits: F.when(F.size(hits) >= need, common(hits))), F.lit(0))
+        return F.when(most >= need, most / F.lit(len(own)))
+
+    return share
+
+
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of docs (doc_id, text): the base scan's columns, labels and score."""
-    order = word_order(docs)
+    templates = template_list(threshold)
+    rows = scanned(docs, templates)
+    order = word_order(rows, templates)
     rank = {w: k for k, w in enumerate(order)}
-    templates = [(label, sorted(ws, key=rank.__getitem__)) for label, ws in template_words()]
-    lengths = [len(re.findall(WORDS, text.lower())) for _, text in TEMPLATES]
-    prefixes = sorted({w for _, ws in templates for w in ws[: len(ws) - math.ceil(threshold * len(ws) - 1e-9) + 1]})
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("words", words(F.col("text")))
-    for _, name in PHRASES:
-        rows = rows.withColumn(name, phrase_starts(F.col("words"), next(p for p, n in PHRASES if n == name)))
     rows = rows.withColumn("starts", F.concat(*(F.col(name) for _, name in PHRASES)))
-    # Blocks of documents that hold some prefix word; others have none to look at.
-    blocks = F.transform(F.split("text", "\n"), lambda line: F.array_intersect(literal(order, "string"), words(line)))
-    blocks = F.when(F.arrays_overlap("words", literal(prefixes, "string")), F.filter(blocks, lambda b: F.size(b) > 0))
-    rows = rows.withColumn("blocks", F.coalesce(blocks, F.array().cast("array<array<string>>")))
-    rows = rows.withColumn("held", F.array_intersect(literal(order, "string"), F.col("words")))
+    rows = rows.withColumn("held", F.when(F.col("words").isNotNull(), F.array_intersect(literal(order, "string"), F.col("held"))))
     best = []
-    for k, (label, own) in enumerate(templates):
-        name = f"t{k}"
-        line = F.array_max(F.transform("blocks", containment(own, threshold)))
-        rows = rows.withColumn(name, F.greatest(line, run_share(own, lengths[k], threshold)(F.col("words"), F.col("held"))))
-        best.append((label, F.col(name)))
+    for k, t in enumerate(templates):
+        own = sorted(t.words, key=rank.__getitem__)
+        found = F.when(passes(own, t.need)(F.col("held")), best_share(own, t.need, t.span)(F.col("words")))
+        rows = rows.withColumn(f"t{k}", found)
+        best.append((t.label, F.col(f"t{k}")))
     base = F.array(*(F.when(F.size(name) > 0, name) for _, name in PHRASES))
     more = F.array(*(F.when(c.isNotNull(), F.lit(label)) for label, c in best))
     n = F.size("starts")
@@ -154,7 +182,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     return rows.select(
         "doc_id",
-        F.size("words").cast("long").alias("n_words"),
+        "n_words",
         n.cast("long").alias("n_base"),
         F.array_min("starts").cast("long").alias("first_word"),
         F.array_max("starts").cast("long").alias("last_word"),
@@ -171,30 +199,27 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-    rows = ",\n    ".join(f"({k}, '{label}', {quoted(ws)})" for k, (label, ws) in enumerate(template_words()))
+    rows = ",\n    ".join(f"('{t.label}', {quoted(t.words)}, {t.need}, {t.span})" for t in template_list())
     return rf"""
 WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS text,
+  SELECT row_number() OVER () AS rid, doc_id,
     regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), s AS (
-  SELECT doc_id, text, w,
+  SELECT rid, doc_id, w,
     list_filter(range(0, len(w)), lambda i: w[i + 1] = 'mit' AND w[i + 2] = 'license') AS a,
     list_filter(range(0, len(w)), lambda i: w[i + 1] = 'apache' AND w[i + 2] = 'license') AS b,
     list_filter(range(0, len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS c FROM d
-), templates(k, label, ws) AS (
+), templates(label, ws, need, span) AS (
   VALUES {rows}
-), lines AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws
-  FROM (SELECT doc_id, unnest(string_split(text, E'\n')) AS line FROM d)
-), found AS (
-  SELECT l.doc_id, t.label, max(len(list_intersect(t.ws, l.ws)) / len(t.ws)) AS share
-  FROM lines l JOIN templates t ON len(list_intersect(t.ws, l.ws)) >= ceil({THRESHOLD} * len(t.ws) - 1e-9) GROUP BY ALL
+), runs AS (
+  SELECT rid, label, ws, need, list_max(list_transform(range(1, len(w) + 1), lambda i: len(list_intersect(ws, list_distinct(w[i:i + span - 1]))))) AS common
+  FROM d JOIN templates ON len(list_intersect(ws, list_distinct(w))) >= need
 ), more AS (
-  SELECT doc_id, list(label) AS labels, max(share) AS share FROM found GROUP BY doc_id
+  SELECT rid, list(label) AS labels, max(common / len(ws)) AS share FROM runs WHERE common >= need GROUP BY rid
 ), base AS (
-  SELECT s.doc_id, w, a || b || c AS starts,
+  SELECT doc_id, w, a || b || c AS starts,
     list_filter([CASE WHEN len(a) > 0 THEN 'mit' END, CASE WHEN len(b) > 0 THEN 'apache' END, CASE WHEN len(c) > 0 THEN 'gpl' END], lambda x: x IS NOT NULL) AS base,
-    coalesce(m.labels, []) AS labels, m.share FROM s LEFT JOIN more m ON m.doc_id = s.doc_id
+    coalesce(m.labels, []) AS labels, m.share FROM s LEFT JOIN more m ON m.rid = s.rid
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(starts) AS BIGINT) AS n_base, list_min(starts) AS first_word, list_max(starts) AS last_word,
   array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || labels)), ',') AS labels,
