@@ -22,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: For str.translate: lower-cases A-Z and nothing else.
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
+#: Keys with more than one of HOT parts of a table's rows are joined apart.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +59,27 @@ def stored(df: DataFrame) -> DataFrame:
     ship(spark)
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that `stored` wrote and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def joined_hot(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -> DataFrame:
+    """left joined with right, which has each key once and in its column `rows`
+    (left out of the result) the number of left rows of that key; left has
+    `total` rows. Keys with more than total / HOT rows, fewer than HOT of them,
+    are broadcast, so their rows stay where they are; the others are shuffled."""
+    hot = F.broadcast(right.where(F.col(rows) * HOT > total).drop(rows))
+    rest = left.join(hot.select(key), key, "left_anti").join(right.where(F.col(rows) * HOT <= total).drop(rows).hint("merge"), key)
+    return left.join(hot, key).unionByName(rest)
 
 
 def extended(df: DataFrame, carried: list[str], made: Callable[[pa.RecordBatch], list], schema: str) -> DataFrame:

@@ -1,43 +1,50 @@
-"""Links between near copies: an exact set-similarity join over word shingles.
+"""Links between near copies: exact similarity of word shingles.
 
 Two texts are linked if the Jaccard similarity of their sets of `width`-word
 shingles (64-bit hashes) is at least `similarity`. A text of at most `width`
 words is one shingle; texts without words have the same empty set.
 
-The join is exact. All sets are put in one global order; two sets of that
+Candidates come first from the SimHash search (see simhash): fingerprints that
+the vantage-point trees connect. Each is confirmed by the sets themselves. 64
+bits can't show all links of this similarity (at 0.8 two fingerprints differ in
+about ten bits, where no tree prunes), so an exact join adds those that are left.
+
+In the join all sets are put in one global order; two sets of that
 similarity share a shingle among the first size - ceil(similarity * size) + 1 of
 each (prefix filter), and behind their first common one enough must be left on
 both sides (positional filter, which holds the length filter). Shingles that a
 sample of texts shows to be common come last in the order, so prefixes hold rare
 ones; the sample steers only the cost, any order gives the same links.
 
-Links are wanted for components only. So the members of a shingle's group are
-first compared with one head of the group (STARS rounds, with different heads);
-then all pairs that share a prefix shingle and are not yet in one component are.
-Large groups of near copies thus cost no pairs of their own, and equal sets meet
-as one.
+Links are wanted for components only. So after the SimHash links the members of
+a shingle's group are compared with one head of the group; then all pairs that
+share a prefix shingle and are not yet in one component are. Large groups of near
+copies thus cost no pairs of their own, and equal sets meet as one. Shingles of
+very many rows are counted by partial aggregation and joined by broadcast.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, extended, joined_hot, stored, texts
 from .components import components
 
 WIDTH, SIMILARITY, SEED = 5, 0.8, 42
-SAMPLE_ROWS, COMMON_ROWS, COMMON, STARS, LONGS = 4000, 2, 100_000, 2, 8
+SAMPLE_ROWS, COMMON_ROWS, COMMON, STARS, LONGS = 4000, 2, 100_000, 1, 8
 
 
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The ascending distinct XXH64 hashes of the text's word shingles."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The XXH64 hashes of the text's word shingles, repeats included."""
     words = (text or "").encode().lower().split()  # bytes: A-Z and [\x20\x09-\x0D] exactly
     if not words:
         return np.empty(0, np.uint64)
@@ -47,13 +54,27 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
         return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)]
-    return np.unique(np.array(hashes, np.uint64))
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash: a bit is 1 if set in over half the hashes."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 4096):
+        part = hashes[k : k + 4096].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The ascending distinct hashes of the text's word shingles."""
+    return np.unique(shingle_hashes(text, width))
 
 
 def row_mark(docs: DataFrame) -> Column:
-    """A hash of all columns, nulls told from missing places."""
-    return F.xxhash64(*(docs[c] for c in docs.columns), *(docs[c].isNull() for c in docs.columns))
+    """A hash of all columns, nulls told from missing places; maps, which have no hash, count as JSON."""
+    whole = [F.to_json(F.struct(docs[f.name])) if "map<" in f.dataType.simpleString() else docs[f.name] for f in docs.schema]
+    return F.xxhash64(*whole, *(c.isNull() for c in whole))
 
 
 def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
@@ -72,28 +93,29 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
 
 def sets(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """key (hash of the set), size, prefix, odd (a bit for each bucket of hashes
-    that holds an odd number) and best (the row with the smallest doc_id, nulls
-    last, as a struct with its mark) of every distinct set."""
+    that holds an odd number), fp (a SimHash) and best (the row with the smallest
+    doc_id, nulls last, as a struct with its mark) of every distinct set."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(b: pa.RecordBatch) -> list:
         held = np.append(shared.value, np.uint64(2**64 - 1))
-        for b in batches:
-            rows = []
-            for t in b["text"]:
-                s = shingles(t, width)
-                common = held[np.searchsorted(held, s)] == s
-                upto = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1
-                prefix = np.concatenate((s[~common], s[common]))[:upto]
-                odd = np.packbits(np.bincount((s % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) & 1)
-                rows.append((xxhash.xxh64_intdigest(s.tobytes(), SEED), len(s), prefix.view(np.int64), odd.view(np.int64)))
-            key = np.array([r[0] for r in rows], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "mark": b["mark"], "key": key, "size": [r[1] for r in rows], "prefix": [r[2] for r in rows], "odd": [r[3] for r in rows]})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", row_mark(docs).alias("mark")).mapInPandas(run, f"doc_id {kind}, mark bigint, key bigint, size int, prefix array<bigint>, odd array<bigint>")
+        rows = []
+        for t in texts(b):
+            every = shingle_hashes(t, width)
+            s = np.unique(every)
+            common = held[np.searchsorted(held, s)] == s
+            upto = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1
+            prefix = np.concatenate((s[~common], s[common]))[:upto]
+            odd = np.packbits(np.bincount((s % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) & 1)
+            rows.append((xxhash.xxh64_intdigest(s.tobytes(), SEED), len(s), prefix.view(np.int64), odd.view(np.int64), majority(every)))
+        key, size, prefix, odd, fp = zip(*rows, strict=True) if rows else [()] * 5
+        signed = lambda x: np.array(x, np.uint64).view(np.int64)
+        return [signed(key), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())), signed(fp)]
+
+    rows = docs.select("doc_id", "text", row_mark(docs).alias("mark"))
+    rows = extended(rows, ["doc_id", "mark"], made, "key bigint, size int, prefix array<bigint>, odd array<bigint>, fp bigint")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("best")
-    return stored(rows.groupBy("key").agg(F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"), F.any_value("odd").alias("odd"), best))
+    return stored(rows.groupBy("key").agg(*(F.any_value(c).alias(c) for c in ("size", "prefix", "odd", "fp")), best))
 
 
 def possible(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
@@ -105,7 +127,7 @@ def possible(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").where(differing <= most).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+def confirmed(pairs: DataFrame, own: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,18 +139,32 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
                 ok[k] = both >= similarity * (len(s) + len(t) - both) - 1e-9
             yield b.loc[ok, ["a", "b"]]
 
-    left, right = (texts.select(F.col("key").alias(k), F.col("text").alias(t)) for k, t in (("a", "x"), ("b", "y")))
+    left, right = (own.select(F.col("key").alias(k), F.col("text").alias(t)) for k, t in (("a", "x"), ("b", "y")))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint")
 
 
-def links(docs: DataFrame, found: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) that connect all links between the sets `found` of docs."""
-    by = W.partitionBy("shingle")
+def seeds(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs (a, b) of set keys from the connected fingerprints (a, b): the heads
+    of both, and each set with the head of its own fingerprint."""
+    heads = stored(found.groupBy("fp").agg(F.min("key").alias("head"), F.count("*").alias("n")))
+    same = joined_hot(found.select("key", "fp"), heads, "fp", "n", found.count()).where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b"))
+    one, two = (heads.select(F.col("fp").alias(k), F.col("head").alias(f"{k}_head")) for k in "ab")
+    across = edges.join(one, "a").join(two, "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    both = same.unionByName(across)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def links(docs: DataFrame, found: DataFrame, first: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) that connect all links between the sets `found` of docs; the
+    pairs (a, b) of `first` are tried before the join."""
     places = found.select("key", "size", F.posexplode("prefix").alias("place", "shingle"))
-    shared = stored(places.withColumn("n", F.count("*").over(by)).where("n > 1").drop("n"))
+    counts = places.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    counts = stored(counts)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    shared = stored(joined_hot(places, counts, "shingle", "n", total))
     rows = found.join(shared.select("key").distinct(), "key").select("key", F.col("best.mark").alias("mark"))
-    texts = docs.select("text", row_mark(docs).alias("mark")).join(rows, "mark").dropDuplicates(["mark"])
-    texts = stored(texts.select("key", "text"))
+    own = docs.select("text", row_mark(docs).alias("mark")).join(rows, "mark").dropDuplicates(["mark"])
+    own = stored(own.select("key", "text"))
 
     def fits(a: str, b: str) -> Column:
         need = similarity / (1 + similarity) * (F.col(f"{a}.size") + F.col(f"{b}.size")) - 1e-9
@@ -136,22 +172,24 @@ def links(docs: DataFrame, found: DataFrame, width: int = WIDTH, similarity: flo
 
     me = F.struct("key", "size", "place", "root")
     pair = [F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b")]
-    edges = tried = None
+    pairs = stored(first)
+    tried, edges = [pairs], [stored(confirmed(stored(possible(pairs, found, similarity)), own, width, similarity))]
     for k in range(STARS + 1):
-        if edges is None:
-            named = shared.withColumn("root", F.col("key"))
-        else:
-            group = components(edges)
-            named = shared.join(group, shared["key"] == group["node"], "left").select(shared["*"], F.coalesce("root", "key").alias("root"))
-            named = stored(named.withColumns({"low": F.min("root").over(by), "high": F.max("root").over(by)}).where("low <> high").drop("low", "high"))
+        group = components(functools.reduce(DataFrame.unionByName, edges))
+        named = shared.join(group, shared["key"] == group["node"], "left").select(shared["*"], F.coalesce("root", "key").alias("root"))
+        order = F.struct(F.xxhash64("key", F.lit(k)), "key")
+        spread = named.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(me, order).alias("q"), F.count("*").alias("n"))
+        spread = stored(spread.where("low <> high").drop("low", "high"))
         if k < STARS:
-            order = F.struct(F.xxhash64("key", F.lit(k)), "key")
-            pairs = named.select(me.alias("p"), F.min_by(me, order).over(by).alias("q"))
+            pairs = joined_hot(named.select("shingle", me.alias("p")), spread, "shingle", "n", total)
         else:
-            one, two = named.select("shingle", me.alias("p")), named.select("shingle", me.alias("q"))
-            pairs = one.join(two, "shingle").where("p.root < q.root")
+            named = stored(joined_hot(named, spread.drop("q"), "shingle", "n", total))
+            pairs = named.select("shingle", me.alias("p")).join(named.select("shingle", me.alias("q")), "shingle").where("p.root < q.root")
         pairs = pairs.where((F.col("p.root") != F.col("q.root")) & fits("p", "q")).select(*pair).distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        good = stored(confirmed(stored(possible(pairs, found, similarity)), texts, width, similarity))
-        edges, tried = (good, pairs) if tried is None else (edges.unionByName(good), tried.unionByName(pairs))
-    return edges
+        for old in tried:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        tried.append(pairs := stored(pairs))
+        edges.append(stored(confirmed(stored(possible(pairs, found, similarity)), own, width, similarity)))
+    out = stored(functools.reduce(DataFrame.unionByName, edges))
+    dropped(shared, counts, own, *tried, *edges)
+    return out

@@ -34,15 +34,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import extended, free_name, stored, table, texts
+from .common import extended, free_name, joined_hot, stored, table, texts
 from .components import components
 
-RADIUS, SHINGLE, SEED = 4, 4, 42
+RADIUS, SHINGLE = 4, 4
 #: Shift and width of the blocks; RADIUS // 3 is the radius in a block.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 NEAR = RADIUS // len(BLOCKS)
@@ -51,21 +50,7 @@ SAMPLE_ROWS, SHARDS, SHARD_ROWS, CELL_ROWS = 20_000, 64, 50_000, 100_000
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     """The text's 64-bit SimHash: a bit is 1 if set in over half the shingles' XXH64."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z and [\x20\x09-\x0D] exactly
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)]
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 4096):
-        part = np.array(hashes[k : k + 4096], np.uint64).view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return near_copies.majority(near_copies.shingle_hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -253,26 +238,28 @@ def similar(distinct: DataFrame, shards: int = SHARDS, shard_rows: int = SHARD_R
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, **options) -> DataFrame:
     """doc_id, fp, component_id of every row of docs (doc_id, text)."""
     fps = stored(fingerprints(docs, width))
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows")))
     group = components(similar(distinct, **options))
-    found = distinct.join(group, distinct["fp"] == group["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    found = stored(found)
-    ids = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = found.join(ids, "root").select("fp", "component_id")
-    return fps.join(member, "fp").select("doc_id", "fp", "component_id")
+    found = stored(distinct.join(group, distinct["fp"] == group["node"], "left").select("fp", "least", "n_rows", F.coalesce("root", "fp").alias("root")))
+    ids = found.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    member = joined_hot(found.select("root", "fp", "n_rows"), stored(ids), "root", "n", found.count())
+    return joined_hot(fps, stored(member.select("fp", "component_id", "n_rows")), "fp", "n_rows", fps.count()).select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, width: int = near_copies.WIDTH, similarity: float = near_copies.SIMILARITY) -> DataFrame:
     """docs with one row for each component of near copies: that with its smallest doc_id.
 
     Near copies are texts whose `width`-word shingles have at least that Jaccard
-    similarity (see near_copies), not the links of operator 1. Rows are told
+    similarity. The SimHash search over the same shingles finds candidates, which
+    are confirmed exactly; a join adds the links that fingerprints don't show (see
+    near_copies). Rows are told
     apart by a hash of all their columns, so null and repeated doc_ids keep a row
     for every component; of a component's rows with the same smallest doc_id the
     one with the smallest hash stays.
     """
     found = near_copies.sets(docs, width, similarity)
-    group = components(near_copies.links(docs, found, width, similarity))
+    first = near_copies.seeds(found, stored(similar(stored(found.select("fp").distinct()))))
+    group = components(near_copies.links(docs, found, first, width, similarity))
     named = found.join(group, found["key"] == group["node"], "left").select(F.coalesce("root", "key").alias("root"), "best")
     mark = free_name("mark", docs.columns)
     kept = stored(named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.mark").alias(mark)))
