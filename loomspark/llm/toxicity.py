@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .features import MIX, SAMPLE_ROWS, as_bytes, collected, fold, hasher, kept, key, labelled, logistic, scored, sigmoid, table
 
 BITS, FOLDS, HELD_OUT, THRESHOLD = 20, 3, 1, 0.7
-ALPHA, BETA, L1, L2, PASSES = 0.3, 1.0, 3.0, 0.5, 6
+#: Chosen by folds inside the rows that may be learnt from.
+ALPHA, BETA, L1, L2, PASSES = 3.0, 1.0, 5.0, 0.3, 8
 SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»“”‘’„…–—"
 
 
