@@ -1,9 +1,11 @@
 import hashlib
 import itertools
 import json
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomspark.llm import chat, common, licenses, merkle, mixing, packing, quality, simhash, token_counts, topk, toxicity
+from loomspark.llm import chat, common, features, licenses, merkle, mixing, packing, quality, simhash, token_counts, topk, toxicity
 from loomspark.llm.components import components
 
 from .conftest import ODD
@@ -116,29 +118,43 @@ def test_licenses(odd, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def brute_labels(text):
+    found = re.findall(licenses.WORDS, text.translate(common.ASCII_LOWER))
+    out = set()
+    for t in licenses.template_list():
+        if any(len(set(t.words) & set(found[k : k + t.span])) >= t.need for k in range(len(found))):
+            out.add(t.label)
+    return out | {name for phrase, name in licenses.PHRASES if f" {phrase} " in f" {' '.join(found)} "}
+
+
 def test_license_join_against_brute_force(spark):
     rng = random.Random(5)
-    vocabulary = sorted({w for _, ws in licenses.template_words() for w in ws}) + ["zz", "yy"]
-    lines = [" ".join(rng.sample(ws, max(1, len(ws) - rng.randrange(4))) + rng.sample(vocabulary, rng.randrange(4))) for _, ws in licenses.template_words() for _ in range(6)]
-    got = {r.doc_id: (set(filter(None, r.labels.split(","))) - set(filter(None, r.base_labels.split(",")))) for r in licenses.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).collect()}
-    base = {r.doc_id: set(filter(None, r.base_labels.split(","))) for r in licenses.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).collect()}
-    for k, line in enumerate(lines):
-        want = {label for label, ws in licenses.template_words() if len(set(ws) & set(line.split())) >= 0.8 * len(ws) - 1e-9}
-        assert got[k] == want - base[k]
+    vocabulary = sorted({w for t in licenses.template_list() for w in t.words}) + ["zz", "yy"]
+    texts = []
+    for t in licenses.template_list():
+        for _ in range(8):
+            held = rng.sample(t.words, max(1, len(t.words) - rng.randrange(5))) + rng.sample(vocabulary, rng.randrange(8))
+            rng.shuffle(held)
+            texts.append(" ".join(rng.choices(vocabulary, k=rng.randrange(60))) + "\n".join(["", *held, ""]) + " ".join(rng.choices(vocabulary, k=rng.randrange(30))))
+    texts += ["lic\u212aense mit \u212a", "M\u0130T license", "the MIT\u00e9 license"]
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {k: brute_labels(text) for k, text in enumerate(texts)}
+    assert any(got.values()) and not all(got.values())
 
 
 def test_wrapped_licenses(spark):
-    notices = {label: text for label, text in licenses.TEMPLATES if label in ("mpl", "bsd", "mit")}
-    rows = []
-    for text in notices.values():
+    notices = [(label, text) for label, text in licenses.TEMPLATES if label in ("mpl", "bsd", "mit", "apache")]
+    rows, want = [], []
+    for label, text in notices:
         words = text.split()
         for width in (3, 7, 10):
             lines = [" ".join(words[k : k + width]) for k in range(0, len(words), width)]
             rows.append("Some code.\n\n# " + "\n# ".join(lines) + "\n\nimport os")
-    scattered = " other words stand here and there \n".join(notices["bsd"].split())
+            want.append((label, 1.0))
+    scattered = " other words stand here and there \n".join(dict(notices)["bsd"].split())
     df = spark.createDataFrame([*enumerate(rows), (99, scattered)], "doc_id bigint, text string")
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(df).collect()}
-    assert got == {k: (label, 1.0) for k, label in enumerate(x for x in notices for _ in range(3))} | {99: ("", 0.0)}
+    assert got == dict(enumerate(want)) | {99: ("", 0.0)}
 
 
 def test_merkle(spark, odd, empty):
@@ -148,14 +164,45 @@ def test_merkle(spark, odd, empty):
     assert merkle.with_next(empty).count() == 0
     alone = merkle.with_next(odd.where("doc_id = 1")).first()
     assert alone.next_text == alone.text
-    t = spark.createDataFrame([("a\nb\n\nc\nd", "a\nb\n\nc\nX"), ("same", "same"), ("", "")], "a string, b string")
-    a, b = merkle.tree(F.col("a")), merkle.tree(F.col("b"))
-    got = t.select(merkle.located(a, b).alias("l"), (merkle.root(a) == merkle.root(b)).alias("same"), merkle.likeness(merkle.leaves(F.col("a")), merkle.leaves(F.col("b"))).alias("near")).collect()
-    assert [(tuple(r.l), r.same) for r in got] == [((2, 2), False), ((0, 0), True), ((0, 0), True)] and got[2].near == 1.0
+    trees = [
+        ("a\nb\n\nc\nd", "a\nb\n\nc\nX", ["2.2"]), ("same", "same", []), ("", "", []), ("a\nb\nc", "a\nnew\nb\nc", ["1.2"]), ("a\nb\nc", "a\nc", []),
+        ("a\nb\n\nc\nd", "A\nb\n\nc\nD", ["1.1", "2.2"]), ("a", "a\n\nb", ["2.1"]), ("x\nx", "x\nx\nx", ["1.3"]),
+    ]
+    t = spark.createDataFrame([x[:2] for x in trees], "a string, b string").coalesce(1)
+    got = t.select("a", "b", merkle.differences(merkle.tree(F.col("a")), merkle.tree(F.col("b"))).alias("at"), (merkle.root(merkle.tree(F.col("a"))) == merkle.root(merkle.tree(F.col("b")))).alias("same")).collect()
+    assert [(r.a, r.b, r["at"]) for r in got] == trees and all(r.same == (r.a == r.b) for r in got)
     hot = spark.createDataFrame([(7, f"t{k}") for k in range(60)] + [(8, "z")], "doc_id bigint, text string")
     assert merkle.with_next(hot).count() == 61
 
 
+def brute_leaves(text):
+    found = re.findall(merkle.FINE, text[: merkle.HEAD]) + re.findall(merkle.LEAF, text[merkle.HEAD :])
+    return [hashlib.md5(x.encode()).hexdigest()[: merkle.DIGITS] for x in found]
+
+
+def test_likeness_of_fingerprints(spark, odd):
+    rng = random.Random(13)
+    words = ["".join(rng.choices("abcdehimnorstu", k=rng.randrange(2, 10))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=n)) for n in (1, 3, 30, 90, 200, 4000)] + ["", "\n\n", "same line\n" * 400, None, "中文没有空格" * 60]
+    texts += ["x" + texts[4], texts[4][:300] + " put in " + texts[4][300:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in merkle.compared(docs).collect()}
+    like = lambda a, b: sum((Counter(a) & Counter(b)).values()) / max(len(a), len(b))
+    for k, text in enumerate(texts):
+        text, after = text or "", texts[(k + 1) % len(texts)] or ""
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut]
+        mine, theirs, other = map(brute_leaves, (text, edited, after))
+        assert got[k].fingerprint.partition(":")[2] == "".join(mine) and got[k].edited_fingerprint.partition(":")[2] == "".join(theirs)
+        assert got[k].near_edited == (like(mine, theirs) if mine or theirs else text == edited)
+        assert got[k].near_next == (like(mine, other) if mine or other else text == after)
+        assert got[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+    prints = spark.createDataFrame([(got[4].fingerprint, got[k].fingerprint) for k in (11, 12)], "a string, b string").coalesce(1)
+    near = [r[0] for r in prints.select(merkle.likeness(merkle.numbered(merkle.leaves_of(F.col("a"))), merkle.numbered(merkle.leaves_of(F.col("b"))))).collect()]
+    assert near[0] > 0.5 and near[1] > 0.8
+    assert len(merkle.compared(odd).collect()) == len(ODD)
+
+
 def random_texts(n, seed=1):
     rng = random.Random(seed)
     signs = [chr(c) for c in range(1, 256)] + list("  \n''sstredvmll01.,!") + ["<|endoftext|>", "中", "é", " ", "Σ", "ſ", "İ"]
@@ -171,22 +218,48 @@ def test_token_counts(odd, empty):
     assert all(r.over_limit == (r.n_tokens > 1024) for r in rows) and token_counts.token_counts(empty, BYTES).count() == 0
 
 
-def test_packing(odd, empty):
-    tokenizer, encoder = Tokenizer.from_file(WORDS), packing.Encoder(WORDS, limit=50)
-    for t in random_texts(1500, 2):
-        assert np.frombuffer(encoder.ids(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
-    rows = packing.pack(odd, WORDS, length=256, segment=2000).collect()
-    want = sorted((x[0] or -1, len(tokenizer.encode(x[1] or "", add_special_tokens=False).ids) + 1) for x in ODD)
-    assert sum(r.length for r in rows) == sum(n for _, n in want)
+def check_pieces(rows, docs, length):
+    """Sequences are gapless and short enough, and the pieces of each document
+    (doc_id, text; ids may repeat) are its ids, each once and in order."""
+    tokenizer = Tokenizer.from_file(WORDS)
+    want = Counter()
+    for doc_id, text in docs:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        want[doc_id, len(ids), zlib.crc32(ids.tobytes())] += 1
     for _, pieces in itertools.groupby(sorted(rows, key=lambda r: (r.sequence_id, r.offset)), key=lambda r: r.sequence_id):
         at = 0
         for p in pieces:
-            assert p.offset == at
+            assert p.offset == at and p.length > 0
             at += p.length
-        assert at <= 256
-    ids = np.array([*tokenizer.encode("x " * 6000, add_special_tokens=False).ids, 2], "<u4")
-    for p in (r for r in rows if r.doc_id == 4):
-        assert zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32
+        assert at <= length
+    ids = {doc_id: [] for doc_id, _ in docs}
+    for doc_id, text in docs:
+        ids[doc_id].append(np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4"))
+    for doc_id, own in itertools.groupby(sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0)), key=lambda r: r.doc_id):
+        own = list(own)
+        left = Counter((p.doc_tokens, p.start, p.length, p.ids_crc32) for p in own)
+        for whole in ids[doc_id]:
+            at = 0
+            while at < len(whole):
+                step = next(k for k in left if left[k] and k[:2] == (len(whole), at) and zlib.crc32(whole[at : at + k[2]].tobytes()) == k[3])
+                left[step] -= 1
+                at += step[2]
+            assert at == len(whole)
+        assert not sum(left.values())
+
+
+def test_packing(spark, odd, empty):
+    tokenizer, encoder = Tokenizer.from_file(WORDS), packing.Encoder(WORDS, limit=50)
+    for t in random_texts(1500, 2):
+        assert np.frombuffer(encoder.ids(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    check_pieces(packing.pack(odd, WORDS, length=256, segment=2000).collect(), [x[:2] for x in ODD], 256)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = packing.pack(docs, WORDS, segment=30_000).collect()
+    check_pieces(rows, [(r.doc_id, r.text) for r in docs.collect()], packing.LENGTH)
+    held = Counter()
+    for r in rows:
+        held[r.sequence_id] += r.length
+    assert sum(4096 - n for n in held.values() if n & (n - 1)) < 0.03 * sum(held.values())
     assert packing.pack(empty, WORDS).count() == 0
 
 
@@ -196,13 +269,14 @@ def test_cuts_are_optimal():
         positions = sorted({0, *rng.sample(range(1, 60), 14), 60})
         if max(b - a for a, b in itertools.pairwise(positions)) > 16:
             continue
-        price = [rng.choice((0, 4, 64)) for _ in positions]
+        positions = np.array(positions)
+        price = np.array([rng.choice((0, 4, 64)) for _ in positions])
         pay = lambda a, b: packing.SEQUENCE_COST + (0 if (b - a) & (b - a - 1) == 0 else 16 - (b - a))
         best = {0: 0}
         for j, p in enumerate(positions[1:], 1):
             best[p] = min(best[q] + pay(q, p) for q in positions[:j] if p - q <= 16) + price[j]
         chain = packing.cuts(positions, price, 16, 1)
-        assert sum(pay(a, b) + price[positions.index(b)] for a, b in itertools.pairwise(chain)) == best[60]
+        assert sum(pay(a, b) + price[positions.tolist().index(b)] for a, b in itertools.pairwise(chain)) == best[60]
 
 
 def test_chat(spark):
@@ -240,26 +314,99 @@ def test_top_k(spark):
     v = np.round(rng.normal(size=(400, 24)), 2)
     v[50:80] = v[0]
     rows = [(int(k), x.tolist()) for k, x in enumerate(v)] + [(None, [1.0]), (900, None), (901, [float("nan")] * 24), (902, [None] * 24), (500, [1e30] * 3), (501, [2e30] * 3), (502, [])]
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), every=100).collect()
-    e = np.floor(v * 1024)
-    for q in (0, 100, 200, 300):
-        want = sorted((-int(e[q] @ e[c]), c) for c in range(400) if c != q)[:10]
-        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
-    assert [(r.vec_id, r.score) for r in got if r.query_id == 500] == [(501, topk.LONG)]
+    # Rows that share an id: 100 twice with another vector, 200 twice with the same one.
+    shared = [(100, np.round(rng.normal(size=24), 2)), (200, v[200])]
+    rows += [(i, x.tolist()) for i, x in shared]
+    every = [*enumerate(v), *shared]
+    e = [(i, np.floor(x * 1024).astype(int)) for i, x in every]
+    want = []
+    for k, (i, q) in enumerate(e):
+        if i % 100 == 0:
+            best = sorted((-int(q @ x), c) for j, (c, x) in enumerate(e) if j != k)[:10]
+            want += [(i, r, c, -s) for r, (s, c) in enumerate(best, 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("v", F.lit("clash")).withColumn("rank", F.lit(0))
+    got = [tuple(r) for r in topk.top_k(df, every=100).collect()]
+    assert sorted(r for r in got if r[0] != 500) == sorted(want) and len(want) == 60
+    assert [r[2:] for r in got if r[0] == 500] == [(501, topk.LONG)]
     assert topk.top_k(spark.createDataFrame([], "vec_id bigint, embedding array<double>")).count() == 0
 
 
+def test_top_k_in_blocks_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    df = spark.createDataFrame([(int(k), x.tolist()) for k, x in enumerate(rng.normal(size=(300, 8)))], "vec_id bigint, embedding array<double>")
+    whole = sorted(map(tuple, topk.top_k(df, every=10).collect()))
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    assert sorted(map(tuple, topk.top_k(df, every=10).collect())) == whole and len(whole) == 300
+
+
+def test_top_k_prunes(spark):
+    """Candidates leave before all their dimensions are added up, in a chunk of a few thousand and in the ones after it."""
+    rng = np.random.default_rng(26)
+    v = rng.normal(size=(3000, 64)) * np.repeat([4, 1, 0.3, 0.1], 16)
+    queries = [(int(k), v[k]) for k in range(0, 3000, 100)]
+    searcher = topk.Searcher(queries, 11)
+    searcher.feed(v, np.arange(3000))
+    assert 0 < searcher.work < 0.5 * searcher.full
+    before, full = searcher.work, searcher.full
+    more = rng.normal(size=(3000, 64)) * np.repeat([4, 1, 0.3, 0.1], 16)
+    searcher.feed(more, np.arange(3000, 6000))
+    assert searcher.work - before < 0.5 * (searcher.full - full)
+    e = np.floor(np.concatenate([v, more]) * 1024)
+    for k, (i, _) in enumerate(queries):
+        want = sorted((-int(e[i] @ x), c) for c, x in enumerate(e))[:11]
+        assert [(s, c) for s, c, _ in searcher.best[k]] == want
+
+
+def brute_mix(rows, repeats=3):
+    """taken of each row (doc_id, text, source), in place: every piece in one sorted list."""
+    digest = lambda x: hashlib.md5(x.encode()).hexdigest()
+    size = [len(re.findall(common.WORD, t or "")) for _, t, _ in rows]
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    own = {s: sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in names}
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    target, left = {}, set(names)
+    while left:  # cap the sources that are above their cap, share the rest again
+        level = (sum(own.values()) - sum(target.values())) / sum(weight[s] for s in left)
+        over = {s for s in left if weight[s] * level >= repeats * own[s]}
+        target |= {s: float(repeats * own[s]) for s in over} or {s: weight[s] * level for s in left}
+        left = left - over if over else set()
+    order = sorted(range(len(rows)), key=lambda k: (int(digest(f"{'' if rows[k][0] is None else rows[k][0]}:{digest(rows[k][1] or '')}")[:15], 16), rows[k][0] is not None, rows[k][0] or 0, size[k]))
+    queue, at = [], dict.fromkeys(names, 0)
+    for k in order:
+        s = rows[k][2]
+        for turn in range(repeats):
+            for skipped in range(0, size[k], mixing.QUANTUM):
+                begin, n = at[s] + turn * own[s] + skipped, min(mixing.QUANTUM, size[k] - skipped)
+                queue.append(((begin + n) / target[s], names.index(s), begin, n, k))
+        at[s] += size[k]
+    taken, budget = [0] * len(rows), round(sum(target.values()))
+    for _, _, _, n, k in sorted(queue):
+        taken[k] += min(n, budget)
+        budget -= min(n, budget)
+    return taken, target
+
+
 def test_mixing(spark, odd, empty):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD) and all(r.taken <= 3 * r.size for r in rows)
+    want, _ = brute_mix([(r[0], r[1], r[3]) for r in ODD])
+    assert sorted(r.taken for r in rows) == sorted(want)
     rng = random.Random(7)
-    docs = spark.createDataFrame([(k, "w " * rng.randrange(60), rng.choice("aaaaaabcd")) for k in range(500)], "doc_id bigint, text string, source string")
+    made = [(k, "w " * rng.randrange(60), rng.choice("aaaaaabcd")) for k in range(500)]
+    made += [(900, "w " * 9000, "b"), (901, "v " * 30_000, "a"), (902, None, "c"), (7, "another text", None), (None, "x y z", None)]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string, source string")
+    want, target = brute_mix(made)
+    got = mixing.mix(docs).collect()
+    key = lambda doc_id, size: (doc_id is not None, doc_id or 0, size)
+    sizes = [len((t or "").split()) for _, t, _ in made]
+    assert sorted((*key(r.doc_id, r.size), r.taken) for r in got) == sorted((*key(m[0], n), t) for m, n, t in zip(made, sizes, want, strict=True))
     by = {}
-    for r in mixing.mix(docs).collect():
+    for r in got:
         by.setdefault(r.source, []).append(r)
-    assert all(abs(sum(r.taken for r in rs) - rs[0].target) <= 1 for rs in by.values())
-    assert sum(rs[0].target for rs in by.values()) == pytest.approx(sum(rs[0].source_size for rs in by.values()))
-    assert sorted(map(tuple, mixing.mix(docs).collect())) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()))
+    assert all(abs(sum(r.taken for r in rs) - rs[0].target) <= mixing.QUANTUM for rs in by.values())
+    assert {s: rs[0].target for s, rs in by.items()} == pytest.approx(target)
+    assert sum(r.taken for r in got) == sum(sizes)
+    assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
     out = mixing.mixed_documents(odd)
     assert out.columns == odd.columns
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
@@ -283,6 +430,117 @@ def test_classifiers(spark, odd, empty, module, label, bad):
     assert module.score(df, module.train(df, labels.limit(0))).first().score == 0.5
 
 
+def learnable(rng, n, size):
+    """Random feature sets of two classes that tell themselves by a few features."""
+    examples, y = [], []
+    for _ in range(n):
+        one = rng.random() < 0.4
+        f = set(rng.choices(range(size), k=rng.randrange(1, 25))) | ({rng.randrange(6)} if one else {6 + rng.randrange(6)})
+        examples.append(np.array(sorted(f), np.uint32))
+        y.append(int(one))
+    return examples, np.array(y)
+
+
+def parted(seed, n):
+    order = np.random.default_rng(seed)
+    place = order.permutation(n)
+    return order, place[: n // 5], place[n // 5 :]
+
+
+def test_ftrl_against_a_plain_loop():
+    examples, y = learnable(random.Random(31), 260, 64)
+    at, weights, bias = toxicity.fit(examples, y, 6)
+    order, apart, learnt = parted(5, len(y))
+    z, n, b, bn = Counter(), Counter(), 0.0, 0.0
+
+    def weight(f):
+        if abs(z[f]) <= toxicity.L1:
+            return 0.0
+        return -(z[f] - math.copysign(toxicity.L1, z[f])) / ((toxicity.BETA + math.sqrt(n[f])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.PASSES):
+        for k in order.permutation(learnt):
+            w = {f: weight(f) for f in examples[k].tolist()}
+            g = 1 / (1 + math.exp(-(sum(w.values()) + b))) - int(y[k])
+            for f, x in w.items():
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / toxicity.ALPHA * x
+                n[f] += g * g
+            bn += g * g
+            b -= toxicity.ALPHA / (toxicity.BETA + math.sqrt(bn)) * g
+    w = {f: x for f in range(64) if (x := weight(f))}
+    slope, offset = features.logistic(np.array([sum(w.get(f, 0) for f in examples[k].tolist()) + b for k in apart]), y[apart])
+    assert at.tolist() == sorted(w) and 0 < len(w) < 64
+    assert weights.tolist() == pytest.approx([w[f] * slope for f in sorted(w)]) and bias == pytest.approx(b * slope + offset)
+
+
+def test_dual_coordinate_descent_against_a_plain_loop():
+    examples, y = learnable(random.Random(32), 260, 64)
+    got, got_bias = quality.fit(examples, y, 6)
+    order, apart, learnt = parted(11, len(y))
+    rows = {k: set(examples[k].tolist()) for k in range(len(y))}
+    count = [[quality.SMOOTH + sum(f in rows[k] and y[k] == c for k in learnt) for f in range(64)] for c in (0, 1)]
+    ratio = [math.log(count[1][f] / sum(count[1])) - math.log(count[0][f] / sum(count[0])) for f in range(64)]
+    ratio = [0.0 if count[0][f] + count[1][f] < quality.MIN_ROWS + 2 * quality.SMOOTH else r for f, r in enumerate(ratio)]
+    share = [sum(y[k] == c for k in learnt) / len(learnt) for c in (0, 1)]
+    w, b, dual = [0.0] * 64, 0.0, Counter()
+    for _ in range(quality.PASSES):
+        for k in order.permutation(learnt):
+            sign = 1 if y[k] else -1
+            slope = sign * (sum(w[f] * ratio[f] for f in rows[k]) + b) - 1
+            new = min(max(dual[k] - slope / (sum(ratio[f] ** 2 for f in rows[k]) + 1), 0.0), quality.COST * 0.5 / share[y[k]])
+            step, dual[k] = (new - dual[k]) * sign, new
+            b += step
+            for f in rows[k]:
+                w[f] += step * ratio[f]
+    whole = [a * r for a, r in zip(w, ratio, strict=True)]
+    a, c = features.logistic(np.array([sum(whole[f] for f in rows[k]) + b for k in apart]), y[apart])
+    assert got.tolist() == pytest.approx([x * a for x in whole], rel=1e-4, abs=1e-6) and got_bias == pytest.approx(b * a + c, rel=1e-4)
+    assert any(whole)
+
+
+BIG = (1 << 53) + 1
+
+
+@pytest.fixture(scope="session")
+def wide(spark):
+    """A null id beside ids that doubles can't hold, and extra columns of kinds that pandas can't."""
+    import datetime
+
+    rows = [(None, "no id at all"), (BIG, "Released under the MIT License."), (BIG + 2, "tie tie tie"), (3, None), (BIG + 4, "ca fe " * 30), (BIG, "Released under the MIT License.")]
+    far = datetime.datetime(2500, 1, 1)
+    docs = [(i, t, "en", "a", 1, far, [1, None], {"k": "v"}, None if i is None else i, "x") for i, t in rows]
+    return spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint, at timestamp, list array<int>, pairs map<string,string>, other bigint, score string").coalesce(1)
+
+
+def test_ids_stay_exact_beside_nulls(spark, wide):
+    want = sorted((r.doc_id for r in wide.collect()), key=str)
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(40)], "doc_id bigint, quality int, toxic int")
+    models = [(m, m.train(wide, labels)) for m in (quality, toxicity)]
+    tables = [
+        simhash.near_duplicates(wide), licenses.scan(wide), merkle.compared(wide), token_counts.token_counts(wide, BYTES),
+        packing.pack(wide, WORDS).where("start = 0"), mixing.mix(wide), *(m.score(wide, model) for m, model in models),
+    ]
+    for t in tables:
+        assert sorted((r.doc_id for r in t.collect()), key=str) == want, t.columns
+    turns = wide.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), "text")
+    assert {r.conv_id for r in chat.digests(chat.formatted(chat.table_turns(turns))).collect()} == set(want)
+    records = wide.select("doc_id", F.lit('{"prompt": "p", "completion": "c"}').alias("raw"))
+    assert {r.conv_id for r in chat.record_turns(records, "doc_id", "raw").collect()} == set(want)
+
+
+def test_stages_leave_extra_columns_alone(spark, wide):
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(40)], "doc_id bigint, quality int, toxic int")
+    rows = sorted(map(str, wide.collect()))
+    for out in (toxicity.without_toxic(wide, labels), quality.good(wide, labels), features.kept(wide, len, lambda n: True)):
+        assert out.schema == wide.schema and sorted(map(str, out.collect())) == rows
+    once = sorted(set(rows))
+    assert sorted(map(str, simhash.deduplicated(wide).collect())) == once
+    mixed = mixing.mixed_documents(wide)
+    assert mixed.schema == wide.schema and set(map(str, mixed.collect())) <= set(rows)
+    for empty in (toxicity.without_toxic(wide.limit(0), labels), simhash.deduplicated(wide.limit(0)), quality.good(wide.limit(0), labels)):
+        assert empty.count() == 0 and empty.schema == wide.schema
+
+
 def test_quality_without_a_sample_keeps_all(spark):
     df = spark.createDataFrame([(k, f"text of row {k}") for k in range(50)], "doc_id bigint, text string")
     none = spark.createDataFrame([], "doc_id bigint, quality int")
