@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, values
+from .graph import checkpointed
 from .stats import TOKENS
 
 
@@ -45,31 +46,37 @@ def feature_terms(weights: DataFrame, count: int | None = 1000, digits: int | No
     return ranked.select("term", "score", selected.alias("selected"), F.lit("auto").alias("source"), "rank")
 
 
-def ranks(df: DataFrame, score: str, tie: str, buckets: int = 200) -> DataFrame:
-    """Adds rank (from 1): by falling score, then by tie; without a global window."""
-    df = df.persist()  # read three times
-    cuts = df.agg(F.percentile_approx(score, [k / buckets for k in range(1, buckets)], 10_000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts), reverse=True)
-    bucket = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: F.col(score) < c)) if cuts else F.lit(0)
-    tagged = df.withColumn("__b", bucket)
-    sizes = {r["__b"]: r["n"] for r in tagged.groupBy("__b").agg(F.count("*").alias("n")).collect()}  # at most `buckets` rows
-    offset, ahead = [], 0
-    for b in sorted(sizes):
-        offset += [F.lit(b), F.lit(ahead)]
-        ahead += sizes[b]
-    if not offset:
-        return df.withColumn("rank", F.lit(0).cast("int"))
-    place = F.row_number().over(W.partitionBy("__b").orderBy(F.desc(score), tie))
-    return tagged.withColumn("rank", (place + F.element_at(F.create_map(*offset), F.col("__b"))).cast("int")).drop("__b")
+def ranks(df: DataFrame, score: str, tie: str) -> DataFrame:
+    """Adds rank (from 1): by falling score, then by tie; without a global window.
+
+    Rows are range-partitioned by both, so equal scores (the long tail of rare
+    terms) are spread too; a row's rank is its place in its partition and the
+    rows of the partitions before. The checkpoint fixes the partitions.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = (F.desc(score), tie)
+    placed = checkpointed(df.repartitionByRange(n, *order).sortWithinPartitions(*order)).withColumn("__p", F.spark_partition_id())
+    sizes = {r["__p"]: r["n"] for r in placed.groupBy("__p").agg(F.count("*").alias("n")).collect()}  # one row a partition
+    before = [sum(sizes.get(k, 0) for k in range(p)) for p in range(max(sizes, default=0) + 1)]
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("rank", (place + 1 + F.get(F.array(*map(F.lit, before)), F.col("__p"))).cast("int")).drop("__p")
 
 
 def document_keywords(weights: DataFrame, corpus: DataFrame, top: int = 10) -> DataFrame:
     """doc_id, keyword, score, rank: the best normalized terms of each document
-    by weight; documents without any take their most frequent terms."""
+    by weight. Documents whose terms are no keywords take what is one among their
+    `top` most frequent tokens, with the counts as scores."""
     named = weights.select("doc_id", "term", text.keyword(F.col("term")).alias("keyword"), F.round("w", 6).alias("score")).where("keyword is not null")
     once = named.groupBy("doc_id", "keyword").agg(F.max("score").alias("score"))
     ranked = once.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), "keyword"))).where(F.col("rank") <= top)
-    return ranked.select("doc_id", "keyword", "score", "rank")
+    # A local test: the weights' terms are the blank-separated parts of the tokens.
+    terms = F.filter(F.split(F.array_join(TOKENS, " "), " +"), lambda t: t != "")
+    bare = corpus.where(~F.exists(terms, lambda t: text.keyword(t).isNotNull())).select("doc_id", F.posexplode(TOKENS).alias("at", "term"))
+    counts = bare.groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("score"), F.min("at").alias("at"))
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), "at"))
+    best = counts.withColumn("at", place).where(F.col("at") <= top).select("doc_id", text.keyword(F.col("term")).alias("keyword"), "score", "at").where("keyword is not null")
+    rest = best.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy("at")))
+    return ranked.select("doc_id", "keyword", "score", "rank").unionByName(rest.select("doc_id", "keyword", "score", "rank"))
 
 
 def project_keywords(keywords: DataFrame, top: int = 100) -> DataFrame:
@@ -81,14 +88,15 @@ def project_keywords(keywords: DataFrame, top: int = 100) -> DataFrame:
     return best.select("keyword", "score", place.alias("rank"))
 
 
-def keywords(corpus: DataFrame, method: str = "auto", top_doc: int = 10, top_project: int = 100) -> DataFrame:
-    """scope, doc_id, keyword, score, rank by TF-IDF or YAKE; `auto` takes TF-IDF
-    from 2000 documents or 150,000 tokens on."""
+def keywords(corpus: DataFrame, method: str = "auto", top_doc: int = 10, top_project: int = 100, weights: DataFrame | None = None) -> DataFrame:
+    """scope, doc_id, keyword, score, rank by TF-IDF (of the weights given, or
+    made here) or YAKE; `auto`, as declared for the node, takes TF-IDF from 2000
+    documents or 150,000 tokens on."""
     if method == "auto":
         size = corpus.agg(F.count("*").alias("docs"), F.sum(F.size(TOKENS)).alias("tokens")).first()
         method = "tfidf" if size["docs"] >= 2000 or (size["tokens"] or 0) >= 150_000 else "yake"
     if method == "tfidf":
-        own = document_keywords(tfidf(corpus), corpus, top_doc)
+        own = document_keywords(tfidf(corpus) if weights is None else weights, corpus, top_doc)
     else:
         from . import yake
 
@@ -107,10 +115,14 @@ def similarity(weights: DataFrame, corpus: DataFrame, features: DataFrame | None
     weights sum to less than the squared threshold can't reach it alone (both
     vectors have at most length 1), so a pair must share a term behind them,
     and the frequent terms never index pairs. Candidates are the pairs that
-    share an indexed term; only they are scored in full. least must be above 0.
+    share an indexed term; only they are scored in full.
+
+    With least 0 the threshold falls until `top` pairs are above it; what is then
+    still missing are pairs of score 0, the first in the order of ids. Without a
+    `top`, least must be above 0: pairs of score 0 are all pairs.
     """
     if least <= 0:
-        raise ValueError("least must be above 0: pairs of score 0 are all pairs")
+        return _all_pairs(weights, corpus, features, top)
     w = weights if features is None else weights.join(features.where("selected").select("term"), "term", "left_semi")
     df = w.groupBy("term").agg(F.count("*").alias("df"))
     placed = w.join(df.where("df > 1"), "term")
@@ -140,6 +152,33 @@ def similarity(weights: DataFrame, corpus: DataFrame, features: DataFrame | None
     scored = pairs.join(a, "doc_id_a").join(b, "doc_id_b").select("doc_id_a", "doc_id_b", F.round(dot("ta", "wa", "tb", "wb"), 6).alias("similarity")).where(F.col("similarity") >= least)
     if top > 0:
         scored = scored.orderBy(F.desc("similarity"), "doc_id_a", "doc_id_b").limit(top)
+    return _about(scored, corpus)
+
+
+def _all_pairs(weights: DataFrame, corpus: DataFrame, features: DataFrame | None, top: int) -> DataFrame:
+    """The `top` most similar pairs without a threshold."""
+    if top <= 0:
+        raise ValueError("least must be above 0: pairs of score 0 are all pairs")
+    for least in (0.5, 0.2, 0.05, 1e-9):
+        found = similarity(weights, corpus, features, least, top).select("doc_id_a", "doc_id_b", "similarity")
+        rows = [tuple(r) for r in found.collect()]  # at most `top`
+        if len(rows) >= top:
+            break
+    have = {(a, b) for a, b, _ in rows}
+    after = None
+    while len(rows) < top:
+        ids = corpus.select("doc_id") if after is None else corpus.select("doc_id").where(F.col("doc_id") > after)
+        ids = [r[0] for r in ids.orderBy("doc_id").limit(2 * top + 2).collect()]
+        if len(ids) < 2:
+            break
+        rows += [(ids[0], b, 0.0) for b in ids[1:] if (ids[0], b) not in have][: top - len(rows)]
+        after = ids[0]
+    kind = corpus.schema["doc_id"].dataType.simpleString()
+    return _about(corpus.sparkSession.createDataFrame(rows, f"doc_id_a {kind}, doc_id_b {kind}, similarity double"), corpus)
+
+
+def _about(scored: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The pairs with what is known about their documents."""
     have = [c for c in ("title", "year", "institution") if c in corpus.columns]
     for side in ("a", "b"):
         about = corpus.select(F.col("doc_id").alias(f"doc_id_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in have))

@@ -62,36 +62,60 @@ def comparison(df: DataFrame, field: str, operator: str, wanted: Sequence) -> Co
     return F.coalesce(F.when(both, by_number).otherwise(by_text if operator in ("eq", "neq") else F.lit(False)), F.lit(False))
 
 
-def route(df: DataFrame, field: str, operator: str, wanted: Sequence) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Matched rows, unmatched rows, and a one-row summary; the two are complementary filters of one scan."""
-    fits = comparison(df, field, operator, wanted)
-    summary = df.agg(F.count_if(fits).alias("matched_count"), F.count_if(~fits).alias("unmatched_count"))
-    summary = summary.select(F.lit(field).alias("field"), F.lit(operator).alias("operator"), F.lit(", ".join(map(str, wanted))).alias("values"), "*")
-    return df.where(fits), df.where(~fits), summary
-
-
-def gate(metrics: DataFrame, payload: DataFrame, name: str, operator: str, threshold: float, name_field: str = "metric", value_field: str = "value") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The whole payload passes or none of it: passed, blocked, summary.
-
-    The metric is the value of the row whose name_field is `name`, else the
-    column `name` of its first row, of the row with row_type overall, else of
-    the first row. One row is broadcast; the payload isn't collected.
+def route(corpus: DataFrame | None, table: DataFrame | None, kind: str, field: str, operator: str, wanted: Sequence) -> dict[str, DataFrame]:
+    """matched_ and unmatched_ rows of the corpus and of the table, each of which
+    the condition is put to, and a one-row summary. Its counts are the corpus's,
+    or the table's where there are no documents."""
+    out: dict[str, DataFrame] = {}
+    zero = (corpus if corpus is not None else table).sparkSession.range(1).select(F.lit(field).alias("field"))
+    for name, df in (("corpus", corpus), ("table", table)):
+        if df is None:
+            zero = zero.withColumns({f"{name}_matched": F.lit(0).cast("long"), f"{name}_unmatched": F.lit(0).cast("long")})
+            continue
+        fits = comparison(df, field, operator, wanted)
+        out[f"matched_{name}"], out[f"unmatched_{name}"] = df.where(fits), df.where(~fits)
+        counts = df.agg(F.count_if(fits).alias(f"{name}_matched"), F.count_if(~fits).alias(f"{name}_unmatched"))
+        zero = zero.join(F.broadcast(counts))  # one row each
+    some = F.col("corpus_matched") + F.col("corpus_unmatched") > 0
+    count = lambda side: F.when(some, F.col(f"corpus_{side}")).otherwise(F.col(f"table_{side}")).alias(f"{side}_count")
+    out["route_summary"] = zero.select(
+        F.lit(kind).alias("source_kind"), "field", F.lit(operator).alias("operator"), F.array(*(F.lit(str(v)) for v in wanted)).cast("array<string>").alias("values"),
+        count("matched"), count("unmatched"), (F.col("corpus_matched") + F.col("corpus_unmatched")).alias("corpus_input_count"),
+        (F.col("table_matched") + F.col("table_unmatched")).alias("table_input_count"),
+    )
+    return out
+
+
+def gate(metrics: DataFrame, payload: DataFrame | None, name: str, operator: str, threshold: float, name_field: str = "metric", value_field: str = "value") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole payload (without one, the metrics) passes or none of it: passed,
+    blocked, summary.
+
+    The metric row is the first whose name_field is `name`; else, where `name` is
+    a column, the first row; else the first with row_type overall; else the first.
+    Its value is that of value_field, or of the column `name` where that is null.
+    Rows are in the order in which they are read. One row is broadcast; the
+    payload isn't collected.
     """
-    order = [F.col(c) for c in metrics.columns if not isinstance(metrics.schema[c].dataType, (T.MapType, T.ArrayType))]
-    found = []
-    if name_field in metrics.columns and value_field in metrics.columns:
-        found.append(F.min(F.when(F.col(name_field) == name, F.col(value_field).cast("double"))))
-    if name in metrics.columns:
-        if "row_type" in metrics.columns:
-            found.append(F.min(F.when(F.col("row_type") == "overall", F.col(name).cast("double"))))
-        found.append(F.min_by(F.col(name).cast("double"), F.struct(*order)))
-    value = F.coalesce(*found) if found else F.lit(None).cast("double")
-    a, b = F.col("metric_value"), F.lit(float(threshold))
-    fits = {"gte": a >= b, "gt": a > b, "lte": a <= b, "lt": a < b, "eq": a == b, "neq": a != b}[operator]
-    one = metrics.agg(value.alias("metric_value"), F.count("*").alias("metric_rows")).withColumn("passed", F.coalesce(fits, F.lit(False)))
-    flag = F.broadcast(one.select(F.col("passed").alias("__passed")))
-    both = payload.join(flag)
-    summary = one.select(F.lit(name).alias("metric_name"), "metric_value", F.lit(operator).alias("operator"), b.alias("threshold"), "passed")
+    rows = metrics.withColumn("__at", F.monotonically_increasing_id())
+    rank = F.lit(3)
+    if "row_type" in metrics.columns:
+        rank = F.when(F.lower(F.col("row_type")) == "overall", 2).otherwise(rank)
+    if name and name in metrics.columns:
+        rank = F.lit(1)
+    if name:
+        rank = F.when(lookup(metrics, name_field) == name, 0).otherwise(rank)
+    shown = F.coalesce(lookup(metrics, value_field), *([F.col(name).cast("string")] if name and name in metrics.columns else []))
+    first = rows.agg(F.min_by(F.struct(shown.alias("v")), F.struct(rank, "__at"))["v"].alias("observed"))
+    a, b = F.col("observed").try_cast("double"), F.lit(float(threshold))
+    numbers = {"gte": a >= b, "gt": a > b, "lte": a <= b, "lt": a < b, "eq": a == b, "neq": a != b}[operator]
+    words = {"eq": F.col("observed") == F.lit(str(threshold)), "neq": F.coalesce(F.col("observed"), F.lit("")) != F.lit(str(threshold))}.get(operator, F.lit(False))
+    one = first.withColumn("passed", F.coalesce(F.when(a.isNotNull(), numbers).otherwise(words), F.lit(False)))
+    payload = metrics if payload is None else payload
+    both = payload.join(F.broadcast(one.select(F.col("passed").alias("__passed"))))
+    size = payload.agg(F.count("*").alias("input_count"))
+    summary = one.join(F.broadcast(size)).select(  # one row each
+        F.lit(name or value_field).alias("metric"), F.lit(value_field).alias("metric_field"), F.lit(operator).alias("operator"), b.alias("threshold"), a.alias("observed_value"), "passed", "input_count",
+    )
     return both.where("__passed").drop("__passed"), both.where("not __passed").drop("__passed"), summary
 
 
@@ -203,15 +227,27 @@ def difference(left: DataFrame, right: DataFrame, limit: int = 25) -> tuple[Data
 
 
 def draw(df: DataFrame, seed: int) -> Column:
-    """A row's place in the shuffled order of a seed."""
-    return F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
+    """A row's place in the shuffled order of a seed: 60 bits of an MD5."""
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def sample(df: DataFrame, size: int | None = 200, ratio: float | None = None, seed: int = 42) -> DataFrame:
-    """The rows with the least draws: `ratio` of all (at least one) or `size` of them."""
+    """The rows with the least draws: `ratio` of all (at least one) or `size` of them.
+
+    The draw of the last row is found by counting passes; rows below it stay
+    where they are, and only those that share it (an id's repeats) are cut.
+    """
     n = df.count()
     want = max(1, round(n * min(1.0, ratio))) if ratio else max(0, size or 0)
-    return df if want >= n else df.orderBy(draw(df, seed), "doc_id").limit(want)
+    if want >= n:
+        return df
+    if not want:
+        return df.limit(0)
+    drawn = df.withColumn("__u", draw(df, seed))
+    last = _nth(drawn, "__u", want)
+    below = drawn.where(F.col("__u") < last)
+    return below.unionByName(drawn.where(F.col("__u") == last).limit(want - below.count())).drop("__u")
 
 
 def parse_splits(text: str) -> list[tuple[str, float]]:
@@ -225,8 +261,7 @@ def parse_splits(text: str) -> list[tuple[str, float]]:
 def split(df: DataFrame, splits: Sequence[tuple[str, float]] = (("train", 0.7), ("test", 0.3)), seed: int = 42) -> DataFrame:
     """doc_id, title, split_name: a seeded draw cut at exact counts, the last split takes the remainder.
 
-    The cut draws come from one approximate quantile pass and an exact count
-    around them: no global window, rows are labelled where they are.
+    The cut draws come from a few counting passes: no global window, rows are labelled where they are.
     """
     n = df.count()
     ends, at = [], 0.0

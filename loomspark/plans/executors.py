@@ -148,15 +148,8 @@ def tokenize(ctx, cfg, inputs):
 
 @node("conditional_router")
 def conditional_router(ctx, cfg, inputs):
-    wanted = (cfg["field"], cfg["operator"], listed(cfg["values_text"]))
-    out, by_corpus = {}, cfg["source_kind"] == "corpus_metadata"
-    for kind in ("corpus", "table"):
-        if (df := inputs.get(f"{kind}_in")) is not None:
-            if (kind == "corpus") == by_corpus or len([k for k in inputs.values() if k is not None]) == 1:
-                out[f"matched_{kind}"], out[f"unmatched_{kind}"], out["route_summary"] = relational.route(df, *wanted)
-            else:
-                out[f"matched_{kind}"], out[f"unmatched_{kind}"] = df, df.limit(0)
-    return out
+    own = inputs.get("corpus_in")
+    return relational.route(ctx.corpus if own is None else own, inputs.get("table_in"), cfg["source_kind"], cfg["field"], cfg["operator"], listed(cfg["values_text"]))
 
 
 @node("apply_dictionary_rules")
@@ -237,7 +230,9 @@ def similarity_analysis(ctx, cfg, inputs):
 
 @node("keyword_extraction")
 def keyword_extraction(ctx, cfg, inputs):
-    return {"keyword_table": features.keywords(inputs["token_corpus_in"], cfg["method"], cfg["top_k_per_doc"], cfg["top_k_project"])}
+    corpus = inputs["token_corpus_in"]
+    weights = ctx.weights(corpus) if cfg["method"] == "tfidf" else None
+    return {"keyword_table": features.keywords(corpus, cfg["method"], cfg["top_k_per_doc"], cfg["top_k_project"], weights)}
 
 
 @node("keyword_clustering")
@@ -328,7 +323,7 @@ def join_results(ctx, cfg, inputs):
 
 @node("result_gate")
 def result_gate(ctx, cfg, inputs):
-    a, b, s = relational.gate(inputs["metric_table_in"], inputs["payload_in"], cfg["metric_name"], cfg["operator"], cfg["threshold"], cfg["metric_name_field"], cfg["metric_field"])
+    a, b, s = relational.gate(inputs["metric_table_in"], inputs.get("payload_in"), cfg["metric_name"], cfg["operator"], cfg["threshold"], cfg["metric_name_field"], cfg["metric_field"])
     return {"passed_table": a, "blocked_table": b, "gate_summary": s}
 
 

@@ -282,9 +282,9 @@ def keywords_document(spark, d):
     return doc_keywords(spark, d)
 
 
-@query("keywords_project", f"WITH {KEYWORDS} SELECT keyword, score FROM top_project WHERE rank <= 100")
+@query("keywords_project", f"WITH {KEYWORDS} SELECT keyword, score, rank FROM top_project WHERE rank <= 100")
 def keywords_project(spark, d):
-    return features.project_keywords(doc_keywords(spark, d)).select("keyword", "score")
+    return features.project_keywords(doc_keywords(spark, d)).select("keyword", "score", "rank")
 
 
 @query("institution_keyword", f"WITH {KEYWORDS} SELECT institution, keyword, count(*) AS cooccurrence_count, year, round(ln(count(*) + 1), 4) AS score FROM kw JOIN corpus USING (doc_id) GROUP BY institution, keyword, year")
@@ -340,17 +340,26 @@ def filter_contains(spark, d):
 
 @query("router_matched", f"WITH {CORPUS} SELECT {SHOW} FROM corpus WHERE year >= 2020")
 def router_matched(spark, d):
-    return shown(relational.route(corpus(spark, d), "year", "gte", [2020])[0])
+    return shown(relational.route(corpus(spark, d), None, "corpus_metadata", "year", "gte", [2020])["matched_corpus"])
 
 
 @query("router_unmatched", f"WITH {CORPUS} SELECT {SHOW} FROM corpus WHERE NOT (year >= 2020)")
 def router_unmatched(spark, d):
-    return shown(relational.route(corpus(spark, d), "year", "gte", [2020])[1])
+    return shown(relational.route(corpus(spark, d), None, "corpus_metadata", "year", "gte", [2020])["unmatched_corpus"])
 
 
-@query("router_summary", "SELECT 'o_totalprice' AS field, 'lt' AS operator, '1000' AS values, count(*) FILTER (o_totalprice < 1000) AS matched_count, count(*) FILTER (o_totalprice >= 1000) AS unmatched_count FROM orders")
+@query("router_summary", f"""WITH {CORPUS}, c AS (SELECT count(*) FILTER (source IN ('src1', 'src2')) AS m, count(*) AS n FROM corpus), t AS (SELECT count(*) AS n FROM events)
+SELECT 'corpus_metadata' AS source_kind, 'source' AS field, 'in' AS operator, 'src1,src2' AS values, c.m AS matched_count, c.n - c.m AS unmatched_count, c.n AS corpus_input_count, t.n AS table_input_count FROM c, t""")
 def router_summary(spark, d):
-    return relational.route(table(spark, d, "orders"), "o_totalprice", "lt", [1000])[2]
+    out = relational.route(corpus(spark, d), table(spark, d, "events"), "corpus_metadata", "source", "in", ["src1", "src2"])
+    return out["route_summary"].withColumn("values", F.array_join("values", ","))
+
+
+@query("router_table", "SELECT 'matched' AS side, o_orderkey FROM orders WHERE o_totalprice < 1000 UNION ALL SELECT 'unmatched', o_orderkey FROM orders WHERE NOT o_totalprice < 1000")
+def router_table(spark, d):
+    out = relational.route(corpus(spark, d), table(spark, d, "orders"), "table", "o_totalprice", "lt", [1000])
+    sides = [out[f"{side}_table"].select(F.lit(side).alias("side"), "o_orderkey") for side in ("matched", "unmatched")]
+    return sides[0].unionByName(sides[1])
 
 
 GATE = "(SELECT max(o_totalprice) FROM orders)"
@@ -362,7 +371,7 @@ def result_gate(spark, d):
     return relational.gate(metrics, table(spark, d, "nation"), "largest", "gte", 1000.0)[0].select("n_nationkey", "n_name")
 
 
-@query("result_gate_summary", f"SELECT 'largest' AS metric_name, CAST({GATE} AS DOUBLE) AS metric_value, 'lt' AS operator, CAST(10.0 AS DOUBLE) AS threshold, {GATE} < 10 AS passed")
+@query("result_gate_summary", f"SELECT 'largest' AS metric, 'value' AS metric_field, 'lt' AS operator, CAST(10.0 AS DOUBLE) AS threshold, CAST({GATE} AS DOUBLE) AS observed_value, {GATE} < 10 AS passed, (SELECT count(*) FROM nation) AS input_count")
 def result_gate_summary(spark, d):
     metrics = table(spark, d, "orders").agg(F.lit("largest").alias("metric"), F.max("o_totalprice").cast("double").alias("value"))
     return relational.gate(metrics, table(spark, d, "nation"), "largest", "lt", 10.0)[2]
@@ -603,13 +612,17 @@ def compare_runs(spark, d):
     return governance.compare_runs(count(c.where("row_order % 3 = 0 and source <> 'src1'")), count(c.where("row_order % 2 = 0 and source <> 'src2'")))
 
 
-@query("review_patch", f"WITH {CORPUS} SELECT doc_id, CASE WHEN row_order % 9 = 0 THEN 'patched ' || doc_id ELSE title END AS title, CASE WHEN row_order % 9 = 0 THEN 1999 ELSE year END AS year, CASE WHEN source = 'src3' THEN 'Merged' ELSE institution END AS institution FROM corpus")
+@query("review_patch", f"""WITH {CORPUS} SELECT doc_id, CASE WHEN row_order % 9 = 0 THEN 'patched ' || doc_id ELSE title END AS title, CASE WHEN row_order % 9 = 0 THEN 1999 ELSE year END AS year,
+  CASE WHEN source = 'src3' THEN 'Merged' ELSE institution END AS institution, md5(CASE WHEN row_order % 14 = 0 THEN ' ' WHEN row_order % 7 = 0 THEN 'new text' ELSE raw_text END) AS raw_hash,
+  CASE WHEN row_order % 14 = 0 THEN 'warning' ELSE 'ready' END AS status, CASE WHEN row_order % 7 = 0 THEN '' ELSE 'cleaned' END AS clean_text, CAST(CASE WHEN row_order % 7 = 0 THEN 0 ELSE 1 END AS INTEGER) AS n_tokens FROM corpus""")
 def review_patch(spark, d):
-    c = corpus(spark, d)
-    rows = c.where("row_order % 9 = 0")
-    patches = rows.select("doc_id", F.lit("title").alias("field"), F.concat(F.lit("patched "), F.col("doc_id")).alias("value")).unionByName(rows.select("doc_id", F.lit("year").alias("field"), F.lit("1999").alias("value")))
+    c = corpus(spark, d).withColumns({"raw_hash": F.md5(F.col("raw_text").cast("binary")), "status": F.lit("ready"), "clean_text": F.lit("cleaned"), "tokens": F.array(F.lit("cleaned"))})
+    patch = lambda every, field, value: c.where(F.col("row_order") % every == 0).select("doc_id", F.lit(field).alias("field"), value.alias("value"))
+    text = F.when(F.col("row_order") % 14 == 0, " ").otherwise("new text")
+    patches = patch(9, "title", F.concat(F.lit("patched "), F.col("doc_id"))).unionByName(patch(9, "year", F.lit("1999"))).unionByName(patch(7, "raw_text", text))
     names = spark.createDataFrame([("src3", "Merged")], "old string, new string")
-    return governance.renamed(governance.patched(c, patches), "institution", names).select("doc_id", "title", "year", "institution")
+    out = governance.renamed(governance.patched(c, patches), "institution", names)
+    return out.select("doc_id", "title", "year", "institution", "raw_hash", "status", "clean_text", F.size("tokens").alias("n_tokens"))
 
 
 @query("merge_term_counts", f"WITH {FILTERED} SELECT term, year, count(*) AS tf_in_year, count(DISTINCT doc_id) AS df_in_year FROM ex GROUP BY term, year")
@@ -650,12 +663,20 @@ def events_sessions(spark, d):
 # --- without SQL: seeded draws, iterations, models -----------------------------------------------
 
 
-@query("sample")
+DRAW = """draws AS (SELECT *, ('0x' || substr(md5(doc_id || ':42'), 1, 15))::BIGINT AS u FROM corpus)"""
+
+
+@query("sample", f"WITH {CORPUS}, {DRAW} SELECT {SHOW} FROM draws ORDER BY u LIMIT 200")
 def sample(spark, d):
     return shown(relational.sample(corpus(spark, d), size=200))
 
 
-@query("split")
+@query("sample_ratio", f"WITH {CORPUS}, {DRAW}, r AS (SELECT *, row_number() OVER (ORDER BY u) AS p FROM draws) SELECT {SHOW} FROM r WHERE p <= (SELECT round(count(*) * 0.25) FROM corpus)")
+def sample_ratio(spark, d):
+    return shown(relational.sample(corpus(spark, d), ratio=0.25))
+
+
+@query("split", f"WITH {CORPUS}, {DRAW}, r AS (SELECT *, row_number() OVER (ORDER BY u) AS p FROM draws) SELECT doc_id, title, CASE WHEN p <= floor((SELECT count(*) FROM corpus) * 0.7 + 1e-9) THEN 'train' ELSE 'test' END AS split_name FROM r")
 def split(spark, d):
     return relational.split(corpus(spark, d))
 

@@ -91,11 +91,19 @@ def test_dictionary_constants_and_join_agree(spark, monkeypatch):
 
 
 def test_relational(spark, corpus):
-    a, b, s = relational.route(corpus, "institution", "in", ["OpenAI"])
-    assert (a.count(), b.count(), s.first().matched_count) == (2, 2, 2)
+    table = spark.createDataFrame([("OpenAI", 1), ("Other", 2), ("Other", 3)], "institution string, n int")
+    out = relational.route(corpus, table, "corpus_metadata", "institution", "in", ["OpenAI"])
+    assert [out[k].count() for k in ("matched_corpus", "unmatched_corpus", "matched_table", "unmatched_table")] == [2, 2, 1, 2]
+    assert tuple(out["route_summary"].first()) == ("corpus_metadata", "institution", "in", ["OpenAI"], 2, 2, 4, 3)
+    assert tuple(relational.route(None, table, "table", "n", "gte", [2])["route_summary"].first())[4:] == (2, 1, 0, 3)
     metrics = spark.createDataFrame([("silhouette", 0.41), ("davies", 1.2)], "metric string, value double")
     assert relational.gate(metrics, corpus, "silhouette", "gte", 0.5)[0].count() == 0
     assert relational.gate(metrics, corpus, "silhouette", "gte", 0.4)[0].count() == 4
+    assert tuple(relational.gate(metrics, corpus, "davies", "lt", 2)[2].first()) == ("davies", "value", "lt", 2.0, 1.2, True, 4)
+    wide = spark.createDataFrame([("cluster", 0.1), ("overall", 0.9)], "row_type string, score double").coalesce(1)
+    assert relational.gate(wide, None, "score", "gte", 0.0)[2].first().observed_value == 0.1  # a column of that name: the first row
+    assert relational.gate(wide, None, "", "gte", 0.5, value_field="score")[2].first().observed_value == 0.9
+    assert relational.gate(wide, None, "none", "gte", 0.5)[2].first().passed is False
     tasks = spark.createDataFrame([("r", "open")], "id string, status string")
     assert [relational.review_gate(corpus, tasks, i, on_missing=m)[0].count() for i, m in (("r", "block"), ("x", "pass"), ("x", "block"))] == [0, 4, 0]
     left = spark.createDataFrame([("battery", 4, "l"), (None, 3, "l")], "term string, tf int, g string")

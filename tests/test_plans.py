@@ -65,7 +65,31 @@ def test_governance(spark, corpus):
     assert {r.doc_id: r.title for r in governance.patched(corpus, patches).collect()}["1"] == "New"
     a, b = (spark.createDataFrame([("t", n)], "name string, row_count long") for n in (3, 8))
     assert governance.compare_runs(a, b).first().row_delta == 5
-    assert governance.bundle_kind(["xlsx", "csv"]) == "tables_only"
+    assert governance.bundle_kind(["xlsx", "csv"], True) == "tables_only" and governance.bundle_kind(["xlsx", "csv"], False) == "custom"
+    assert governance.bundle_kind(["png", "html"], False) == "charts_and_report" and governance.bundle_kind(["png", "html"], True) == "custom"
+    records = spark.createDataFrame([("r1", "clean_text", False), ("r2", "clean_text", False), ("r1", "note", False)], "run_id string, node_id string, invalidated boolean")
+    assert sorted((r.run_id, r.node_id) for r in governance.invalidated(records, ["clean_text"], "r2").where("invalidated").collect()) == [("r1", "clean_text")]
+
+
+def test_review_corrections(spark, corpus):
+    full = corpus.withColumns({"tokens": F.array(F.lit("t")), "clean_text": F.lit("c"), "raw_hash": F.lit("h"), "status": F.lit("x")})
+    tasks = [
+        ("a", "document_patch", "resolved", '{"doc_id": "1"}', '{"document_patch": {"title": "", "year": "x", "raw_text": "new"}}', None),
+        ("b", "document_patch", "resolved", None, '{"doc_id": "2", "document_patch": {"title": "Other"}}', '{"decision": "reject"}'),
+        ("c", "institution_merge", "resolved", None, '{"source_values": ["A"], "canonical_institution": "Z"}', None),
+        ("d", "keyword_merge", "resolved", None, '{"source_term": "GPU", "target_term": "gpus"}', '{"target_term": "graphics unit"}'),
+        ("e", "dictionary_patch", "resolved", None, '{"dictionary_kind": "stopwords", "entries": [{"source": "of"}, {"source": "and"}]}', None),
+        ("f", "cluster_rename", "resolved", '{"cluster_id": "3"}', '{"new_label": "L"}', None), ("g", "cluster_rename", "open", '{"cluster_id": "4"}', '{"label": "M"}', None),
+    ]
+    tasks = spark.createDataFrame(tasks, "id string, review_type string, status string, target_ref string, payload string, resolution string")
+    got = {r.doc_id: r for r in governance.patched(full, governance.document_corrections(tasks, full)).collect()}
+    assert (got["1"].title, got["1"].year, got["1"].raw_text, got["1"].tokens, got["1"].clean_text, got["1"].status) == ("Battery recycling", None, "new", [], "", "ready")
+    assert got["1"].raw_hash == "22af645d1859cb5ca6da0c484f1f37ea" and got["2"].title == "Writing" and got["3"].tokens == ["t"] and got["3"].raw_hash == "h"
+    assert [got[k].institution for k in "123"] == ["Z", "B", "Z"]
+    words = dictionary.entries(spark, [("standard_terms", "gpu", "old"), ("stopwords", "and", None)])
+    after = {(r.kind, r.source): (r.target, r.enabled) for r in governance.corrected(words, governance.dictionary_corrections(tasks)).collect()}
+    assert after == {("standard_terms", "gpu"): ("graphics unit", True), ("stopwords", "and"): (None, True), ("stopwords", "of"): (None, True)}
+    assert [tuple(r) for r in governance.cluster_corrections(tasks).collect()] == [("3", "L")]
 
 
 def test_import(spark, tmp_path):
