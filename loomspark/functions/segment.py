@@ -1,7 +1,9 @@
 """Segmentation of CJK runs.
 
 Runs of CJK characters are cut by a lexicon: the segmentation with the fewest
-pieces, then the fewest single characters, then the longest first words.
+pieces, then the fewest single characters, then the longest first words. What no
+word of the lexicon covers is cut into pairs of characters (most words have two),
+with or without a lexicon; without one that happens in generated code.
 """
 
 from __future__ import annotations
@@ -10,14 +12,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RUN = re.compile("[一-鿿]+")
 
 
 def segment(run: str, lexicon: frozenset[str], longest: int) -> list[str]:
-    """The best pieces of one run; without a lexicon word in it, single characters joined in pairs are not guessed: the run is cut into characters."""
+    """The best pieces of one run; single characters between words are joined in pairs."""
     n = len(run)
     best: list[tuple] = [(0, 0, ())] * (n + 1)
     for i in range(n - 1, -1, -1):
@@ -27,11 +29,23 @@ def segment(run: str, lexicon: frozenset[str], longest: int) -> list[str]:
                 pieces, single, cuts = best[i + k]
                 options.append((pieces + 1, single + (k == 1), (-k, *cuts)))
         best[i] = min(options)
-    out, at = [], 0
+    out, at, single = [], 0, ""
     for k in best[0][2]:
-        out.append(run[at : at - k])
+        piece = run[at : at - k]
         at -= k
-    return out
+        if k == -1 and piece not in lexicon:
+            single += piece
+            continue
+        out += [single[j : j + 2] for j in range(0, len(single), 2)] + [piece]
+        single = ""
+    return out + [single[j : j + 2] for j in range(0, len(single), 2)]
+
+
+def paired(tokens: Column) -> Column:
+    """The tokens with CJK runs cut into pairs of characters."""
+    run = lambda t: F.regexp_like(t, F.lit("^[一-鿿]+$"))
+    cut = F.flatten(F.transform(tokens, lambda t: F.when(run(t), F.regexp_extract_all(t, F.lit(".{1,2}"), F.lit(0))).otherwise(F.array(t))))
+    return F.when(F.exists(tokens, run), cut).otherwise(tokens)
 
 
 def lexicon_of(entries: DataFrame, most: int = 500_000) -> frozenset[str]:
@@ -44,12 +58,12 @@ def lexicon_of(entries: DataFrame, most: int = 500_000) -> frozenset[str]:
     return frozenset(r["w"] for r in rows)
 
 
-def segmented(df: DataFrame, column: str, entries: DataFrame) -> DataFrame:
-    """df with the CJK tokens of an array column cut by the entries' lexicon.
-    Without lexicon words nothing leaves generated code."""
-    words = lexicon_of(entries)
+def segmented(df: DataFrame, column: str, entries: DataFrame | None) -> DataFrame:
+    """df with the CJK tokens of an array column cut by the entries' lexicon, or
+    into pairs where there is none: then nothing leaves generated code."""
+    words = lexicon_of(entries) if entries is not None else frozenset()
     if not words:
-        return df
+        return df.withColumn(column, paired(F.col(column)))
     longest = max(map(len, words))
     shared = df.sparkSession.sparkContext.broadcast(words)
 

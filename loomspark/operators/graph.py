@@ -146,14 +146,16 @@ def metrics(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
     shared = spark.sparkContext.broadcast(graph)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Summed over a task's sources: a task returns a row a term at most.
+        close, between = defaultdict(float), defaultdict(float)
         for b in batches:
-            rows = []
             for source in b["term"]:
                 reached, total = hops(shared.value, source)
-                closeness = reached / total * reached / (n - 1) if total and n > 1 else 0.0
-                rows.append((source, closeness, 0.0))
-                rows += [(t, 0.0, s) for t, s in shortest_paths(shared.value, source).items()]
-            yield pd.DataFrame(rows, columns=["term", "c", "b"])
+                close[source] += reached / total * reached / (n - 1) if total and n > 1 else 0.0
+                for t, s in shortest_paths(shared.value, source).items():
+                    between[t] += s
+        terms = sorted(close.keys() | between.keys())
+        yield pd.DataFrame({"term": terms, "c": [close[t] for t in terms], "b": [between[t] for t in terms]})
 
     sources = degrees(edges)
     width = min(max(1, n // 8), spark.sparkContext.defaultParallelism * 4) or 1

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.segment import segmented
 from ..operators import dictionary, features, graph, models, relational, stats, technology
 from ..sinks import writers
 
@@ -136,11 +137,12 @@ def tokenize(ctx, cfg, inputs):
     c = F.col("normalized_text")
     tokens = text.tokenize(c, phrases, cfg["normalize_camel_case"], cfg["split_hyphenated_terms"], cfg["split_slash_terms"], cfg["min_token_length_before_filter"])
     df = inputs["corpus_in"].withColumn("tokens", tokens)
+    lexicon = None
     kinds = ["standard_terms", "synonym_map", "near_synonym_map", *(["custom_lexicon"] if cfg["use_custom_lexicon"] else []), *(["phrase_lexicon"] if cfg["use_phrase_lexicon"] else [])]
     if rules is not None:
-        from ..functions.segment import segmented
-
-        df = segmented(df, "tokens", rules.where(F.col("kind").isin(kinds)))
+        lexicon = rules.where(F.col("kind").isin(kinds))
+    df = segmented(df, "tokens", lexicon)
+    df = df.withColumn("tokens", F.filter("tokens", lambda t: F.length(t) >= cfg["min_token_length_before_filter"])) if cfg["min_token_length_before_filter"] > 1 else df
     if cfg["enable_ngrams"]:
         df = df.withColumn("tokens", text.ngrams(F.col("tokens"), cfg["ngram_min"], cfg["ngram_max"]))
     return {"token_corpus": df.withColumn("phrase_hits", text.phrase_hits(c, phrases) if phrases else F.array().cast("array<string>"))}

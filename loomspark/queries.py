@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import text, values
+from .functions import segment, text, values
 from .operators import dictionary, features, graph, models, relational, stats, technology
 from .plans import executors, governance, workflow
 from .sources import mapping
@@ -108,11 +108,35 @@ def clean_text(spark, d):
     return corpus(spark, d).select("doc_id", c.alias("clean_text")).withColumn("status", F.when(F.col("clean_text") == "", "warning").otherwise("ready"))
 
 
-@query("clean_text_all_steps", rf"""WITH {CORPUS}, a AS (SELECT doc_id, regexp_replace(regexp_replace(raw_text, '<[^>]+>', ' ', 'g'), 'https?://\S+|www\.\S+', ' ', 'g') AS t FROM corpus)
-SELECT doc_id, trim(regexp_replace(lower(regexp_replace(t, '[\x{{10000}}-\x{{10ffff}}]', '', 'g')), '\s+', ' ', 'g')) AS clean_text FROM a""")
+#: Rows beside the documents that hold what the text steps look for.
+ODD_TEXTS = (
+    "Write to jane.doe+x@mail.example.org or call +49 30 1234 5678 now", "<b>Ｆｕｌｌ　ｗｉｄｔｈ</b> ＡＢＣ１２３ see www.example.org/a", "smile \U0001F600 and * special # signs $ 100%",
+    "on 2024-05-01 at 12:30:15, then 2024/5/1 and 9:05", "體學術寫作 時間 數據 writing", "數據時間ABC中文分词系統x", "3.14 and 15 numbers 2.5", "   ", "中",
+)
+
+
+def with_odd(spark, d):
+    """doc_id, raw_text of all documents and of the odd rows."""
+    odd = spark.createDataFrame([(f"odd{k}", t) for k, t in enumerate(ODD_TEXTS)], "doc_id string, raw_text string")
+    return corpus(spark, d).select("doc_id", "raw_text").unionByName(odd)
+
+
+WITH_ODD = CORPUS + ", both_texts AS (SELECT doc_id, raw_text FROM corpus UNION ALL VALUES " + ", ".join(f"('odd{k}', '{t}')" for k, t in enumerate(ODD_TEXTS)) + ")"
+
+
+@query("clean_text_all_steps", rf"""WITH {WITH_ODD}, a AS (
+  SELECT doc_id, regexp_replace(regexp_replace(raw_text, '<[^>]+>', ' ', 'g'), 'https?://\S+|www\.\S+', ' ', 'g') AS t FROM both_texts
+), b AS (
+  SELECT doc_id, regexp_replace(regexp_replace(t, '\b[\w.+-]+@[\w.-]+\.\w+\b', ' ', 'g'), '\b(?:\+?\d[\d -]{{7,}}\d)\b', ' ', 'g') AS t FROM a
+), c AS (
+  SELECT doc_id, lower(translate(regexp_replace(t, '[\x{{10000}}-\x{{10ffff}}]', '', 'g'), '{text.FULL.replace("'", "''")}', '{text.HALF.replace("'", "''")}')) AS t FROM b
+), e AS (
+  SELECT doc_id, trim(regexp_replace(regexp_replace(t, '[，、；：。！？!?,.;:]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM c
+)
+SELECT doc_id, trim(regexp_replace(regexp_replace(t, '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}\s-]', ' ', 'g'), '\s+', ' ', 'g')) AS clean_text FROM e""")
 def clean_text_all_steps(spark, d):
-    c = text.clean(F.col("raw_text"), remove_emoji=True, normalize_punctuation=False)
-    return corpus(spark, d).select("doc_id", c.alias("clean_text"))
+    c = text.clean(F.col("raw_text"), **dict.fromkeys(text.CLEANING, True))
+    return with_odd(spark, d).select("doc_id", c.alias("clean_text"))
 
 
 RULES = [("tion", "TION_PART"), ("(re)(an)", r"\2 \1")]
@@ -124,11 +148,26 @@ def normalize_text(spark, d):
     return corpus(spark, d).select("doc_id", c.alias("normalized_text"))
 
 
+@query("normalize_times", rf"""WITH {WITH_ODD}, a AS (SELECT doc_id, regexp_replace(translate(raw_text, '{text.TRADITIONAL}', '{text.SIMPLIFIED}'), '\b(?:\d{{4}}[-/年.]\d{{1,2}}[-/月.]\d{{1,2}}日?|\d{{1,2}}[:：]\d{{2}}(?::\d{{2}})?)\b', ' TIME_TOKEN ', 'g') AS t FROM both_texts)
+SELECT doc_id, trim(regexp_replace(CASE WHEN contains(t, 'tion') THEN replace(t, 'tion', ' TION_PART ') ELSE regexp_replace(t, '(re)(an)', ' \2 \1 ', 'g') END, '[\s\x{{3000}}]+', ' ', 'g')) AS normalized_text FROM a""")
+def normalize_times(spark, d):
+    c = text.normalize(F.col("raw_text"), simplify=True, times=True, rules=RULES, first_match=True)
+    return with_odd(spark, d).select("doc_id", c.alias("normalized_text"))
+
+
 @query("tokenize", f"WITH {TOKENS} SELECT doc_id, CAST(len(tokens) AS INTEGER) AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM toks")
 def tokenize(spark, d):
     return token_corpus(spark, d).select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
+@query("tokenize_cjk", rf"""WITH {WITH_ODD}, t AS (SELECT doc_id, regexp_extract_all(raw_text, '[一-鿿]+|[A-Za-z0-9_]+(?:[-/][A-Za-z0-9_]+)*') AS parts FROM both_texts)
+SELECT doc_id, array_to_string(flatten(list_transform(parts, lambda p: CASE WHEN regexp_matches(p, '^[一-鿿]') THEN regexp_extract_all(p, '..?') ELSE string_split(replace(lower(regexp_replace(p, '([a-z])([A-Z])', '\1 \2', 'g')), '-', ' '), ' ') END)), ' ') AS tokens FROM t""")
+def tokenize_cjk(spark, d):
+    tokens = text.tokenize(F.col("raw_text"))
+    rows = segment.segmented(with_odd(spark, d).withColumn("tokens", tokens), "tokens", None)
+    return rows.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
 @query("ngrams", f"""WITH {TOKENS}, g AS (
   SELECT doc_id, tokens, list_distinct(list_concat(list_transform(range(1, len(tokens)), lambda i: tokens[i] || '_' || tokens[i + 1]), list_transform(range(1, len(tokens) - 1), lambda i: tokens[i] || '_' || tokens[i + 1] || '_' || tokens[i + 2]))) AS n FROM toks
 ), f AS (SELECT doc_id, tokens, list_filter(n, lambda x: NOT list_contains(tokens, x)) AS n FROM g)
@@ -519,11 +558,11 @@ def source_counts(spark, d):
 
 # --- graph and technology ------------------------------------------------------------------
 
-NET = CO + """, edges_all AS (SELECT term_a, term_b, CAST(sum(cooccurrence_count) AS BIGINT) AS weight FROM co GROUP BY ALL HAVING sum(cooccurrence_count) >= 5), edges AS (SELECT * FROM edges_all ORDER BY weight DESC, term_a, term_b LIMIT 300)"""
+NET = CO + """, edges_all AS (SELECT term_a, term_b, CAST(sum(cooccurrence_count) AS BIGINT) AS weight FROM co GROUP BY ALL HAVING sum(cooccurrence_count) >= 5), edges AS (SELECT * FROM edges_all ORDER BY weight DESC, term_a, term_b LIMIT 5000)"""
 
 
 def network(spark, d):
-    nodes, edges = graph.build_network(pairs(spark, d), 5, 300)
+    nodes, edges = graph.build_network(pairs(spark, d), 5)
     return nodes, edges.persist()
 
 
@@ -689,7 +728,7 @@ def keywords_yake(spark, d):
 def modelled(spark, d):
     c = filtered(spark, d).persist()
     w = features.tfidf(c).persist()
-    return c, w, features.feature_terms(w, 500).persist()
+    return c, w, features.feature_terms(w).persist()
 
 
 @query("topics_nmf")
@@ -720,6 +759,15 @@ def keyword_clusters(spark, d):
     return models.keyword_clusters(w, f, c)
 
 
+@query("graph_pagerank", f"""WITH RECURSIVE {BOTH}, shares AS (SELECT l.src, l.dst, l.weight / t.total AS share FROM links l JOIN (SELECT src, sum(weight) AS total FROM links GROUP BY src) t USING (src)),
+n AS (SELECT count(*) AS n FROM deg), pr AS (
+  SELECT 0 AS k, src AS term, 1.0::DOUBLE / (SELECT n FROM n) AS r FROM deg
+  UNION ALL SELECT k + 1, dst, 0.15::DOUBLE / (SELECT n FROM n) + 0.85::DOUBLE * sum(r * share) FROM pr JOIN shares ON src = term WHERE k < 20 GROUP BY k, dst
+) SELECT term, round(r, 6) AS pagerank FROM pr WHERE k = 20""")
+def graph_pagerank(spark, d):
+    return graph.pagerank(network(spark, d)[1], rounds=20, tolerance=0.0).select("term", F.round("pagerank", 6).alias("pagerank"))
+
+
 @query("graph_metrics")
 def graph_metrics(spark, d):
     return graph.metrics(network(spark, d)[1])

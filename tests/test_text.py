@@ -33,6 +33,8 @@ def test_segment():
     lexicon = frozenset({"供应链", "供应", "管理"})
     assert segment("供应链管理", lexicon, 3) == ["供应链", "管理"]
     assert segment("甲供应", lexicon, 3) == ["甲", "供应"]
+    assert segment("中文分词供应链系统测试了", lexicon, 3) == ["中文", "分词", "供应链", "系统", "测试", "了"]
+    assert segment("中文分", frozenset(), 1) == ["中文", "分"]
 
 
 def test_keyword_and_variants(spark):
