@@ -123,7 +123,9 @@ def apply(corpus: DataFrame, dictionary: DataFrame, off: Sequence[str] = (), tok
     """The corpus with ruled tokens, and the audit of replaced and dropped ones."""
     both = decisions(corpus, dictionary, off, tokens)
     kept = F.transform(F.filter("decisions", lambda d: d["action"] != "drop"), lambda d: d["target"])
-    audit = both.select("doc_id", F.posexplode("decisions").alias("position", "d")).where("d.action <> 'keep'")
+    # Only what changed leaves the array; explode_outer doesn't compute it twice.
+    changed = F.filter(F.transform("decisions", lambda d, i: F.struct(i.alias("position"), d.alias("d"))), lambda x: x["d"]["action"] != "keep")
+    audit = both.select("doc_id", F.explode_outer(changed).alias("x")).where("x is not null").select("doc_id", "x.position", "x.d")
     audit = audit.select(
         "doc_id", F.col("position").cast("int").alias("position"), F.col("d.source").alias("source_term"), F.col("d.target").alias("target_term"),
         F.col("d.rule").alias("rule_type"), F.concat(F.col("d.rule"), F.lit(".json")).alias("rule_source"), F.col("d.key").alias("rule_key"), F.col("d.action").alias("action"),

@@ -70,8 +70,11 @@ def document_keywords(weights: DataFrame, corpus: DataFrame, top: int = 10) -> D
     once = named.groupBy("doc_id", "keyword").agg(F.max("score").alias("score"))
     ranked = once.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), "keyword"))).where(F.col("rank") <= top)
     # A local test: the weights' terms are the blank-separated parts of the tokens.
-    terms = F.filter(F.split(F.array_join(TOKENS, " "), " +"), lambda t: t != "")
-    bare = corpus.where(~F.exists(terms, lambda t: text.keyword(t).isNotNull())).select("doc_id", F.posexplode(TOKENS).alias("at", "term"))
+    # Two letters or a CJK sign make a keyword, so hardly a text is looked at closely.
+    joined = F.array_join(TOKENS, " ")
+    none = ~F.exists(F.filter(F.split(joined, " +"), lambda t: t != ""), lambda t: text.keyword(t).isNotNull())
+    bare = corpus.where(~F.regexp_like(joined, F.lit(f"[A-Za-z]{{2}}|[{text.CJK}]")) & none)
+    bare = bare.select("doc_id", F.posexplode_outer(TOKENS).alias("at", "term")).where("term is not null")
     counts = bare.groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("score"), F.min("at").alias("at"))
     place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("score"), "at"))
     best = counts.withColumn("at", place).where(F.col("at") <= top).select("doc_id", text.keyword(F.col("term")).alias("keyword"), "score", "at").where("keyword is not null")

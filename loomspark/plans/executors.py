@@ -26,6 +26,7 @@ class Context:
     reviews: DataFrame | None = None
     folder: str = "."
     shared: dict = field(default_factory=dict)
+    held: list = field(default_factory=list)
 
     def once(self, key: tuple, make: Callable):
         """A shared subplan, made once a run: equal inputs give the same DataFrame, which Spark plans once."""
@@ -33,12 +34,23 @@ class Context:
             self.shared[key] = make()
         return self.shared[key]
 
+    def kept(self, df: DataFrame) -> DataFrame:
+        """df stored (in memory or on disk) until `release`: several nodes read it."""
+        self.held.append(df.persist())
+        return df
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
+        self.held.clear()
+        self.shared.clear()
+
     def weights(self, corpus: DataFrame) -> DataFrame:
-        return self.once(("tfidf", id(corpus)), lambda: features.tfidf(corpus).persist())
+        return self.once(("tfidf", id(corpus)), lambda: self.kept(features.tfidf(corpus)))
 
     def features(self, corpus: DataFrame, count) -> DataFrame:
         n = None if count in (None, "", "all") else int(count)
-        return self.once(("features", id(corpus), n), lambda: features.feature_terms(self.weights(corpus), n).persist())
+        return self.once(("features", id(corpus), n), lambda: self.kept(features.feature_terms(self.weights(corpus), n)))
 
 
 EXECUTORS: dict[str, Callable[[Context, dict, dict], dict]] = {}
@@ -165,7 +177,8 @@ def apply_dictionary_rules(ctx, cfg, inputs):
 def filter_terms(ctx, cfg, inputs):
     rules = _dictionary(ctx, inputs)
     important = [s for s, _ in dictionary.pairs(rules, "custom_lexicon")] if rules is not None and cfg["keep_single_char_important_terms"] else []
-    return {"filtered_token_corpus": stats.filter_terms(inputs["token_corpus_in"], cfg["min_token_length"], cfg["min_term_frequency"], cfg["filter_numeric_tokens"], important)}
+    # All analyses read the filtered tokens; the texts stay behind.
+    return {"filtered_token_corpus": ctx.kept(stats.filter_terms(inputs["token_corpus_in"], cfg["min_token_length"], cfg["min_term_frequency"], cfg["filter_numeric_tokens"], important).drop("raw_text", "clean_text", "normalized_text", "tokens"))}
 
 
 @node("focus_terms")
@@ -279,7 +292,7 @@ def document_clustering(ctx, cfg, inputs):
 @node("build_network")
 def build_network(ctx, cfg, inputs):
     nodes, edges = graph.build_network(inputs["cooccurrence_table_in"], cfg["min_edge_weight"], cfg["max_edges"])
-    return {"graph_node_table": nodes, "graph_edge_table": edges.persist()}
+    return {"graph_node_table": nodes, "graph_edge_table": ctx.kept(edges)}
 
 
 @node("graph_metrics")

@@ -6,6 +6,8 @@ sources, categories the languages. Every query reads whole tables.
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import segment, text, values
 from .operators import dictionary, features, graph, models, relational, stats, technology
 from .plans import executors, governance, workflow
+from .sinks import writers
 from .sources import mapping
 from .streaming import streams
 
@@ -312,7 +315,7 @@ def tfidf_features(spark, d):
 
 
 def doc_keywords(spark, d):
-    c = filtered(spark, d)
+    c = filtered(spark, d).drop("title").persist()
     return features.document_keywords(features.tfidf(c), c)
 
 
@@ -796,7 +799,24 @@ def main_path_backbone(spark, d):
 @query("workflow_full_analysis")
 def workflow_full_analysis(spark, d):
     context = executors.Context(spark, corpus(spark, d), dictionary.entries(spark, ENTRIES))
-    return workflow.run(workflow.full_analysis(40), context).table("technology_classification_table")
+    return workflow.run(workflow.full_analysis(), context).table("technology_classification_table")
+
+
+#: Result tables of the benchmark flow.
+RESULTS = ("audit_table", "frequency_table", "feature_term_table", "keyword_table", "keyword_cluster_table", "document_cluster_table", "focus_term_summary", "cooccurrence_table")
+
+
+@query("workflow_benchmark")
+def workflow_benchmark(spark, d):
+    """Writes every result table of the benchmark flow; returns their names and rows."""
+    context = executors.Context(spark, corpus(spark, d), dictionary.entries(spark, ENTRIES))
+    run = workflow.run(workflow.benchmark(), context)
+    store = writers.Store(spark, f"{graph.checkpoint_folder(spark)}/workflow_benchmark")
+    name = uuid.uuid4().hex
+    store.save(name, {key: run.table(key) for key in RESULTS})
+    context.release()
+    counts = [store.load(name, key).agg(F.count("*").alias("row_count")).select(F.lit(key).alias("result"), "row_count") for key in RESULTS]
+    return functools.reduce(DataFrame.unionByName, counts)
 
 
 @query("year_parse", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders")
