@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import pickle
 import re
 from collections.abc import Callable, Iterator
 
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, crc_fold, extended, table, texts
+from .common import WordCache, crc_fold, dropped, extended, stored, table, texts
 
 #: Labelled rows that a classifier is fitted on at most (about; drawn by a hash of the id).
 SAMPLE_ROWS = 8_000
@@ -71,15 +72,30 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_ou
     return docs.select("doc_id", "text").join(F.broadcast(own.limit(2 * rows)), F.col("doc_id") == F.col("label_id")).select("text", "y")
 
 
-def collected(sample: DataFrame, features: Callable[[str], np.ndarray], bits: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Each example's distinct features, found on the executors, and the labels."""
+def fitted(sample: DataFrame, features: Callable[[str], np.ndarray], bits: int, least: int, fit: Callable):
+    """fit(examples, labels) of the sample: each example's distinct features,
+    those of fewer than `least` examples left out.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Features are found where the texts are; the fit is one task over the bounded
+    sample, so only the model comes to the driver.
+    """
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"y": b["y"].astype("int32"), "f": [np.unique(fold(features(t or ""), bits)).tobytes() for t in b["text"]]})
 
-    got = sample.mapInPandas(run, "y int, f binary").toPandas().sort_values(["f", "y"])
-    return [np.frombuffer(f, np.uint32) for f in got["f"]], got["y"].to_numpy()
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted((f, int(y)) for b in batches for f, y in zip(b["f"], b["y"], strict=True))
+        examples, count = [np.frombuffer(f, np.uint32) for f, _ in rows], np.zeros(1 << bits, np.int64)
+        for f in examples:
+            count[f] += 1
+        model = fit([f[count[f] >= least] for f in examples], np.array([y for _, y in rows], np.int64))
+        yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    rows = stored(sample.mapInPandas(found, "y int, f binary"))
+    got = rows.coalesce(1).mapInPandas(learn, "model binary").first()
+    dropped(rows)
+    return fit([], np.empty(0, np.int64)) if got is None else pickle.loads(got["model"])
 
 
 def scored(docs: DataFrame, score: Callable[[str], float], folds: int, held_out: int, threshold: float) -> DataFrame:
@@ -125,4 +141,4 @@ def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(beta[0]) / scale, 1e-6), float(beta[1])
 
 
-__all__ = ["MIX", "as_bytes", "collected", "fold", "hasher", "kept", "key", "labelled", "logistic", "scored", "shape", "sigmoid", "table"]
+__all__ = ["MIX", "as_bytes", "fitted", "fold", "hasher", "kept", "key", "labelled", "logistic", "scored", "shape", "sigmoid", "table"]

@@ -18,10 +18,12 @@ such rows, or too few), every text has the same score, and `good` keeps them all
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .features import MIX, SAMPLE_ROWS, as_bytes, collected, fold, hasher, kept, key, labelled, logistic, scored, shape, sigmoid, table
+from .features import MIX, SAMPLE_ROWS, as_bytes, fitted, fold, hasher, kept, key, labelled, logistic, scored, shape, sigmoid, table
 
 BITS, FOLDS, HELD_OUT, THRESHOLD = 18, 4, 2, 0.7
 SMOOTH, COST, PASSES, MIN_ROWS = 1.0, 0.01, 12, 5
@@ -95,8 +97,8 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, bits: int = BITS) -> Model:
     """The model of labels.quality, from at most about `rows` labelled rows of docs."""
-    examples, y = collected(labelled(docs, labels, "quality", FOLDS, HELD_OUT, rows), Features(), bits)
-    return Model(docs.sparkSession, *fit(examples, y, bits), bits)
+    sample = labelled(docs, labels, "quality", FOLDS, HELD_OUT, rows)
+    return Model(docs.sparkSession, *fitted(sample, Features(), bits, MIN_ROWS, functools.partial(fit, bits=bits)), bits)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

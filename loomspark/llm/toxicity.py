@@ -11,21 +11,23 @@ a fifth of the sample, left out of the learning, turns margins into scores.
 Rows are scored where they are read: no shuffle.
 
 Only rows outside the held-out fold are learnt from, and only texts are looked
-at. Words are lower-cased and stripped of signs at both ends. Null and empty
-texts have the score of the bias alone; repeated rows are scored alike; without
+at; features in fewer than MIN_ROWS examples have no weight. Words are
+lower-cased and stripped of signs at both ends. Null and empty texts have the score of the bias alone; repeated rows are scored alike; without
 labelled rows every score is 0.5.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .features import MIX, SAMPLE_ROWS, as_bytes, collected, fold, hasher, kept, key, labelled, logistic, scored, sigmoid, table
+from .features import MIX, SAMPLE_ROWS, as_bytes, fitted, fold, hasher, kept, key, labelled, logistic, scored, sigmoid, table
 
 BITS, FOLDS, HELD_OUT, THRESHOLD = 20, 3, 1, 0.7
 #: Chosen by folds inside the rows that may be learnt from.
-ALPHA, BETA, L1, L2, PASSES = 3.0, 1.0, 5.0, 0.3, 8
+ALPHA, BETA, L1, L2, PASSES, MIN_ROWS = 3.0, 1.0, 5.0, 0.3, 8, 5
 SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»“”‘’„…–—"
 
 
@@ -88,8 +90,8 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, bits: int = BITS) -> Model:
     """The model of labels.toxic, from at most about `rows` labelled rows of docs."""
-    examples, y = collected(labelled(docs, labels, "toxic", FOLDS, HELD_OUT, rows), Features(), bits)
-    return Model(docs.sparkSession, *fit(examples, y, bits), bits)
+    sample = labelled(docs, labels, "toxic", FOLDS, HELD_OUT, rows)
+    return Model(docs.sparkSession, *fitted(sample, Features(), bits, MIN_ROWS, functools.partial(fit, bits=bits)), bits)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
