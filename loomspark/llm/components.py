@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, joined_hot, stored
+from .common import dropped, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,20 +14,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until nothing changes, a number
     of rounds logarithmic in the largest component. Every step is a partial
-    aggregation and an equi-join in which the few nodes of very many edges are
-    broadcast; the table never grows beyond its edges. Each round is written to
-    the shared folder and the one before it deleted, so the plan stays short.
+    aggregation and a sort-merge join, whose skewed partitions (a node of very
+    many edges) adaptive execution splits; the table never grows beyond its
+    edges. Each round is written to the shared folder and the one before it
+    deleted, so the plan stays short.
     """
     # (u, v) with u > v
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state, total = None, e.count()
+    state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        large = joined_hot(both, least, "u", "n", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        low = joined_hot(large, least, "u", "n", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")).hint("merge")
+        large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = stored(low.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         dropped(e, large)
         e = new

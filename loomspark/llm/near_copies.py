@@ -16,9 +16,10 @@ both sides (positional filter, which holds the length filter). Shingles that a
 sample of texts shows to be common come last in the order, so prefixes hold rare
 ones; the sample steers only the cost, any order gives the same links.
 
-Links are wanted for components only. So after the SimHash links the members of
-a shingle's group are compared with one head of the group; then all pairs that
-share a prefix shingle and are not yet in one component are. Large groups of near
+Links are wanted for components only. So after the SimHash links each set is
+compared with one head of the groups of its shingles (STARS rounds, with other
+heads each); then all pairs that share a prefix shingle and are not yet in one
+component are. Large groups of near
 copies thus cost no pairs of their own, and equal sets meet as one. Shingles of
 very many rows are counted by partial aggregation and joined by broadcast.
 """
@@ -40,7 +41,7 @@ from .common import dropped, extended, joined_hot, stored, texts
 from .components import components
 
 WIDTH, SIMILARITY, SEED = 5, 0.8, 42
-SAMPLE_ROWS, COMMON_ROWS, COMMON, STARS, LONGS = 4000, 2, 100_000, 1, 8
+SAMPLE_ROWS, COMMON_ROWS, COMMON, STARS, LONGS = 4000, 2, 100_000, 2, 8
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -173,7 +174,7 @@ def links(docs: DataFrame, found: DataFrame, first: DataFrame, width: int = WIDT
     me = F.struct("key", "size", "place", "root")
     pair = [F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b")]
     pairs = stored(first)
-    tried, edges = [pairs], [stored(confirmed(stored(possible(pairs, found, similarity)), own, width, similarity))]
+    tried, edges = [pairs], [stored(confirmed(possible(pairs, found, similarity), own, width, similarity))]
     for k in range(STARS + 1):
         group = components(functools.reduce(DataFrame.unionByName, edges))
         named = shared.join(group, shared["key"] == group["node"], "left").select(shared["*"], F.coalesce("root", "key").alias("root"))
@@ -182,6 +183,9 @@ def links(docs: DataFrame, found: DataFrame, first: DataFrame, width: int = WIDT
         spread = stored(spread.where("low <> high").drop("low", "high"))
         if k < STARS:
             pairs = joined_hot(named.select("shingle", me.alias("p")), spread, "shingle", "n", total)
+            # One head a set: as many pairs as sets, however large the groups are.
+            pairs = pairs.where((F.col("p.root") != F.col("q.root")) & fits("p", "q"))
+            pairs = pairs.groupBy(F.col("p.key").alias("__key")).agg(F.min_by(F.struct("p", "q"), F.struct(F.xxhash64("q.key", F.lit(k)), "q.key")).alias("x")).select("x.p", "x.q")
         else:
             named = stored(joined_hot(named, spread.drop("q"), "shingle", "n", total))
             pairs = named.select("shingle", me.alias("p")).join(named.select("shingle", me.alias("q")), "shingle").where("p.root < q.root")
@@ -189,7 +193,7 @@ def links(docs: DataFrame, found: DataFrame, first: DataFrame, width: int = WIDT
         for old in tried:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         tried.append(pairs := stored(pairs))
-        edges.append(stored(confirmed(stored(possible(pairs, found, similarity)), own, width, similarity)))
+        edges.append(stored(confirmed(possible(pairs, found, similarity), own, width, similarity)))
     out = stored(functools.reduce(DataFrame.unionByName, edges))
     dropped(shared, counts, own, *tried, *edges)
     return out
