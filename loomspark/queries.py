@@ -315,7 +315,7 @@ def tfidf_features(spark, d):
 
 
 def doc_keywords(spark, d):
-    c = filtered(spark, d).drop("title").persist()
+    c = filtered(spark, d).drop("title")
     return features.document_keywords(features.tfidf(c), c)
 
 
