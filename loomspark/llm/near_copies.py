@@ -18,10 +18,14 @@ ones; the sample steers only the cost, any order gives the same links.
 
 Links are wanted for components only. So after the SimHash links each set is
 compared with one head of the groups of its shingles (STARS rounds, with other
-heads each); then all pairs that share a prefix shingle and are not yet in one
-component are. Large groups of near
-copies thus cost no pairs of their own, and equal sets meet as one. Shingles of
-very many rows are counted by partial aggregation and joined by broadcast.
+heads each); then the pairs that share a prefix shingle and are not yet in one
+component are. There the sets of a shingle's largest component meet the others
+only, so large groups of near copies cost no pairs of their own, and equal sets
+meet as one. A shingle with more than `crowd` others is crowded. Two sets that
+share no other shingle are both among the sets with a crowded one, so those are
+joined once more by prefixes of the rarest shingles, counted exactly among them:
+a passage that the sample missed then comes last. Shingles of very many rows are
+counted by partial aggregation and joined by broadcast.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ from .common import dropped, extended, joined_hot, stored, texts
 from .components import components
 
 WIDTH, SIMILARITY, SEED = 5, 0.8, 42
-SAMPLE_ROWS, COMMON_ROWS, COMMON, STARS, LONGS = 4000, 2, 100_000, 2, 8
+SAMPLE_ROWS, COMMON_ROWS, COMMON, STARS, LONGS, CROWD = 4000, 2, 100_000, 2, 8, 32
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -155,7 +159,80 @@ def seeds(found: DataFrame, edges: DataFrame) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links(docs: DataFrame, found: DataFrame, first: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def entry() -> Column:
+    """A place of a prefix, with its set's root."""
+    return F.struct("key", "size", "place", "root")
+
+
+def enough(similarity: float) -> Column:
+    """Whether the entries p and q have enough shingles left behind their places (positional filter)."""
+    need = similarity / (1 + similarity) * (F.col("p.size") + F.col("q.size")) - 1e-9
+    return F.least(*(F.col(f"{x}.size") - F.col(f"{x}.place") for x in "pq")) >= need
+
+
+def worthwhile(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The distinct (a, b) of the entries p and q that have different roots and enough shingles left."""
+    kept = pairs.where((F.col("p.root") != F.col("q.root")) & enough(similarity))
+    return kept.select(F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b")).distinct()
+
+
+def crossing(named: DataFrame) -> DataFrame:
+    """shingle, n (its rows), top (the root of most of them) and others (rows of
+    other roots) of the shingles that several roots share."""
+    by_root = named.groupBy("shingle", "root").agg(F.count("*").alias("c"))
+    groups = by_root.groupBy("shingle").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots"))
+    return stored(groups.where("roots > 1").select("shingle", "n", F.col("top.root").alias("top"), (F.col("n") - F.col("top.c")).alias("others")))
+
+
+def across(named: DataFrame, groups: DataFrame, total: int, similarity: float) -> DataFrame:
+    """Pairs that share one of the shingles `groups`: each row meets its shingle's rows outside the largest root."""
+    rows = joined_hot(named, groups.select("shingle", "top", "n", F.col("n").alias("n_rows")), "shingle", "n", total)
+    others = rows.where("root <> top").groupBy("shingle").agg(F.any_value("n_rows").alias("n"), F.collect_list(entry()).alias("others"))
+    both = joined_hot(named.select("shingle", entry().alias("p")), stored(others), "shingle", "n", total)
+    return worthwhile(both.select("p", F.explode("others").alias("q")), similarity)
+
+
+def rarest(members: DataFrame, own: DataFrame, width: int, similarity: float) -> tuple[DataFrame, int]:
+    """Prefix entries (see `entry`) with their shingle of the sets `members` (key,
+    root), in the order of the shingles' exact counts among these sets, and how
+    many there are. Shingles that only one set has are left out."""
+
+    def made(b: pa.RecordBatch) -> list:
+        found = [shingles(t, width).view(np.int64) for t in texts(b)]
+        return [pa.array([len(s) for s in found], pa.int32()), pa.array(found, pa.list_(pa.int64()))]
+
+    whole = stored(extended(own.join(members, "key"), ["key", "root"], made, "size int, shingles array<bigint>"))
+    each = whole.select("key", F.explode("shingles").alias("shingle"))
+    counts = stored(each.groupBy("shingle").agg(F.count("*").alias("n")).withColumn("df", F.col("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    order = F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("order")
+    ordered = joined_hot(each, counts, "shingle", "n", total).groupBy("key").agg(order).join(whole.drop("shingles"), "key")
+    upto = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1
+    places = ordered.select("key", "size", "root", F.posexplode(F.slice("order", F.lit(1), upto.cast("int"))).alias("place", "x"))
+    out = stored(places.where("x.df > 1").select("x.shingle", "key", "size", "place", "root"))
+    dropped(whole, counts)
+    return out, out.count()
+
+
+def remaining(named: DataFrame, own: DataFrame, total: int, width: int, similarity: float, crowd: int) -> DataFrame:
+    """All pairs (a, b) that share a shingle of the prefix entries `named` (`total`
+    rows) under different roots and may be similar enough."""
+    groups = crossing(named)
+    pairs = across(named, groups.where(F.col("others") <= crowd), total, similarity)
+    crowded = groups.where(F.col("others") > crowd).select("shingle", "n")
+    if crowded.isEmpty():
+        return pairs
+    members = stored(joined_hot(named, crowded, "shingle", "n", total).select("key", "root").distinct())
+    named, total = rarest(members, own, width, similarity)
+    groups = crossing(named)
+    again = across(named, groups.where(F.col("others") <= crowd), total, similarity)
+    # Sets that mostly consist of crowded shingles meet one by one.
+    rest = stored(joined_hot(named, groups.where(F.col("others") > crowd).select("shingle", "n"), "shingle", "n", total).select("shingle", entry().alias("p")))
+    last = worthwhile(rest.join(rest.select("shingle", F.col("p").alias("q")), "shingle").where("p.root < q.root"), similarity)
+    return pairs.unionByName(again).unionByName(last).distinct()
+
+
+def links(docs: DataFrame, found: DataFrame, first: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
     """Edges (a, b) that connect all links between the sets `found` of docs; the
     pairs (a, b) of `first` are tried before the join."""
     places = found.select("key", "size", F.posexplode("prefix").alias("place", "shingle"))
@@ -167,29 +244,22 @@ def links(docs: DataFrame, found: DataFrame, first: DataFrame, width: int = WIDT
     own = docs.select("text", row_mark(docs).alias("mark")).join(rows, "mark").dropDuplicates(["mark"])
     own = stored(own.select("key", "text"))
 
-    def fits(a: str, b: str) -> Column:
-        need = similarity / (1 + similarity) * (F.col(f"{a}.size") + F.col(f"{b}.size")) - 1e-9
-        return F.least(*(F.col(f"{x}.size") - F.col(f"{x}.place") for x in (a, b))) >= need
-
-    me = F.struct("key", "size", "place", "root")
-    pair = [F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b")]
     pairs = stored(first)
     tried, edges = [pairs], [stored(confirmed(possible(pairs, found, similarity), own, width, similarity))]
     for k in range(STARS + 1):
         group = components(functools.reduce(DataFrame.unionByName, edges))
         named = shared.join(group, shared["key"] == group["node"], "left").select(shared["*"], F.coalesce("root", "key").alias("root"))
-        order = F.struct(F.xxhash64("key", F.lit(k)), "key")
-        spread = named.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(me, order).alias("q"), F.count("*").alias("n"))
-        spread = stored(spread.where("low <> high").drop("low", "high"))
         if k < STARS:
-            pairs = joined_hot(named.select("shingle", me.alias("p")), spread, "shingle", "n", total)
+            order = F.struct(F.xxhash64("key", F.lit(k)), "key")
+            spread = named.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(entry(), order).alias("q"), F.count("*").alias("n"))
+            spread = stored(spread.where("low <> high").drop("low", "high"))
+            pairs = joined_hot(named.select("shingle", entry().alias("p")), spread, "shingle", "n", total)
             # One head a set: as many pairs as sets, however large the groups are.
-            pairs = pairs.where((F.col("p.root") != F.col("q.root")) & fits("p", "q"))
+            pairs = pairs.where((F.col("p.root") != F.col("q.root")) & enough(similarity))
             pairs = pairs.groupBy(F.col("p.key").alias("__key")).agg(F.min_by(F.struct("p", "q"), F.struct(F.xxhash64("q.key", F.lit(k)), "q.key")).alias("x")).select("x.p", "x.q")
+            pairs = worthwhile(pairs, similarity)
         else:
-            named = stored(joined_hot(named, spread.drop("q"), "shingle", "n", total))
-            pairs = named.select("shingle", me.alias("p")).join(named.select("shingle", me.alias("q")), "shingle").where("p.root < q.root")
-        pairs = pairs.where((F.col("p.root") != F.col("q.root")) & fits("p", "q")).select(*pair).distinct()
+            pairs = remaining(stored(named), own, total, width, similarity, crowd)
         for old in tried:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         tried.append(pairs := stored(pairs))

@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, **options) -> DataFra
     return joined_hot(fps, stored(member.select("fp", "component_id", "n_rows")), "fp", "n_rows", fps.count()).select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, width: int = near_copies.WIDTH, similarity: float = near_copies.SIMILARITY) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = near_copies.WIDTH, similarity: float = near_copies.SIMILARITY, crowd: int = near_copies.CROWD) -> DataFrame:
     """docs with one row for each component of near copies: that with its smallest doc_id.
 
     Near copies are texts whose `width`-word shingles have at least that Jaccard
@@ -259,7 +259,7 @@ def deduplicated(docs: DataFrame, width: int = near_copies.WIDTH, similarity: fl
     """
     found = near_copies.sets(docs, width, similarity)
     first = near_copies.seeds(found, stored(similar(stored(found.select("fp").distinct()))))
-    group = components(near_copies.links(docs, found, first, width, similarity))
+    group = components(near_copies.links(docs, found, first, width, similarity, crowd))
     named = found.join(group, found["key"] == group["node"], "left").select(F.coalesce("root", "key").alias("root"), "best")
     mark = free_name("mark", docs.columns)
     kept = stored(named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.mark").alias(mark)))

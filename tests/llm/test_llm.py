@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomspark.llm import chat, common, features, licenses, merkle, mixing, packing, quality, simhash, token_counts, topk, toxicity
+from loomspark.llm import chat, common, features, licenses, merkle, mixing, near_copies, packing, quality, simhash, token_counts, topk, toxicity
 from loomspark.llm.components import components
 
 from .conftest import ODD
@@ -100,6 +100,26 @@ def test_near_copies_by_similarity(spark):
     assert [r.doc_id for r in simhash.deduplicated(spark.createDataFrame(pairs, df.schema)).collect()] == [k for k in brute_kept(pairs)] == [0, 3]
 
 
+def test_near_copies_that_share_crowded_passages(spark):
+    """Two passages shared by most texts, near copies among them, and texts that are little but passages: the same rows whatever counts as crowded."""
+    rng = random.Random(12)
+    words = [f"c{k}" for k in range(3000)]
+    one, two = rng.sample(words, 60), rng.sample(words, 40)
+    rows = []
+    for k in range(40):
+        own = rng.sample(words, rng.randrange(20, 60))
+        for _ in range(1 + (k % 4 == 0)):
+            rows.append((len(rows), " ".join([*own[:10], *one, *own[10:], *(two if k % 2 else [])])))
+            own[rng.randrange(15, len(own))] = f"n{len(rows)}"
+    for k in range(12):
+        rows.append((len(rows), " ".join([*one[: 60 - k], *two, f"e{k}"])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute_kept(rows)
+    assert len(want) < len(rows)
+    for crowd in (near_copies.CROWD, 3, 0):
+        assert sorted(r.doc_id for r in simhash.deduplicated(df, crowd=crowd).collect()) == want
+
+
 def test_near_copies_of_null_and_repeated_ids(spark):
     rng = random.Random(10)
     texts = [" ".join(rng.choices([f"u{k}" for k in range(200)], k=60)) for _ in range(12)]
