@@ -48,10 +48,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 COUNTRY = {"de": "DE", "en": "US", "fr": "FR", "es": "ES"}
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus(spark: SparkSession, sf_dir: str, title: int | None = 120) -> DataFrame:
+    """The documents as a corpus; the title is the first line, up to `title`
+    characters where it only goes along, whole (None) where rows are chosen by it."""
+    first = F.split("text", "\n")[0]
     country = F.create_map(*(F.lit(x) for kv in COUNTRY.items() for x in kv))
     return spread(table(spark, sf_dir, "documents"), "doc_id").select(
-        F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("row_order"), F.substring(F.split("text", "\n")[0], 1, 120).alias("title"), F.col("text").alias("raw_text"),
+        F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("row_order"), (first if title is None else F.substring(first, 1, title)).alias("title"), F.col("text").alias("raw_text"),
         (F.lit(2015) + F.col("doc_id") % 10).cast("int").alias("year"), "source", F.col("source").alias("institution"), F.col("lang").alias("category_or_tag"), country[F.col("lang")].alias("country_or_region"),
     )
 
@@ -70,6 +73,7 @@ CORPUS = """corpus AS (
     CAST(2015 + doc_id % 10 AS INTEGER) AS year, source, source AS institution, lang AS category_or_tag,
     CASE lang WHEN 'de' THEN 'DE' WHEN 'en' THEN 'US' WHEN 'fr' THEN 'FR' ELSE 'ES' END AS country_or_region FROM documents
 )"""
+TITLED = CORPUS.replace("substr(string_split(text, E'\\n')[1], 1, 120)", "string_split(text, E'\\n')[1]")
 CLEAN = CORPUS + r""", clean AS (
   SELECT *, trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(raw_text, '<[^>]+>', ' ', 'g'), 'https?://\S+|www\.\S+', ' ', 'g')), '[，、；：。！？!?,.;:]', ' ', 'g'), '\s+', ' ', 'g')) AS clean_text FROM corpus
 )"""
@@ -375,9 +379,9 @@ def filter_in(spark, d):
     return shown(relational.filter_by_metadata(corpus(spark, d), [("institution", "in", ["src1", "src2"]), ("category_or_tag", "not_in", ["de"])]))
 
 
-@query("filter_contains", f"WITH {CORPUS} SELECT {SHOW} FROM corpus WHERE (contains(title, 'the') OR contains(title, 'und')) AND CAST(year AS VARCHAR) = '2016'")
+@query("filter_contains", f"WITH {TITLED} SELECT {SHOW} FROM corpus WHERE (contains(title, 'the') OR contains(title, 'und')) AND CAST(year AS VARCHAR) = '2016'")
 def filter_contains(spark, d):
-    return shown(relational.filter_by_metadata(corpus(spark, d), [("title", "contains", ["the", "und"]), ("year", "eq", [2016])]))
+    return shown(relational.filter_by_metadata(corpus(spark, d, None), [("title", "contains", ["the", "und"]), ("year", "eq", [2016])]))
 
 
 @query("router_matched", f"WITH {CORPUS} SELECT {SHOW} FROM corpus WHERE year >= 2020")
@@ -435,14 +439,14 @@ def scope_selected(spark, d):
     return shown(relational.scope(corpus(spark, d), doc_ids=table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("doc_id"))))
 
 
-@query("corpus_view", f"WITH {CORPUS} SELECT {SHOW} FROM corpus WHERE institution = 'src4' AND category_or_tag IN ('en', 'de') AND contains(title, 'e')")
+@query("corpus_view", f"WITH {TITLED} SELECT {SHOW} FROM corpus WHERE institution = 'src4' AND category_or_tag IN ('en', 'de') AND contains(title, 'e')")
 def corpus_view(spark, d):
-    return shown(relational.view(corpus(spark, d), {"institution": "src4", "category_or_tag": ["en", "de"], "title": {"operator": "contains", "value": "e"}}))
+    return shown(relational.view(corpus(spark, d, None), {"institution": "src4", "category_or_tag": ["en", "de"], "title": {"operator": "contains", "value": "e"}}))
 
 
-@query("document_search", f"WITH {CORPUS} SELECT {SHOW} FROM corpus WHERE contains(lower(title), 'license') OR contains(lower(institution), 'license') OR contains(lower(raw_text), 'license')")
+@query("document_search", f"WITH {TITLED} SELECT {SHOW} FROM corpus WHERE contains(lower(title), 'license') OR contains(lower(institution), 'license') OR contains(lower(raw_text), 'license')")
 def document_search(spark, d):
-    return shown(relational.search(corpus(spark, d), " License ", fulltext=True))
+    return shown(relational.search(corpus(spark, d, None), " License ", fulltext=True))
 
 
 @query("document_page", f"WITH {CORPUS} SELECT {SHOW} FROM corpus ORDER BY coalesce(year, 0) DESC, row_order LIMIT 12 OFFSET 24")
@@ -481,9 +485,9 @@ def merge_dedupe(spark, d):
     return relational.merge_corpora(halves(spark, d), "dedupe").select("doc_id", "origin", "note")
 
 
-@query("dedupe_docs", f"WITH {CORPUS}, r AS (SELECT *, row_number() OVER (PARTITION BY trim(title), institution ORDER BY row_order) AS p FROM corpus) SELECT {SHOW} FROM r WHERE p = 1")
+@query("dedupe_docs", f"WITH {TITLED}, r AS (SELECT *, row_number() OVER (PARTITION BY trim(title), institution ORDER BY row_order) AS p FROM corpus) SELECT {SHOW} FROM r WHERE p = 1")
 def dedupe_docs(spark, d):
-    return shown(relational.deduplicate(corpus(spark, d), ["title", "institution"]))
+    return shown(relational.deduplicate(corpus(spark, d, None), ["title", "institution"]))
 
 
 @query("dedupe_raw_hash", f"WITH {CORPUS}, r AS (SELECT *, row_number() OVER (PARTITION BY md5(raw_text) ORDER BY row_order) AS p FROM corpus) SELECT doc_id, md5(raw_text) AS raw_hash FROM r WHERE p = 1")
