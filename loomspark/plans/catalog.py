@@ -71,6 +71,8 @@ TABLES = frozenset(
 )
 RENDERABLE = frozenset("FrequencyTable KeywordTable TermYearTable CooccurrenceTable DocumentClusterTable KeywordClusterTable InstitutionTopicTable AnyTable".split())
 
+CATEGORIES = ("input", "process", "analysis", "output", "utility")
+
 
 @dataclass(frozen=True)
 class Port:
@@ -98,6 +100,25 @@ class Node:
     def defaults(self) -> dict:
         return {p.name: p.default for p in self.params}
 
+    def faults(self) -> list[str]:
+        """What is wrong with the definition itself."""
+        out = [] if self.type.strip() else ["a node needs a type"]
+        if self.category not in CATEGORIES:
+            out.append(f"category {self.category!r} is not one of {', '.join(CATEGORIES)}")
+        ports = (*self.inputs, *self.outputs)
+        out += [f"port {p.name!r}: needs a name and a type" for p in ports if not (p.name.strip() and p.type.strip())]
+        out += [f"output {p.name!r}: only inputs may be multiple or optional" for p in self.outputs if p.multiple or p.optional]
+        for kind, names in (("port", [p.name for p in ports]), ("parameter", [p.name for p in self.params])):
+            out += [f"{kind} {n!r}: is there {names.count(n)} times" for n in dict.fromkeys(names) if names.count(n) > 1]
+        for p in self.params:
+            if not p.name.strip():
+                out.append("a parameter needs a name")
+            if not isinstance(p.default, str | bool | int | float | None):
+                out.append(f"parameter {p.name!r}: a default is text, a number, a boolean or none")
+            elif p.options and str(p.default) not in p.options:
+                out.append(f"parameter {p.name!r}: its default {p.default!r} is not one of its options")
+        return out
+
     def problems(self, config: dict) -> list[str]:
         """What is wrong with a configuration: unknown options and kinds that don't fit."""
         out = []

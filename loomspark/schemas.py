@@ -32,12 +32,26 @@ def as_corpus(df: DataFrame) -> DataFrame:
 
 
 def lookup(df: DataFrame, name: str) -> Column:
-    """A field as text: a column, else a key of extra_metadata, else null. A path a.b goes into structs."""
+    """A field as text: a column, else a path a.b through structs and maps, else
+    a key of extra_metadata, else null."""
     if name in df.columns:
-        return F.col(name).cast("string")
-    head = name.split(".")[0]
-    if "." in name and head in df.columns and isinstance(df.schema[head].dataType, T.StructType):
-        return F.col(name).cast("string")
+        return F.col(f"`{name}`").cast("string")
+    head, *steps = name.split(".")
+    if steps and head in df.columns and (found := _inner(F.col(head), df.schema[head].dataType, steps)) is not None:
+        return found.cast("string")
     if "extra_metadata" in df.columns and isinstance(df.schema["extra_metadata"].dataType, T.MapType):
         return F.try_element_at("extra_metadata", F.lit(name.removeprefix("extra_metadata.")))
     return F.lit(None).cast("string")
+
+
+def _inner(value: Column, kind: T.DataType, steps: list[str]) -> Column | None:
+    """The value at a path, None if the schema has no such path; the last map takes the rest of it as its key."""
+    if not steps:
+        return value
+    if isinstance(kind, T.StructType) and steps[0] in kind.names:
+        return _inner(value.getField(steps[0]), kind[steps[0]].dataType, steps[1:])
+    if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        if isinstance(kind.valueType, T.StructType | T.MapType):
+            return _inner(F.try_element_at(value, F.lit(steps[0])), kind.valueType, steps[1:])
+        return F.try_element_at(value, F.lit(".".join(steps)))
+    return None

@@ -1,12 +1,14 @@
+import datetime
 import json
 import pathlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomspark.operators import dictionary
 from loomspark.plans import catalog, executors, governance, workflow
-from loomspark.schemas import as_corpus
+from loomspark.schemas import as_corpus, lookup
 from loomspark.sinks import writers
 from loomspark.sources import mapping, profiles, readers
 from loomspark.streaming import streams
@@ -150,3 +152,26 @@ def test_packages_and_dictionary_tables(spark, tmp_path):
     assert [e["source"] for e in table["entries"]] == ["and", "of"] and table["kind"] == "stopwords"
     with pytest.raises(ValueError):
         writers.write_dictionary_table(words, "stopwords", "none", str(tmp_path / "n.json"))
+
+
+def test_definitions_are_checked():
+    Node, Param, Port = catalog.Node, catalog.Param, catalog.Port
+    assert not [f for n in catalog.NODES.values() for f in n.faults()]
+    bad = Node("", "other", (Port("a", ""), Port("b", "AnyTable")), (Port("b", "AnyTable", multiple=True),), (Param("mode", "x", ("y", "z")), Param("mode", "y", ("y",)), Param("n", [1])))
+    found = bad.faults()
+    assert len(found) == 8 and any("2 times" in f for f in found) and any("category" in f for f in found)
+    registry = workflow.Registry()
+    registry.node(Node("mine", "process"), None)
+    assert "mine" not in registry.nodes and "executor" in registry.problems[0]
+
+
+def test_plain_json_values():
+    odd = {1: float("nan"), "b": [float("inf"), 2.5, None, True], "c": datetime.date(2024, 5, 1), "d": np.float64("nan"), "e": np.arange(2), "f": {"g": (1,)}}
+    assert writers.plain(odd) == {"1": None, "b": [None, 2.5, None, True], "c": "2024-05-01", "d": None, "e": [0, 1], "f": {"g": [1]}}
+
+
+def test_lookup_by_path(spark):
+    df = spark.sql("select 7 as plain, named_struct('b', named_struct('c', 5), 'm', map('x.y', 'deep')) as a, map('k', named_struct('v', 2)) as m, map('lab', 'L', 'a.z', 'Z') as extra_metadata")
+    want = {"plain": "7", "a.b.c": "5", "a.m.x.y": "deep", "m.k.v": "2", "m.none.v": None, "lab": "L", "extra_metadata.lab": "L", "a.z": "Z", "missing": None}
+    row = df.select(*(lookup(df, n).alias(f"c{k}") for k, n in enumerate(want))).first()
+    assert list(row) == list(want.values())
