@@ -39,6 +39,14 @@ def indicators(term_year: DataFrame, metrics: DataFrame | None, year: int) -> Da
     )
 
 
+def ranked(rows: DataFrame, top: int | None = None) -> DataFrame:
+    """The terms by falling novelty, then disruption, ties by term: a range sort, or
+    the first `top` of every partition merged. Tables are kept unsorted; sinks and
+    readers that need the order ask for it here."""
+    out = rows.orderBy(F.desc("novelty_score"), F.desc("disruption_score"), "term")
+    return out if top is None else out.limit(top)
+
+
 THRESHOLDS = {"emerging_novelty": 0.65, "emerging_growth": 1.5, "disruptive": 0.65, "core": 0.65, "declining_growth": 0.75, "declining_maturity": 0.4}
 
 

@@ -616,6 +616,11 @@ def tech_indicators(spark, d):
     return tech(spark, d)
 
 
+@query("tech_top", f"WITH {TECH} SELECT term, novelty_score, disruption_score, maturity_score FROM ind ORDER BY novelty_score DESC, disruption_score DESC, term LIMIT 200")
+def tech_top(spark, d):
+    return technology.ranked(tech(spark, d), 200).select("term", "novelty_score", "disruption_score", "maturity_score")
+
+
 @query("tech_classification", f"""WITH {TECH} SELECT term, CASE WHEN novelty_score >= 0.65 AND growth_rate >= 1.5 THEN 'emerging' WHEN disruption_score >= 0.65 THEN 'disruptive' WHEN maturity_score >= 0.65 THEN 'core' WHEN growth_rate <= 0.75 AND maturity_score >= 0.4 THEN 'declining' ELSE 'monitor' END AS technology_class,
   round(CASE WHEN novelty_score >= 0.65 AND growth_rate >= 1.5 THEN least(1.0, novelty_score / 0.65 * 0.5 + growth_rate / 1.5 * 0.5) WHEN disruption_score >= 0.65 THEN least(1.0, disruption_score / 0.65) WHEN maturity_score >= 0.65 THEN least(1.0, maturity_score / 0.65) WHEN growth_rate <= 0.75 AND maturity_score >= 0.4 THEN least(1.0, 0.75 / greatest(growth_rate, 0.01) * 0.5 + maturity_score / 0.4 * 0.5) ELSE 0.5 END, 4) AS confidence FROM ind""")
 def tech_classification(spark, d):

@@ -156,3 +156,9 @@ def test_models(corpus):
     assert summary.count() == 2 and docs.count() == 4 and terms.count() > 0
     assert models.document_clusters(corpus, w, f, 2).count() == 4
     assert models.keyword_clusters(w, f, corpus, 2).count() == f.count()
+
+
+def test_technology_order(spark):
+    rows = spark.createDataFrame([("b", 0.5, 0.2), ("a", 0.5, 0.2), ("c", 0.5, 0.9), ("d", 0.9, 0.1), ("e", None, 1.0)], "term string, novelty_score double, disruption_score double")
+    assert [r.term for r in technology.ranked(rows).collect()] == ["d", "c", "a", "b", "e"]
+    assert [r.term for r in technology.ranked(rows, 2).collect()] == ["d", "c"]
