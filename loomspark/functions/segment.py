@@ -1,79 +1,160 @@
-"""Segmentation of CJK runs.
-
-Runs of CJK characters are cut by a lexicon: the segmentation with the fewest
-pieces, then the fewest single characters, then the longest first words. What no
-word of the lexicon covers is cut into pairs of characters (most words have two),
-with or without a lexicon; without one that happens in generated code.
+"""Segmentation of runs of CJK characters: a word graph and its most probable path.
+
+Words and characters have costs, whole thousandths of a nat (so sums are exact
+and ties are ties); the pieces of a run are the cheapest path through the graph
+of its words, of equal ones that with the fewest pieces, then the longest first
+words. Neighbouring characters that no word covers are cut by a tagger: each
+character is the beginning, middle or end of a word or a word by itself, and the
+cheapest sequence of tags says where words end. Costs and tags are learnt from a
+corpus by operators/segmentation.py.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-RUN = re.compile("[一-鿿]+")
-
-
-def segment(run: str, lexicon: frozenset[str], longest: int) -> list[str]:
-    """The best pieces of one run; single characters between words are joined in pairs."""
-    n = len(run)
-    best: list[tuple] = [(0, 0, ())] * (n + 1)
-    for i in range(n - 1, -1, -1):
-        options = []
-        for k in range(1, min(longest, n - i) + 1):
-            if k == 1 or run[i : i + k] in lexicon:
-                pieces, single, cuts = best[i + k]
-                options.append((pieces + 1, single + (k == 1), (-k, *cuts)))
-        best[i] = min(options)
-    out, at, single = [], 0, ""
-    for k in best[0][2]:
-        piece = run[at : at - k]
-        at -= k
-        if k == -1 and piece not in lexicon:
-            single += piece
-            continue
-        out += [single[j : j + 2] for j in range(0, len(single), 2)] + [piece]
-        single = ""
-    return out + [single[j : j + 2] for j in range(0, len(single), 2)]
-
-
-def paired(tokens: Column) -> Column:
-    """The tokens with CJK runs cut into pairs of characters."""
-    run = lambda t: F.regexp_like(t, F.lit("^[一-鿿]+$"))
-    cut = F.flatten(F.transform(tokens, lambda t: F.when(run(t), F.regexp_extract_all(t, F.lit(".{1,2}"), F.lit(0))).otherwise(F.array(t))))
-    return F.when(F.exists(tokens, run), cut).otherwise(tokens)
-
-
-def lexicon_of(entries: DataFrame, most: int = 500_000) -> frozenset[str]:
-    """Sources and targets with CJK characters, without blanks; ValueError beyond the bound of a broadcast lexicon."""
-    on = entries.where(F.coalesce("enabled", F.lit(True)))
-    words = on.select(F.explode(F.array("source", "target")).alias("w")).where(F.col("w").rlike("[一-鿿]")).select(F.replace("w", F.lit(" "), F.lit("")).alias("w")).distinct()
-    rows = words.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"a lexicon of more than {most} words")
-    return frozenset(r["w"] for r in rows)
-
-
-def segmented(df: DataFrame, column: str, entries: DataFrame | None) -> DataFrame:
-    """df with the CJK tokens of an array column cut by the entries' lexicon, or
-    into pairs where there is none: then nothing leaves generated code."""
-    words = lexicon_of(entries) if entries is not None else frozenset()
+from collections import Counter, defaultdict
+from collections.abc import Iterable
+from dataclasses import dataclass, field
+
+CJK_RUN = "[一-鿿]+"
+RUN = re.compile(CJK_RUN)
+#: Which tag may follow which: begin, middle, end, single.
+FOLLOWS = {"B": "EM", "M": "EM", "E": "BS", "S": "BS"}
+
+
+def nats(share: float) -> int:
+    """The cost of a probability."""
+    return round(-1000 * math.log(share))
+
+
+@dataclass
+class Tagger:
+    """Costs of tags at the start and after another, and of characters under a tag."""
+
+    start: dict[str, int]
+    after: dict[tuple[str, str], int]
+    shown: dict[str, dict[str, int]]
+    unseen: dict[str, int]
+
+    def cut(self, run: str) -> list[str]:
+        """The words of the cheapest sequence of tags; of equal ones the first in the tags' order."""
+        cost = lambda t, c: self.shown[t].get(c, self.unseen[t])
+        best = {t: (self.start[t] + cost(t, run[0]), t) for t in "BS"}
+        for c in run[1:]:
+            options = defaultdict(list)
+            for t, (total, path) in best.items():
+                for u in FOLLOWS[t]:
+                    options[u].append((total + self.after[t, u] + cost(u, c), path + u))
+            best = {u: min(o) for u, o in options.items()}
+        tags = min(best[t] for t in "ES" if t in best)[1]
+        return [run[m.start() : m.end()] for m in re.finditer("BM*E|S", tags)]
+
+
+def tagger(words: dict[str, int], characters: dict[str, int]) -> Tagger | None:
+    """A tagger from the counts of words of several characters and of all
+    characters; None without words. What the words don't account for of a
+    character's count stands for it as a word of its own."""
     if not words:
-        return df.withColumn(column, paired(F.col(column)))
-    longest = max(map(len, words))
-    shared = df.sparkSession.sparkContext.broadcast(words)
-
-    @F.pandas_udf("array<string>")
-    def cut(tokens: pd.Series) -> pd.Series:
-        def pieces(row) -> Iterator[str]:
-            for t in row:
-                yield from segment(t, shared.value, longest) if RUN.fullmatch(t) else (t,)
-
-        return tokens.map(lambda row: None if row is None else list(pieces(row)))
-
-    cjk = F.exists(column, lambda t: F.regexp_like(t, F.lit("^[一-鿿]+$")))
-    return df.withColumn(column, F.when(cjk, cut(F.when(cjk, F.col(column)))).otherwise(F.col(column)))
+        return None
+    counts: dict[str, Counter] = {t: Counter() for t in "BMES"}
+    two = more = inner = 0
+    for w, n in words.items():
+        counts["B"][w[0]] += n
+        counts["E"][w[-1]] += n
+        for c in w[1:-1]:
+            counts["M"][c] += n
+        two, more, inner = two + n * (len(w) == 2), more + n * (len(w) > 2), inner + n * max(0, len(w) - 3)
+    for c, n in characters.items():
+        counts["S"][c] = max(0, n - counts["B"][c] - counts["M"][c] - counts["E"][c])
+    multi, single, known = two + more, sum(counts["S"].values()), len(characters) + 1
+    begin, middle, end = (multi + 1) / (multi + single + 2), (more + 1) / (multi + 2), (more + 1) / (more + inner + 2)
+    start = {"B": nats(begin), "S": nats(1 - begin)}
+    after = {("B", "M"): nats(middle), ("B", "E"): nats(1 - middle), ("M", "E"): nats(end), ("M", "M"): nats(1 - end)}
+    after |= {(t, u): start[u] for t in "ES" for u in "BS"}
+    total = {t: sum(counts[t].values()) + known for t in "BMES"}
+    shown = {t: {c: nats((n + 1) / total[t]) for c, n in counts[t].items()} for t in "BMES"}
+    return Tagger(start, after, shown, {t: nats(1 / total[t]) for t in "BMES"})
+
+
+class _Over(dict):
+    """Costs over other costs, which stay as they are."""
+
+    def __init__(self, below: dict[str, int]):
+        super().__init__()
+        self.below = below
+
+    def get(self, word: str, default=None):
+        cost = super().get(word)
+        return self.below.get(word, default) if cost is None else cost
+
+
+@dataclass
+class Model:
+    """Costs of words, the cost of an unseen character, and the tagger for what no word covers."""
+
+    costs: dict[str, int] = field(default_factory=dict)
+    unseen: int = 1000
+    tags: Tagger | None = None
+    longest: int = 1
+
+    @staticmethod
+    def learnt(words: dict[str, int], characters: dict[str, int], given: Iterable[str] = ()) -> Model:
+        """The model of counted words and characters. Given words cost a little
+        less than the cheapest path of their parts, so they are never cut into these."""
+        total = sum(characters.values())
+        costs = {w: nats(n / total) for w, n in (characters | words).items()}
+        model = Model(costs, nats(1 / (total + 1)) + 1000, tagger(words, characters), max(map(len, costs), default=1))
+        return model.with_words(given) if given else model
+
+    def with_words(self, given: Iterable[str]) -> Model:
+        """The model with further words, each cheaper than the cheapest path of its parts."""
+        model = Model(_Over(self.costs), self.unseen, self.tags, self.longest)
+        for w in sorted(set(given), key=lambda w: (len(w), w)):
+            if w:
+                model.costs[w] = model.path(w)[0] - 1
+                model.longest = max(model.longest, len(w))
+        return model
+
+    def path(self, run: str) -> tuple[int, int, tuple[int, ...]]:
+        """(cost, pieces, their negative lengths) of the cheapest path."""
+        n = len(run)
+        best, steps = [(0, 0)] * (n + 1), [0] * n
+        for i in range(n - 1, -1, -1):
+            now = None
+            for k in range(1, min(self.longest, n - i) + 1):
+                cost = self.costs.get(run[i : i + k], self.unseen if k == 1 else None)
+                if cost is not None:
+                    option = (cost + best[i + k][0], 1 + best[i + k][1], -k)
+                    now = option if now is None or option < now else now
+            best[i], steps[i] = now[:2], -now[2]
+        cuts, at = [], 0
+        while at < n:
+            cuts.append(-steps[at])
+            at += steps[at]
+        return (*best[0], tuple(cuts))
+
+    def cut(self, run: str) -> list[str]:
+        """The words of a run."""
+        out, at, single = [], 0, ""
+
+        def uncovered() -> list[str]:
+            if len(single) < 2 or self.tags is None:
+                return [single[j : j + 2] for j in range(0, len(single), 2)]
+            return self.tags.cut(single)
+
+        for k in self.path(run)[2]:
+            piece = run[at : at - k]
+            at -= k
+            if k == -1:
+                single += piece
+                continue
+            out += [*uncovered(), piece]
+            single = ""
+        return out + uncovered()
+
+
+def segment(run: str, lexicon: Iterable[str], longest: int | None = None) -> list[str]:
+    """The pieces of one run by a plain lexicon, without learnt frequencies."""
+    words = [w for w in lexicon if longest is None or len(w) <= longest]
+    return Model.learnt({}, {}, words).cut(run)

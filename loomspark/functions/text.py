@@ -85,10 +85,13 @@ def normalize(c: Column, simplify: bool = False, numbers: bool = False, times: b
     return squeezed(c)
 
 
+MARKER = "phrase_marker_"
+
+
 def protected(c: Column, phrases: list[tuple[str, str]]) -> Column:
     """Phrases, longest first and whatever their case, replaced by numbered markers."""
     for k, (source, _) in enumerate(sorted(phrases, key=lambda p: -len(p[0]))):
-        c = F.regexp_replace(c, f"(?iu){re.escape(source)}", f" phrase_marker_{k} ")
+        c = F.regexp_replace(c, f"(?iu){re.escape(source)}", f" {MARKER}{k} ")
     return c
 
 
@@ -99,27 +102,29 @@ def phrase_targets(phrases: list[tuple[str, str]]) -> list[str]:
 def phrase_hits(c: Column, phrases: list[tuple[str, str]]) -> Column:
     """Targets of the phrases found, longest phrase first."""
     c = protected(c, phrases)
-    return F.array_compact(F.array(*(F.when(c.contains(f" phrase_marker_{k} "), t) for k, t in enumerate(phrase_targets(phrases))))).cast("array<string>")
+    return F.array_compact(F.array(*(F.when(c.contains(f" {MARKER}{k} "), t) for k, t in enumerate(phrase_targets(phrases))))).cast("array<string>")
 
 
-def tokenize(c: Column, phrases: list[tuple[str, str]] = (), camel: bool = True, hyphens: bool = True, slashes: bool = False, shortest: int = 1) -> Column:
+def tokenize(c: Column, phrases: list[tuple[str, str]] = (), camel: bool = True, hyphens: bool = True, slashes: bool = False, shortest: int = 1, targets: Column | None = None) -> Column:
     """Lower-case tokens in order: runs of CJK characters, or of ASCII letters,
-    digits and `_` (joined by - or / as the switches say); phrases are one token."""
+    digits and `_` (joined by - or / as the switches say); phrases are one token.
+    `targets`: the text comes with markers already, and marker k stands for its k-th element."""
     parts = F.regexp_extract_all(protected(c, phrases), F.lit(TOKEN), F.lit(0))
-    if phrases:
-        marks = F.create_map(*(F.lit(x) for k, t in enumerate(phrase_targets(phrases)) for x in (f"phrase_marker_{k}", t)))
+    if targets is None and phrases:
+        targets = F.array(*(F.lit(t) for t in phrase_targets(phrases)))
 
     def split(part: Column) -> Column:
         out = F.regexp_replace(part, "([a-z])([A-Z])", "$1 $2") if camel else part
         for sign, on in (("-", hyphens), ("/", slashes)):
             out = F.replace(out, F.lit(sign), F.lit(" ")) if on else out
         words = F.split(F.lower(out), " ")
-        if not phrases:
+        if targets is None:
             return words
-        target = F.try_element_at(marks, part)
+        number = F.when(F.regexp_like(part, F.lit(f"^{MARKER}[0-9]{{1,9}}$")), F.substring(part, len(MARKER) + 1, 9).cast("int"))
+        target = F.get(targets, number)
         return F.when(target.isNotNull(), F.array(target)).otherwise(words)
 
-    plain = not phrases and not camel and not hyphens and not slashes
+    plain = targets is None and not camel and not hyphens and not slashes
     tokens = F.transform(parts, F.lower) if plain else F.flatten(F.transform(parts, split))
     return F.filter(tokens, lambda t: F.length(t) >= max(shortest, 1))
 

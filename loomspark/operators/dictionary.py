@@ -57,12 +57,18 @@ def rule_table(dictionary: DataFrame) -> DataFrame:
     return on.groupBy("kind", "source").agg(F.max_by("target", "ordinal").alias("target"))
 
 
+def few_pairs(dictionary: DataFrame, kind: str, most: int) -> list[tuple[str, str]] | None:
+    """(source, target) of a kind in order; None if there are more than `most`."""
+    rows = flattened(dictionary).where(F.col("kind") == kind).orderBy("ordinal").select("source", "target").limit(most + 1).collect()
+    return None if len(rows) > most else [(r["source"], r["target"] or "") for r in rows]
+
+
 def pairs(dictionary: DataFrame, kind: str) -> list[tuple[str, str]]:
-    """(source, target) of a kind in order, for phrase and pattern rules; ValueError beyond the bound."""
-    rows = flattened(dictionary).where(F.col("kind") == kind).orderBy("ordinal").select("source", "target").limit(MOST_CONSTANTS + 1).collect()
-    if len(rows) > MOST_CONSTANTS:
+    """(source, target) of a kind in order, for pattern rules, which run one after the other; ValueError beyond the bound."""
+    rows = few_pairs(dictionary, kind, MOST_CONSTANTS)
+    if rows is None:
         raise ValueError(f"more than {MOST_CONSTANTS} enabled entries of {kind}")
-    return [(r["source"], r["target"] or "") for r in rows]
+    return rows
 
 
 def decided(token: Column, maps: dict[str, Column], on: set[str]) -> Column:

@@ -6,15 +6,14 @@ model asks for one.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, values
-from .graph import checkpointed
+from ..storage import dropped, stored
 from .stats import TOKENS
 
 
@@ -51,15 +50,19 @@ def ranks(df: DataFrame, score: str, tie: str) -> DataFrame:
 
     Rows are range-partitioned by both, so equal scores (the long tail of rare
     terms) are spread too; a row's rank is its place in its partition and the
-    rows of the partitions before. The checkpoint fixes the partitions.
+    rows of the partitions before. The rows are stored first, for dealing them by
+    ranges reads them twice.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = (F.desc(score), tie)
-    placed = checkpointed(df.repartitionByRange(n, *order).sortWithinPartitions(*order)).withColumn("__p", F.spark_partition_id())
-    sizes = {r["__p"]: r["n"] for r in placed.groupBy("__p").agg(F.count("*").alias("n")).collect()}  # one row a partition
-    before = [sum(sizes.get(k, 0) for k in range(p)) for p in range(max(sizes, default=0) + 1)]
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("rank", (place + 1 + F.get(F.array(*map(F.lit, before)), F.col("__p"))).cast("int")).drop("__p")
+    given = stored(df)
+    ranged = given.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = stored(ranged.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__line")))
+    dropped(given)
+    sizes = placed.groupBy("__p").agg(F.count("*").alias("n"), F.min("__line").alias("first"))  # one row a partition
+    before = F.coalesce(F.sum("n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__p", (before - F.col("first")).alias("__move"))
+    return placed.join(F.broadcast(sizes), "__p").withColumn("rank", (F.col("__line") + F.col("__move") + 1).cast("int")).drop("__p", "__line", "__move")
 
 
 def document_keywords(weights: DataFrame, corpus: DataFrame, top: int = 10) -> DataFrame:
@@ -136,23 +139,11 @@ def similarity(weights: DataFrame, corpus: DataFrame, features: DataFrame | None
     left = indexed.select(F.col("doc_id").alias("x"), "term")
     right = placed.select(F.col("doc_id").alias("y"), "term")
     pairs = left.join(right, "term").where("x <> y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
-    # Terms as 64-bit hashes in ascending order, so two vectors are merged in one pass.
-    listed = F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")))
-    vectors = w.groupBy("doc_id").agg(listed.alias("v")).select("doc_id", F.col("v.t").alias("t"), F.col("v.w").alias("w"))
-    a = vectors.select(F.col("doc_id").alias("doc_id_a"), F.col("t").alias("ta"), F.col("w").alias("wa"))
-    b = vectors.select(F.col("doc_id").alias("doc_id_b"), F.col("t").alias("tb"), F.col("w").alias("wb"))
-
-    @F.pandas_udf("double")
-    def dot(ta: pd.Series, wa: pd.Series, tb: pd.Series, wb: pd.Series) -> pd.Series:
-        out = np.zeros(len(ta))
-        for k, (x, u, y, v) in enumerate(zip(ta, wa, tb, wb, strict=True)):
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            same = y[at] == x
-            out[k] = u[same] @ v[at[same]]
-        return pd.Series(out)
-
-    scored = pairs.join(a, "doc_id_a").join(b, "doc_id_b").select("doc_id_a", "doc_id_b", F.round(dot("ta", "wa", "tb", "wb"), 6).alias("similarity")).where(F.col("similarity") >= least)
+    # The other terms that both hold count too: one row a candidate and term of its first document.
+    a = w.select(F.col("doc_id").alias("doc_id_a"), "term", F.col("w").alias("wa"))
+    b = w.select(F.col("doc_id").alias("doc_id_b"), "term", F.col("w").alias("wb"))
+    both = pairs.join(a, "doc_id_a").join(b, ["doc_id_b", "term"])
+    scored = both.groupBy("doc_id_a", "doc_id_b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("similarity")).where(F.col("similarity") >= least)
     if top > 0:
         scored = scored.orderBy(F.desc("similarity"), "doc_id_a", "doc_id_b").limit(top)
     return _about(scored, corpus)
@@ -167,15 +158,11 @@ def _all_pairs(weights: DataFrame, corpus: DataFrame, features: DataFrame | None
         rows = [tuple(r) for r in found.collect()]  # at most `top`
         if len(rows) >= top:
             break
+    # The first documents' pairs: if there are more documents than these, the first one has pairs enough.
     have = {(a, b) for a, b, _ in rows}
-    after = None
-    while len(rows) < top:
-        ids = corpus.select("doc_id") if after is None else corpus.select("doc_id").where(F.col("doc_id") > after)
-        ids = [r[0] for r in ids.orderBy("doc_id").limit(2 * top + 2).collect()]
-        if len(ids) < 2:
-            break
-        rows += [(ids[0], b, 0.0) for b in ids[1:] if (ids[0], b) not in have][: top - len(rows)]
-        after = ids[0]
+    ids = [r[0] for r in corpus.select("doc_id").orderBy("doc_id").limit(2 * top + 2).collect()]
+    free = ((a, b, 0.0) for a, b in itertools.combinations(ids, 2) if (a, b) not in have)
+    rows += itertools.islice(free, max(0, top - len(rows)))
     kind = corpus.schema["doc_id"].dataType.simpleString()
     return _about(corpus.sparkSession.createDataFrame(rows, f"doc_id_a {kind}, doc_id_b {kind}, similarity double"), corpus)
 

@@ -15,9 +15,11 @@ from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..storage import checkpointed
+
 MOST_EDGES = 50_000
 
 
@@ -67,27 +69,6 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, toleran
     return rank
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder (a folder of its own in a local session without one)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        given = spark.conf.get("spark.checkpoint.dir", None)
-        if given is None and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        if given is None:
-            import tempfile
-
-            given = tempfile.mkdtemp(prefix="loomspark-")
-        sc.setCheckpointDir(given)
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the shared checkpoint folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def bounded(edges: DataFrame, most: int = MOST_EDGES) -> list[tuple[str, str, float]]:
     """The edges on the driver; ValueError if there are more than `most`."""
     rows = edges.orderBy(F.desc("weight"), "term_a", "term_b").limit(most + 1).collect()

@@ -31,13 +31,18 @@ def counted(corpus: DataFrame, *columns: str, tokens: str = TOKENS) -> DataFrame
     return exploded(corpus, "doc_id", *columns, tokens=tokens).groupBy("doc_id", *columns, "term").agg(F.count("*").alias("n"))
 
 
+#: Tokens of a document that are held against one list of rare terms.
+CHUNK = 1000
+
+
 def filter_terms(corpus: DataFrame, shortest: int = 2, least: int = 1, numeric: bool = False, important: Sequence[str] = (), tokens: str = "tokens") -> DataFrame:
     """Adds filtered_tokens: tokens of the shortest length (or single important
     characters), no numbers where `numeric` says so, and with a corpus frequency
     of at least `least`, counted before any other filter.
 
-    The length and number rules are local. The frequency rule joins the rare
-    terms' list back only for documents that hold some.
+    The length and number rules are local. The frequency rule joins rare terms
+    back to the documents that hold some, a list for every CHUNK tokens, so a
+    token is held against at most CHUNK terms however long its document is.
     """
     single = [t for t in important if len(t) == 1]
 
@@ -46,14 +51,19 @@ def filter_terms(corpus: DataFrame, shortest: int = 2, least: int = 1, numeric:
         ok = ok | t.isin(single) if single else ok
         return ok & ~F.regexp_like(t, F.lit(r"(?U)^\d+$")) if numeric else ok
 
-    local = corpus.withColumn(TOKENS, F.filter(tokens, fits))
     if least <= 1:
-        return local
-    pairs = counted(corpus, tokens=tokens)  # used twice: its shuffle is made once and reused
+        return corpus.withColumn(TOKENS, F.filter(tokens, fits))
+    placed = corpus.select("doc_id", F.posexplode_outer(tokens).alias("at", "term")).where("term is not null")
+    # Used twice: its shuffle is made once and reused.
+    pairs = placed.groupBy("doc_id", F.floor(F.col("at") / CHUNK).cast("int").alias("chunk"), "term").agg(F.count("*").alias("n"))
     rare = pairs.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") < least).select("term")
-    found = pairs.join(rare, "term").groupBy("doc_id").agg(F.collect_set("term").alias("__rare"))
-    joined = local.join(found, "doc_id", "left")
-    return joined.withColumn(TOKENS, F.when(F.col("__rare").isNull(), F.col(TOKENS)).otherwise(F.filter(TOKENS, lambda t: ~F.array_contains("__rare", t)))).drop("__rare")
+    found = pairs.join(rare, "term").groupBy("doc_id", "chunk").agg(F.collect_set("term").alias("rare"))
+    lists = found.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("chunk", "rare"))).alias("m"), F.max("chunk").alias("last"))
+    lists = lists.select("doc_id", F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.try_element_at("m", k)).alias("__rare"))
+    joined = corpus.join(lists, "doc_id", "left")
+    rare_here = lambda t, i: F.coalesce(F.array_contains(F.get("__rare", F.floor(i / CHUNK).cast("int")), t), F.lit(False))
+    kept = F.when(F.col("__rare").isNull(), F.col(tokens)).otherwise(F.filter(tokens, lambda t, i: ~rare_here(t, i)))
+    return joined.withColumn(TOKENS, F.filter(kept, fits)).drop("__rare")
 
 
 def frequency(corpus: DataFrame, top: int | None = None) -> DataFrame:
@@ -114,45 +124,47 @@ def cooccurrence(corpus: DataFrame, width: int = 5, least: int = 2) -> DataFrame
 
 
 def group_terms(corpus: DataFrame, field: str) -> tuple[DataFrame, DataFrame]:
-    """(group, term, n, docs) and (group, total); documents without a group are left out."""
+    """(group, term, n, docs) and (group, total), from one shuffle; documents without a group are left out."""
     tagged = corpus.select("doc_id", F.trim(F.coalesce(lookup(corpus, field), F.lit(""))).alias("g"), TOKENS).where("g <> ''")
     pairs = counted(tagged, "g")
-    # Read by several actions: kept (in memory or on disk) while it is in use.
-    terms = pairs.groupBy("g", "term").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).persist()
-    return terms, terms.groupBy("g").agg(F.sum("n").alias("total"))
+    return pairs.groupBy("g", "term").agg(F.sum("n").alias("n"), F.count("*").alias("docs")), pairs.groupBy("g").agg(F.sum("n").alias("total"))
+
+
+#: Groups that meet a term in one bucket of the grid.
+GRID = 1000
 
 
 def group_compare(corpus: DataFrame, field: str, baseline: str, groups: Sequence[str] = (), least: int = 1) -> DataFrame:
     """Each group's use of every term against the baseline group's, zero counts included.
 
-    The groups compared are named or, without any that exists, all of them. A
-    term's row for each group comes from one array built beside the term, so the
-    grid is never a cross join.
+    The groups compared are named or, without any that exists, all of them. Rows
+    with counts are the groups' own; a row without can only reach `least` by the
+    baseline's count, so just the baseline's frequent terms are laid out over the
+    groups, in buckets of about GRID groups each.
     """
     terms, totals = group_terms(corpus, field)
-    size = {r["g"]: r["total"] for r in totals.collect()} if not groups and not baseline else None
     wanted = [g for g in dict.fromkeys([baseline, *groups]) if g]
-    have = {r["g"]: r["total"] for r in totals.where(F.col("g").isin(wanted)).collect()} if size is None else {}
-    chosen = [g for g in wanted if have.get(g)]
-    if not chosen:
-        have = size if size is not None else {r["g"]: r["total"] for r in totals.collect()}
-        chosen = sorted(g for g in have if have[g])
-    base_total = have.get(baseline, 0)
-    # One row a term: its counts by group, for the chosen groups and the baseline only.
-    vocabulary = terms.groupBy("term").agg(F.map_from_entries(F.collect_list(F.when(F.col("g").isin([*chosen, baseline]), F.struct("g", F.struct("n", "docs"))))).alias("m"))
-    grid = vocabulary.withColumn("g", F.explode(F.array(*(F.lit(g) for g in chosen))))
-    sizes = F.create_map(*(F.lit(x) for g in chosen for x in (g, int(have[g]))))
+    named = F.col("g").isin(wanted) if wanted else F.lit(False)
+    # One row: whether a named group exists, the baseline's size, and the number of groups.
+    about = totals.agg(F.max(named).alias("some"), F.coalesce(F.sum(F.when(F.col("g") == baseline, F.col("total"))), F.lit(0)).alias("bt"), F.count("*").alias("groups"))
+    chosen = totals.join(F.broadcast(about)).where(named | ~F.coalesce("some", F.lit(False)))
+    base = terms.where(F.col("g") == baseline).select("term", F.col("n").alias("bn"), F.col("docs").alias("bdocs"))
+    own = terms.join(chosen.select("g"), "g", "left_semi").select("term", "g", "n", "docs")
+    # The part of the grid that can hold rows without counts.
+    laid = (terms.select("term").distinct() if least <= 0 else base.where(F.col("bn") >= least).select("term")).join(F.broadcast(about.select("groups")))
+    buckets = F.ceil(F.col("groups") / GRID).cast("int")
+    laid = laid.select("term", F.explode(F.sequence(F.lit(0), F.greatest(buckets, F.lit(1)) - 1)).alias("bucket"))
+    dealt = chosen.select("g", F.pmod(F.xxhash64("g"), F.greatest(buckets, F.lit(1))).cast("int").alias("bucket"))
     zero = F.lit(0).cast("long")
-    n, docs = (F.coalesce(F.try_element_at("m", F.col("g"))[k], zero) for k in ("n", "docs"))
-    bn, bdocs = (F.coalesce(F.try_element_at("m", F.lit(baseline))[k], zero) for k in ("n", "docs"))
-    rows = grid.select("term", "g", n.alias("n"), docs.alias("docs"), bn.alias("bn"), bdocs.alias("bdocs"), F.element_at(sizes, F.col("g")).cast("long").alias("t"))
+    none = laid.join(dealt, "bucket").select("term", "g").join(own, ["term", "g"], "left_anti").select("term", "g", zero.alias("n"), zero.alias("docs"))
+    rows = own.unionByName(none).join(base, "term", "left").join(chosen.select("g", F.col("total").alias("t"), "bt"), "g").na.fill(0, ["bn", "bdocs"])
     share = F.col("n") / F.col("t")
-    base = F.col("bn") / F.lit(base_total) if base_total else F.lit(0.0)
+    base_share = F.when(F.col("bt") > 0, F.col("bn") / F.col("bt")).otherwise(0.0)
     return rows.where(F.col("n") + F.col("bn") >= least).select(
         F.lit(field).alias("group_field"), F.col("g").alias("group_value"), F.lit(baseline).alias("baseline_group"), "term", F.col("n").alias("term_count"),
         F.col("docs").alias("document_count"), F.col("t").alias("total_terms"), F.round(share, 6).alias("normalized_frequency"),
-        F.col("bn").alias("baseline_term_count"), F.col("bdocs").alias("baseline_document_count"), F.lit(base_total).cast("long").alias("baseline_total_terms"),
-        F.round(base, 6).alias("baseline_normalized_frequency"), F.round((share + 1e-9) / (base + 1e-9), 6).alias("ratio_vs_baseline"),
+        F.col("bn").alias("baseline_term_count"), F.col("bdocs").alias("baseline_document_count"), F.col("bt").alias("baseline_total_terms"),
+        F.round(base_share, 6).alias("baseline_normalized_frequency"), F.round((share + 1e-9) / (base_share + 1e-9), 6).alias("ratio_vs_baseline"),
     )
 
 

@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.segment import segmented
-from ..operators import dictionary, features, graph, models, relational, stats, technology
+from ..operators import dictionary, features, graph, models, phrases, relational, segmentation, stats, technology
 from ..sinks import writers
 
 
@@ -145,19 +144,29 @@ def normalize_text(ctx, cfg, inputs):
 @node("tokenize")
 def tokenize(ctx, cfg, inputs):
     rules = _dictionary(ctx, inputs)
-    phrases = dictionary.pairs(rules, "phrase_lexicon") if rules is not None and cfg["use_phrase_lexicon"] and cfg["preserve_domain_phrases"] else []
-    c = F.col("normalized_text")
-    tokens = text.tokenize(c, phrases, cfg["normalize_camel_case"], cfg["split_hyphenated_terms"], cfg["split_slash_terms"], cfg["min_token_length_before_filter"])
-    df = inputs["corpus_in"].withColumn("tokens", tokens)
+    listed_phrases = rules if rules is not None and cfg["use_phrase_lexicon"] and cfg["preserve_domain_phrases"] else None
+    few = dictionary.few_pairs(listed_phrases, "phrase_lexicon", phrases.FOLDED) if listed_phrases is not None else []
+    c, df, targets = F.col("normalized_text"), inputs["corpus_in"], None
+    if few is None:
+        df = df.withColumn("__phrases", phrases.protect(df, "normalized_text", phrases.parts_of(listed_phrases)))
+        found, targets = F.col("__phrases.hits"), F.col("__phrases.targets")
+        c, few = F.col("__phrases.text"), []
+    else:
+        found = text.phrase_hits(c, few) if few else F.array().cast("array<string>")
+    tokens = text.tokenize(c, few, cfg["normalize_camel_case"], cfg["split_hyphenated_terms"], cfg["split_slash_terms"], cfg["min_token_length_before_filter"], targets)
+    df = df.withColumn("tokens", tokens).withColumn("phrase_hits", found)
+    df = df.drop("__phrases")
     lexicon = None
     kinds = ["standard_terms", "synonym_map", "near_synonym_map", *(["custom_lexicon"] if cfg["use_custom_lexicon"] else []), *(["phrase_lexicon"] if cfg["use_phrase_lexicon"] else [])]
     if rules is not None:
         lexicon = rules.where(F.col("kind").isin(kinds))
-    df = segmented(df, "tokens", lexicon)
+    if cfg["language_mode"] != "en":
+        # Words are learnt from all tokens before they are cut, so the tokens are read more than once.
+        df = segmentation.segmented(ctx.kept(df), "tokens", lexicon)
     df = df.withColumn("tokens", F.filter("tokens", lambda t: F.length(t) >= cfg["min_token_length_before_filter"])) if cfg["min_token_length_before_filter"] > 1 else df
     if cfg["enable_ngrams"]:
         df = df.withColumn("tokens", text.ngrams(F.col("tokens"), cfg["ngram_min"], cfg["ngram_max"]))
-    return {"token_corpus": df.withColumn("phrase_hits", text.phrase_hits(c, phrases) if phrases else F.array().cast("array<string>"))}
+    return {"token_corpus": df}
 
 
 @node("conditional_router")
@@ -176,7 +185,7 @@ def apply_dictionary_rules(ctx, cfg, inputs):
 @node("filter_terms")
 def filter_terms(ctx, cfg, inputs):
     rules = _dictionary(ctx, inputs)
-    important = [s for s, _ in dictionary.pairs(rules, "custom_lexicon")] if rules is not None and cfg["keep_single_char_important_terms"] else []
+    important = [s for s, _ in dictionary.pairs(rules.where(F.char_length("source") == 1), "custom_lexicon")] if rules is not None and cfg["keep_single_char_important_terms"] else []
     # All analyses read the filtered tokens; the texts stay behind.
     return {"filtered_token_corpus": ctx.kept(stats.filter_terms(inputs["token_corpus_in"], cfg["min_token_length"], cfg["min_term_frequency"], cfg["filter_numeric_tokens"], important).drop("raw_text", "clean_text", "normalized_text", "tokens"))}
 

@@ -13,11 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import segment, text, values
-from .operators import dictionary, features, graph, models, relational, stats, technology
+from .functions import text, values
+from .operators import dictionary, features, graph, models, relational, segmentation, stats, technology
+from .operators import phrases as phrase_search
 from .plans import executors, governance, workflow
 from .sinks import writers
 from .sources import mapping
+from .storage import checkpoint_folder, stored
 from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,11 +169,114 @@ def tokenize(spark, d):
     return token_corpus(spark, d).select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
-@query("tokenize_cjk", rf"""WITH {WITH_ODD}, t AS (SELECT doc_id, regexp_extract_all(raw_text, '[一-鿿]+|[A-Za-z0-9_]+(?:[-/][A-Za-z0-9_]+)*') AS parts FROM both_texts)
-SELECT doc_id, array_to_string(flatten(list_transform(parts, lambda p: CASE WHEN regexp_matches(p, '^[一-鿿]') THEN regexp_extract_all(p, '..?') ELSE string_split(replace(lower(regexp_replace(p, '([a-z])([A-Z])', '\1 \2', 'g')), '-', ' '), ' ') END)), ' ') AS tokens FROM t""")
+#: Letters and the characters that stand for them where a query needs CJK text as long as the documents.
+LETTERS, SIGNS = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + 37 * k) for k in range(26))
+
+
+def cjk_text(spark, d):
+    """doc_id, raw_text of all documents in CJK characters without blanks, and of the odd rows."""
+    odd = with_odd(spark, d).where("doc_id like 'odd%'")
+    signs = F.replace(F.translate(F.lower("raw_text"), LETTERS, SIGNS), F.lit(" "), F.lit(""))
+    return corpus(spark, d).select("doc_id", signs.alias("raw_text")).unionByName(odd)
+
+
+#: The learnt words: every substring of up to four characters with the entropies of its sides and the cohesion of its parts.
+CJK_WORDS = rf"""{WITH_ODD}, signs AS (
+  SELECT doc_id, CASE WHEN doc_id LIKE 'odd%' THEN raw_text ELSE replace(translate(lower(raw_text), '{LETTERS}', '{SIGNS}'), ' ', '') END AS t FROM both_texts
+), parts AS (
+  SELECT doc_id, regexp_extract_all(t, '[一-鿿]+|[A-Za-z0-9_]+(?:[-/][A-Za-z0-9_]+)*') AS parts FROM signs
+), runs AS MATERIALIZED (
+  SELECT run, count(*) AS n FROM (SELECT unnest(parts) AS run FROM parts) WHERE regexp_matches(run, '^[一-鿿]') GROUP BY run
+), grams AS MATERIALIZED (
+  SELECT substr(run, i, k) AS gram, CASE WHEN i > 1 THEN substr(run, i - 1, 1) END AS l, CASE WHEN i + k <= length(run) THEN substr(run, i + k, 1) END AS r, n
+  FROM (SELECT *, unnest(range(1, length(run) - k + 2)) AS i FROM runs, (SELECT unnest(range(1, 5)) AS k))
+), counts AS (
+  SELECT gram, CAST(sum(n) AS BIGINT) AS n FROM grams GROUP BY gram
+), sides AS (
+  SELECT gram, side, sum(n * ln(n)) AS s FROM (
+    SELECT gram, 'l' AS side, l AS c, sum(n) AS n FROM grams WHERE l IS NOT NULL GROUP BY ALL UNION ALL SELECT gram, 'r', r, sum(n) FROM grams WHERE r IS NOT NULL GROUP BY ALL) GROUP BY ALL
+), stats AS MATERIALIZED (
+  SELECT gram, n, round(ln(n) - coalesce((SELECT max(s) FROM sides WHERE sides.gram = counts.gram), 0) / n, 6) AS freedom FROM counts
+), total AS (
+  SELECT CAST(sum(n) AS BIGINT) AS total FROM stats WHERE length(gram) = 1
+), cut AS (
+  SELECT gram, n, freedom, unnest(range(1, length(gram))) AS k FROM stats WHERE length(gram) > 1 AND n >= 2 AND freedom >= 0.6
+), words AS MATERIALIZED (
+  SELECT cut.gram AS word, any_value(cut.n) AS n, any_value(cut.freedom) AS freedom, round(min(ln(cut.n * total / (a.n * b.n))), 6) AS cohesion
+  FROM cut JOIN stats a ON a.gram = substr(cut.gram, 1, k) JOIN stats b ON b.gram = substr(cut.gram, k + 1), total GROUP BY cut.gram HAVING cohesion >= 1.5
+)"""
+
+
+@query("cjk_words", f"WITH {CJK_WORDS} SELECT word, n, cohesion, freedom FROM words")
+def cjk_words(spark, d):
+    return segmentation.words_of(segmentation.gram_stats(segmentation.run_counts(cjk_text(spark, d), "raw_text")))
+
+
+#: Costs in thousandths of a nat; best: the cheapest path from every place of a run to its end; pieces: its steps;
+#: then the tagger over neighbouring characters that no word covers, place by place.
+@query("tokenize_cjk", rf"""WITH RECURSIVE {CJK_WORDS}, chars AS (
+  SELECT gram AS c, n FROM stats WHERE length(gram) = 1
+), costs AS (
+  SELECT gram, CAST(round(-1000 * ln(n / total)) AS BIGINT) AS cost FROM (SELECT c AS gram, n FROM chars UNION ALL SELECT word, n FROM words), total
+), best AS (
+  SELECT run, length(run) + 1 AS i, [[0::BIGINT, 0]] AS ahead, 0 AS step FROM runs
+  UNION ALL
+  SELECT run, i, [[o.cost, o.pieces]] || ahead[1:3], o.k FROM (
+    SELECT b.run, b.i - 1 AS i, b.ahead, list_min([struct_pack(cost := c.cost + b.ahead[length(c.gram)][1], pieces := b.ahead[length(c.gram)][2] + 1, m := -length(c.gram), k := length(c.gram)) FOR c IN list_filter([
+      struct_pack(gram := substr(b.run, b.i - 1, 1), cost := c1.cost), struct_pack(gram := substr(b.run, b.i - 1, 2), cost := c2.cost),
+      struct_pack(gram := substr(b.run, b.i - 1, 3), cost := c3.cost), struct_pack(gram := substr(b.run, b.i - 1, 4), cost := c4.cost)], lambda x: x.cost IS NOT NULL)]) AS o
+    FROM best b JOIN costs c1 ON c1.gram = substr(b.run, b.i - 1, 1)
+    LEFT JOIN costs c2 ON c2.gram = substr(b.run, b.i - 1, 2) AND length(c2.gram) = 2
+    LEFT JOIN costs c3 ON c3.gram = substr(b.run, b.i - 1, 3) AND length(c3.gram) = 3
+    LEFT JOIN costs c4 ON c4.gram = substr(b.run, b.i - 1, 4) AND length(c4.gram) = 4 WHERE b.i > 1)
+), walk AS (
+  SELECT run, 1 AS i, step FROM best WHERE i = 1
+  UNION ALL
+  SELECT w.run, w.i + w.step, b.step FROM walk w JOIN best b ON b.run = w.run AND b.i = w.i + w.step WHERE b.step > 0
+), grouped AS (
+  SELECT run, i, step, sum(CASE WHEN step = 1 AND before = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY i) AS g
+  FROM (SELECT *, lag(step) OVER (PARTITION BY run ORDER BY i) AS before FROM walk)
+), stretches AS (
+  SELECT run, min(i) AS i, any_value(step) AS step, substr(run, min(i), CAST(sum(step) AS BIGINT)) AS piece FROM grouped GROUP BY run, g
+), roles AS (
+  SELECT c, CAST(sum(n) FILTER (tag = 'B') AS BIGINT) AS b, CAST(sum(n) FILTER (tag = 'M') AS BIGINT) AS m, CAST(sum(n) FILTER (tag = 'E') AS BIGINT) AS e FROM (
+    SELECT word[1] AS c, 'B' AS tag, n FROM words UNION ALL SELECT word[-1], 'E', n FROM words UNION ALL SELECT unnest(string_split(word[2:-2], '')), 'M', n FROM words WHERE length(word) > 2) GROUP BY c
+), shown AS (
+  SELECT c, coalesce(b, 0) AS b, coalesce(m, 0) AS m, coalesce(e, 0) AS e, greatest(0, n - coalesce(b, 0) - coalesce(m, 0) - coalesce(e, 0)) AS s FROM chars LEFT JOIN roles USING (c)
+), sums AS (
+  SELECT sum(b) + count(*) + 1 AS tb, sum(m) + count(*) + 1 AS tm, sum(e) + count(*) + 1 AS te, sum(s) + count(*) + 1 AS ts, sum(s) AS single FROM shown
+), lengths AS (
+  SELECT coalesce(sum(n), 0) AS multi, coalesce(sum(n) FILTER (length(word) > 2), 0) AS more, coalesce(sum(n * greatest(0, length(word) - 3)), 0) AS inner_n FROM words
+), shares AS (
+  SELECT (multi + 1) / (multi + single + 2) AS pb, (more + 1) / (multi + 2) AS pm, (more + 1) / (more + inner_n + 2) AS pe FROM lengths, sums
+), tags AS (
+  SELECT CAST(round(-1000 * ln(pb)) AS BIGINT) AS b, CAST(round(-1000 * ln(1 - pb)) AS BIGINT) AS s, CAST(round(-1000 * ln(pm)) AS BIGINT) AS bm, CAST(round(-1000 * ln(1 - pm)) AS BIGINT) AS be,
+    CAST(round(-1000 * ln(pe)) AS BIGINT) AS me, CAST(round(-1000 * ln(1 - pe)) AS BIGINT) AS mm FROM shares
+), emits AS (
+  SELECT c, CAST(round(-1000 * ln((b + 1) / tb)) AS BIGINT) AS b, CAST(round(-1000 * ln((m + 1) / tm)) AS BIGINT) AS m, CAST(round(-1000 * ln((e + 1) / te)) AS BIGINT) AS e, CAST(round(-1000 * ln((s + 1) / ts)) AS BIGINT) AS s FROM shown, sums
+), tagged AS (
+  SELECT piece, 1 AS i, struct_pack(cost := tags.b + x.b, path := 'B') AS b, NULL::STRUCT(cost BIGINT, path VARCHAR) AS m, NULL::STRUCT(cost BIGINT, path VARCHAR) AS e, struct_pack(cost := tags.s + x.s, path := 'S') AS s
+  FROM (SELECT DISTINCT piece FROM stretches WHERE step = 1 AND length(piece) > 1), tags, emits x WHERE x.c = piece[1]
+  UNION ALL
+  SELECT t.piece, t.i + 1,
+    list_min([struct_pack(cost := o.cost + tags.b + x.b, path := o.path || 'B') FOR o IN list_filter([t.e, t.s], lambda q: q.cost IS NOT NULL)]),
+    list_min([struct_pack(cost := o.cost + CASE WHEN o.path[-1] = 'B' THEN tags.bm ELSE tags.mm END + x.m, path := o.path || 'M') FOR o IN list_filter([t.b, t.m], lambda q: q.cost IS NOT NULL)]),
+    list_min([struct_pack(cost := o.cost + CASE WHEN o.path[-1] = 'B' THEN tags.be ELSE tags.me END + x.e, path := o.path || 'E') FOR o IN list_filter([t.b, t.m], lambda q: q.cost IS NOT NULL)]),
+    list_min([struct_pack(cost := o.cost + tags.s + x.s, path := o.path || 'S') FOR o IN list_filter([t.e, t.s], lambda q: q.cost IS NOT NULL)])
+  FROM tagged t JOIN emits x ON x.c = t.piece[t.i + 1], tags WHERE t.i < length(t.piece)
+), ended AS (
+  SELECT piece, regexp_extract_all(list_min(list_filter([e, s], lambda q: q.cost IS NOT NULL)).path, 'BM*E|S') AS words FROM tagged WHERE i = length(piece)
+), told AS (
+  SELECT piece, list_transform(range(1, len(words) + 1), lambda k: substr(piece, CAST(coalesce(list_sum(list_transform(words[1:k - 1], lambda w: length(w))), 0) AS BIGINT) + 1, length(words[k]))) AS words FROM ended
+), segmented AS (
+  SELECT run, flatten(list(coalesce(told.words, [s.piece]) ORDER BY s.i)) AS words FROM stretches s LEFT JOIN told ON told.piece = s.piece AND s.step = 1 GROUP BY run
+), placed AS (
+  SELECT doc_id, unnest(parts) AS p, unnest(range(0, len(parts))) AS pos FROM parts
+)
+SELECT signs.doc_id, coalesce(string_agg(array_to_string(coalesce(words, string_split(replace(lower(regexp_replace(p, '([a-z])([A-Z])', ' ', 'g')), '-', ' '), ' ')), ' '), ' ' ORDER BY pos), '') AS tokens
+FROM signs LEFT JOIN placed ON placed.doc_id = signs.doc_id LEFT JOIN segmented ON run = p GROUP BY signs.doc_id""")
 def tokenize_cjk(spark, d):
-    tokens = text.tokenize(F.col("raw_text"))
-    rows = segment.segmented(with_odd(spark, d).withColumn("tokens", tokens), "tokens", None)
+    rows = segmentation.segmented(cjk_text(spark, d).withColumn("tokens", text.tokenize(F.col("raw_text"))), "tokens")
     return rows.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -197,6 +302,19 @@ def phrases(spark, d):
     return rows.select("doc_id", F.array_join("l", " ").alias("tokens"), F.size(F.filter("l", lambda t: t.isin("in_the", "de_la_phrase"))).cast("long").alias("n_phrases"))
 
 
+@query("phrases_many")
+def phrases_many(spark, d):
+    # Every word pair that stands at least six times in the cleaned documents is a phrase.
+    df = stored(corpus(spark, d).select("doc_id", text.clean(F.col("raw_text")).alias("t")))
+    words = F.regexp_extract_all("t", F.lit("[a-z]+"), F.lit(0))
+    pairs = df.select(words.alias("w")).where("size(w) > 1").select(F.explode(F.expr("transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))")).alias("source"))
+    lexicon = pairs.groupBy("source").agg(F.count("*").alias("n")).where("n >= 6").withColumn("kind", F.lit("phrase_lexicon"))
+    entries = lexicon.select("kind", "source", F.lit(None).cast("string").alias("target"), F.lit(True).alias("enabled"), F.col("source").alias("ordinal"))
+    rows = df.withColumn("p", phrase_search.protect(df, "t", phrase_search.parts_of(entries)))
+    tokens = text.tokenize(F.col("p.text"), targets=F.col("p.targets"))
+    return rows.select("doc_id", F.size("p.targets").cast("long").alias("n_phrases"), F.array_join(tokens, " ").alias("tokens"))
+
+
 @query("language_guess", rf"WITH {CORPUS} SELECT doc_id, CASE WHEN length(regexp_replace(raw_text, '[^一-鿿]', '', 'g')) >= length(regexp_replace(raw_text, '[^A-Za-z]', '', 'g')) THEN 'zh' ELSE 'en' END AS language FROM corpus")
 def language_guess(spark, d):
     return corpus(spark, d).select("doc_id", text.language(F.col("raw_text")).alias("language"))
@@ -319,7 +437,7 @@ def tfidf_features(spark, d):
 
 
 def doc_keywords(spark, d):
-    c = filtered(spark, d).drop("title")
+    c = stored(filtered(spark, d).select("doc_id", stats.TOKENS))  # read more than once
     return features.document_keywords(features.tfidf(c), c)
 
 
@@ -342,8 +460,8 @@ def institution_keyword(spark, d):
 p AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, round(sum(a.w * b.w), 6) AS similarity FROM v a JOIN v b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING round(sum(a.w * b.w), 6) >= 0.6)
 SELECT doc_id_a, doc_id_b, ca.title AS title_a, cb.title AS title_b, ca.year AS year_a, cb.year AS year_b, ca.institution AS institution_a, cb.institution AS institution_b, similarity, 'cosine' AS similarity_method FROM p JOIN corpus ca ON ca.doc_id = doc_id_a JOIN corpus cb ON cb.doc_id = doc_id_b""")
 def similarity(spark, d):
-    c = filtered(spark, d).persist()
-    w = features.tfidf(c).persist()
+    c = stored(filtered(spark, d))
+    w = stored(features.tfidf(c))
     return features.similarity(w, c, features.feature_terms(w, 1000, digits=5), 0.6, 0)
 
 
@@ -570,7 +688,7 @@ NET = CO + """, edges_all AS (SELECT term_a, term_b, CAST(sum(cooccurrence_count
 
 def network(spark, d):
     nodes, edges = graph.build_network(pairs(spark, d), 5)
-    return nodes, edges.persist()
+    return nodes, stored(edges)
 
 
 @query("build_network", f"WITH {NET} SELECT * FROM edges")
@@ -738,9 +856,9 @@ def keywords_yake(spark, d):
 
 
 def modelled(spark, d):
-    c = filtered(spark, d).persist()
-    w = features.tfidf(c).persist()
-    return c, w, features.feature_terms(w).persist()
+    c = stored(filtered(spark, d))
+    w = stored(features.tfidf(c))
+    return c, w, stored(features.feature_terms(w))
 
 
 @query("topics_nmf")
@@ -820,7 +938,7 @@ def workflow_benchmark(spark, d):
     """Writes every result table of the benchmark flow; returns their names and rows."""
     context = executors.Context(spark, corpus(spark, d), dictionary.entries(spark, ENTRIES))
     run = workflow.run(workflow.benchmark(), context)
-    store = writers.Store(spark, f"{graph.checkpoint_folder(spark)}/workflow_benchmark")
+    store = writers.Store(spark, f"{checkpoint_folder(spark)}/workflow_benchmark")
     name = uuid.uuid4().hex
     store.save(name, {key: run.table(key) for key in RESULTS})
     context.release()

@@ -133,20 +133,7 @@ def test_stream_counts_equal_batch(spark, corpus, tmp_path):
     assert got == {(r.term, r.year): (r.tf, r.df) for r in batch.collect()}
 
 
-def test_packages_and_dictionary_tables(spark, tmp_path):
-    home = tmp_path / "projects" / "mine"
-    (home / "exports" / "backups").mkdir(parents=True)
-    (home / "project.json").write_text('{"id": "p1", "name": "Mine", "run_history": [{"run_id": "r", "project_id": "p1"}]}')
-    (home / "corpus.json").write_text("[]")
-    (home / "exports" / "backups" / "old.zip").write_text("x")
-    package = writers.export_package(str(home))
-    other = writers.import_package(package, str(tmp_path / "elsewhere"))
-    assert json.loads((pathlib.Path(other) / "project.json").read_text())["id"] == "p1" and not (pathlib.Path(other) / "exports").exists()
-    copy = pathlib.Path(writers.import_package(package, str(tmp_path / "projects")))
-    own = json.loads((copy / "project.json").read_text())
-    assert copy.name == "mine-2" and own["id"] != "p1" and own["name"] == "Mine copy" and own["run_history"][0]["project_id"] == own["id"] and (copy / "corpus.json").exists()
-    with pytest.raises(ValueError):
-        writers.export_package(str(tmp_path))
+def test_dictionary_tables(spark, tmp_path):
     words = dictionary.entries(spark, [("stopwords", "and", None), ("stopwords", "of", None), ("custom_lexicon", "x", None)])
     table = json.loads(pathlib.Path(writers.write_dictionary_table(words, "stopwords", "stopwords", str(tmp_path / "t.json"))).read_text())
     assert [e["source"] for e in table["entries"]] == ["and", "of"] and table["kind"] == "stopwords"

@@ -1,7 +1,6 @@
 from pyspark.sql import functions as F
 
 from loomspark.functions import text, values
-from loomspark.functions.segment import segment
 
 
 def one(spark, value, f):
@@ -29,14 +28,6 @@ def test_tokens_phrases_ngrams(spark):
     assert one(spark, "", lambda c: text.ngrams(text.tokenize(c), 2, 3)) == []
 
 
-def test_segment():
-    lexicon = frozenset({"供应链", "供应", "管理"})
-    assert segment("供应链管理", lexicon, 3) == ["供应链", "管理"]
-    assert segment("甲供应", lexicon, 3) == ["甲", "供应"]
-    assert segment("中文分词供应链系统测试了", lexicon, 3) == ["中文", "分词", "供应链", "系统", "测试", "了"]
-    assert segment("中文分", frozenset(), 1) == ["中文", "分"]
-
-
 def test_keyword_and_variants(spark):
     assert one(spark, " -Rare_Earth! ", text.keyword) == "rare earth"
     assert [one(spark, x, text.keyword) for x in ("12", "x", "-_/", "")] == [None] * 4
