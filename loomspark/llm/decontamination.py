@@ -165,7 +165,7 @@ class Hits:
     """
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, gram: int = GRAM):
-        items = stored(fingerprints(benchmark.withColumnRenamed("item_id", "item"), "item", Winnower([], gram), width))
+        items = stored(fingerprints(benchmark.select(F.col("item_id").alias("item"), "text"), "item", Winnower([], gram), width))
         tests = items.select("item", F.col("span").alias("window"), F.explode("prints").alias("p"))
         tests = tests.select("item", "window", "p.print", "p.gram", "p.before", "p.after")
         around = ["window", "print", "gram", "before", "after"]

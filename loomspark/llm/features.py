@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import WordCache, crc_fold, dropped, extended, stored, table, texts
 
-#: Labelled rows that a classifier is fitted on at most (about; drawn by a hash of the id).
+#: Labelled rows that a classifier is fitted on at most (drawn by a hash of the id).
 SAMPLE_ROWS = 8_000
+#: Bytes of their features, four a feature, that the fit holds at most.
+SAMPLE_BYTES = 192 << 20
 #: Words that a worker keeps hashed, in each of two generations.
 CACHED_WORDS = 60_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
@@ -59,30 +61,52 @@ def as_bytes(*hashes: int) -> bytes:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """text, y of the labelled documents outside the held-out fold.
+    """text, y, h of the labelled documents outside the held-out fold; h is a hash of id, text and label.
 
-    Where there are more than `rows` of them, a share drawn by a hash of the id
+    Where there are more than `rows` labels, a share drawn by a hash of the id
     remains: the same rows in every run, of all sources and parts of the table.
-    Each label row with a 0 or 1 is an example; null labels are not.
+    Each id with a 0 or 1 is an example; null labels are not. An id may stand
+    before many documents: if more than `rows` documents have a label, a share
+    drawn by `h` remains of them.
     """
-    own = labels.where(crc_fold("doc_id", folds) != held_out).where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("label_id"), F.col(label).alias("y"))
+    own = labels.where(crc_fold("doc_id", folds) != held_out).where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("label_id"), F.col(label).alias("y")).distinct()
     n = own.count()
-    own = own.where(F.pmod(F.xxhash64(F.col("label_id"), F.lit(label)), F.lit(max(1, n))) < rows)
-    # Bounded by `rows`, so it may be broadcast whatever the table's size.
-    return docs.select("doc_id", "text").join(F.broadcast(own.limit(2 * rows)), F.col("doc_id") == F.col("label_id")).select("text", "y")
-
-
-def fitted(sample: DataFrame, features: Callable[[str], np.ndarray], bits: int, least: int, fit: Callable):
-    """fit(examples, labels) of the sample: each example's distinct features,
-    those of fewer than `least` examples left out.
-
-    Features are found where the texts are; the fit is one task over the bounded
-    sample, so only the model comes to the driver.
+    drawn = F.pmod(F.xxhash64(F.col("label_id"), F.lit(label)), F.lit(max(1, n)))
+    # At most `rows` pairs of numbers, so they may be broadcast whatever the table's size.
+    own = F.broadcast(own.where(drawn < rows).orderBy(drawn, "label_id", "y").limit(rows))
+    found = docs.select("doc_id").join(own, F.col("doc_id") == F.col("label_id")).count()
+    h = F.xxhash64("doc_id", "text", "y")
+    out = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("label_id")).select("text", "y", h.alias("h"))
+    return out.where(F.pmod("h", F.lit(found)) < rows).dropDuplicates(["h"]) if found > rows else out
+
+
+def bounded(rows: DataFrame, most_rows: int, most_bytes: int) -> DataFrame:
+    """The examples (y, f, h), each once, in the order of their hash as long as
+    there are at most so many and their features have so many bytes. At most
+    most_rows pairs of numbers come to the driver."""
+    first = rows.groupBy("h").agg(F.max(F.length("f")).alias("size")).orderBy("h").limit(most_rows).collect()
+    total, last = 0, None
+    for r in first:
+        total += r["size"]
+        if total > most_bytes and last is not None:
+            break
+        last = r["h"]
+    return rows.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"])
+
+
+def fitted(sample: DataFrame, features: Callable[[str], np.ndarray], bits: int, least: int, fit: Callable, most_rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES):
+    """fit(examples, labels) of the sample (text, y, h): each example's distinct
+    features, those of fewer than `least` examples left out. Repeated rows are
+    one example.
+
+    Features are found where the texts are; the fit is one task over a sample of
+    at most most_rows examples and most_bytes bytes of features, so only the
+    model comes to the driver.
     """
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"y": b["y"].astype("int32"), "f": [np.unique(fold(features(t or ""), bits)).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"y": b["y"].astype("int32"), "f": [np.unique(fold(features(t or ""), bits)).tobytes() for t in b["text"]], "h": b["h"]})
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = sorted((f, int(y)) for b in batches for f, y in zip(b["f"], b["y"], strict=True))
@@ -92,8 +116,8 @@ def fitted(sample: DataFrame, features: Callable[[str], np.ndarray], bits: int,
         model = fit([f[count[f] >= least] for f in examples], np.array([y for _, y in rows], np.int64))
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
-    rows = stored(sample.mapInPandas(found, "y int, f binary"))
-    got = rows.coalesce(1).mapInPandas(learn, "model binary").first()
+    rows = stored(sample.mapInPandas(found, "y int, f binary, h bigint"))
+    got = bounded(rows, most_rows, most_bytes).select("y", "f").coalesce(1).mapInPandas(learn, "model binary").first()
     dropped(rows)
     return fit([], np.empty(0, np.int64)) if got is None else pickle.loads(got["model"])
 

@@ -14,7 +14,10 @@ template words (length filter), and after the first common word of the order the
 words left on both sides must still suffice (positional filter). What holds for a
 block holds for its document, so the filters are put to a document's set of
 template words first; in the few documents that pass, only runs that begin with
-a template word, reach `need` of them and hold a prefix word are intersected. The
+a template word, reach `need` of them and hold a prefix word are intersected.
+Templates of one family share most words; what tells them apart is stated with
+them (words that a block must hold, and words that end it), so a notice of a stricter member
+is not taken for a more liberal one. The
 templates are a fixed list, so their side is a set of constants in the plan: no
 block is shuffled, no pair is built outside its own row, and repeated rows or a
 hot text cost no more than others.
@@ -48,38 +51,90 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 KELVIN, OTHER = "\u212a", "\u0138"
 #: Fixed values of the base scan.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Labels and texts of the templates: the usual notices of public licenses.
+#: Labels and texts of the templates: the usual notices of public licenses. A block of a template holds
+#: all of its third element's words and ends before its fourth's, which tell the members of a family apart.
+_LESSER = ("lesser", "library", "affero")
+_NAMES = {"nc": "NonCommercial", "nd": "NoDerivatives", "sa": "ShareAlike"}
+_SHORT = {"nc": ("nc", "noncommercial", "commercial"), "nd": ("nd", "noderivatives", "noderivs", "derivatives"), "sa": ("sa", "sharealike", "share")}
+
+
+def _creative_commons() -> list[tuple]:
+    """Long and short notices of each combination of conditions."""
+    out = []
+    for terms in ((), ("sa",), ("nc",), ("nd",), ("nc", "sa"), ("nc", "nd")):
+        label, name = "-".join(("cc-by", *terms)), "-".join(("Attribution", *(_NAMES[t] for t in terms)))
+        others = tuple(w for t, ws in _SHORT.items() if t not in terms for w in ws)
+        told = ("attribution", *(_NAMES[t].lower() for t in terms))
+        for version in ("4.0 International", "3.0 Unported"):
+            out.append((label, f"This work is licensed under a Creative Commons {name} {version} License.", told, others))
+        out.append((label, f"Creative Commons {name} 4.0 International License", told, others))
+        for version in ("4.0", "3.0"):
+            out.append((label, f"{'-'.join(('CC BY', *terms)).upper()} {version}", (), others))
+    return out
+
+
+def _gnu() -> list[tuple]:
+    """The notices of the general public license and of its lesser and network kinds."""
+    out = []
+    for label, kind in (("gpl", ""), ("lgpl", "Lesser "), ("agpl", "Affero ")):
+        told = ("general", *filter(None, [kind.strip().lower()]))
+        others = tuple(w for w in _LESSER if w not in told)
+        name = f"GNU {kind}General Public License"
+        out += [
+            (label, f"This work is licensed under the {name}, version 3.", told, others),
+            (label, f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation", told, others),
+            (label, f"This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details.", told, others),
+            (label, f"You should have received a copy of the {name} along with this program.", told, others),
+        ]
+    return out + [("lgpl", "GNU Lesser General Public License", (), ()), ("agpl", "GNU Affero General Public License", (), ())]
+
+
 TEMPLATES = (
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0"),
-    ("unlicense", "This is free and unencumbered software released into the public domain."),
-    ("bsl", "Distributed under the Boost Software License, Version 1.0."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", ("deal",), ("organization",)),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ("substantial",), ()),
+    ("mit", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.", ("noninfringement",), ("title",)),
+    ("mit", "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.", ("claim", "dealings"), ()),
+    ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at", ("apache",), ()),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", ("basis",), ()),
+    ("apache", "See the License for the specific language governing permissions and limitations under the License.", ("governing", "limitations"), ()),
+    *_gnu(),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0.", (), ("nd", "sa")),
+    *_creative_commons(),
+    ("cc0", "This work is dedicated to the public domain under CC0 1.0 Universal.", (), ()),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", ("waived",), ()),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution",), ()),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", ("retain",), ()),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", ("reproduce",), ()),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ("endorse",), ()),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.", ("disclaimed",), ()),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ("fee",), ()),
+    ("isc", "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.", ("disclaims", "regard"), ()),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", ("held",), ()),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla",), ()),
+    ("mpl", "If a copy of the MPL was not distributed with this file, You can obtain one at", ("mpl",), ()),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0", ("eclipse",), ()),
+    ("unlicense", "This is free and unencumbered software released into the public domain.", ("unencumbered",), ()),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", ("anyone", "compile"), ()),
+    ("bsl", "Distributed under the Boost Software License, Version 1.0.", ("boost",), ()),
+    ("bsl", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("organization",), ()),
+    ("odbl", "This database is made available under the Open Database License", ("database",), ()),
 )
 
 
 class Template:
-    """A template's distinct words, how many of them a block needs, and the block's length in words."""
+    """A template's distinct words, how many of them a block needs, which it must
+    hold and which end it, and the block's length in words."""
 
-    def __init__(self, label: str, text: str, threshold: float):
+    def __init__(self, label: str, text: str, must: tuple, without: tuple, threshold: float):
         found = re.findall(WORDS, text.lower())
         self.label, self.words = label, sorted(set(found))
         self.need = len(self.words) if len(self.words) < SHORT else math.ceil(threshold * len(self.words) - 1e-9)
+        self.must, self.without = sorted(must), sorted(without)
         self.span = len(found) + len(found) // 4
 
 
 def template_list(threshold: float = THRESHOLD) -> list[Template]:
-    return [Template(label, text, threshold) for label, text in TEMPLATES]
+    return [Template(*t, threshold) for t in TEMPLATES]
 
 
 def words(text: Column) -> Column:
@@ -112,7 +167,10 @@ def scanned(docs: DataFrame, templates: list[Template]) -> DataFrame:
     rows = rows.select("*", F.array_intersect(vocabulary, F.col("words")).alias("held"), *(phrase_starts(F.col("words"), p).alias(name) for p, name in PHRASES))
     fits = F.lit(False)
     for t in templates:
-        fits = fits | (F.size(F.array_intersect(literal(t.words, "string"), F.col("held"))) >= t.need)
+        told = F.lit(True)
+        for w in t.must:
+            told = told & F.array_contains("held", w)
+        fits = fits | (told & (F.size(F.array_intersect(literal(t.words, "string"), F.col("held"))) >= t.need))
     names = [name for _, name in PHRASES]
     return stored(rows.select("doc_id", F.size("words").cast("long").alias("n_words"), *names, "held", F.when(fits, F.col("words")).alias("words")))
 
@@ -138,22 +196,36 @@ def passes(own: list[str], need: int) -> Callable[[Column], Column]:
     return fits
 
 
-def best_share(own: list[str], need: int, span: int) -> Callable[[Column], Column]:
-    """The largest share of the template's words in `span` consecutive words, null if none reaches `need`."""
+def best_share(own: list[str], need: int, span: int, must: list[str], without: list[str]) -> Callable[[Column], Column]:
+    """The largest share of the template's words in `span` consecutive words (fewer
+    before one of `without`) that hold all of `must`, null if none reaches `need`."""
     template, prefix = literal(own, "string"), literal(own[: len(own) - need + 1], "string")
 
     def share(tokens: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.array_contains(template, F.get(tokens, i)))
+        def places(words: Column) -> Column:
+            return F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.array_contains(words, F.get(tokens, i)))
 
-        def common(hits: Column) -> Column:
+        def common(hits: Column, barred: Column) -> Column:
             # A best run may as well begin with one of the template's words and reach `need` of them.
-            runs = F.filter(F.sequence(F.lit(0), F.size(hits) - need), lambda k: F.get(hits, k + (need - 1)) - F.get(hits, k) < span)
-            runs = F.transform(runs, lambda k: F.slice(tokens, F.get(hits, k) + 1, F.lit(span)))
-            runs = F.filter(runs, lambda run: F.arrays_overlap(prefix, run))
+            starts = F.transform(F.filter(F.sequence(F.lit(0), F.size(hits) - need), lambda k: F.get(hits, k + (need - 1)) - F.get(hits, k) < span), lambda k: F.get(hits, k))
+
+            def run(start: Column) -> Column:
+                end = F.coalesce(F.array_min(F.filter(barred, lambda p: p >= start)), F.size(tokens))
+                return F.slice(tokens, start + 1, F.least(F.lit(span), end - start))
+
+            def sound(run: Column) -> Column:
+                ok = F.arrays_overlap(prefix, run)
+                for w in must:
+                    ok = ok & F.array_contains(run, w)
+                return ok
+
+            runs = F.filter(F.transform(starts, run), sound)
             return F.array_max(F.transform(runs, lambda run: F.size(F.array_intersect(template, run))))
 
-        # The template words' places are found once, as a list of one list.
-        most = F.get(F.transform(F.array(at), lambda hits: F.when(F.size(hits) >= need, common(hits))), F.lit(0))
+        # The places are found once, as a list of one pair of lists.
+        barred = places(literal(without, "string")) if without else F.array().cast("array<int>")
+        lists = F.array(F.struct(places(template).alias("hits"), barred.alias("barred")))
+        most = F.get(F.transform(lists, lambda x: F.when(F.size(x["hits"]) >= need, common(x["hits"], x["barred"]))), F.lit(0))
         return F.when(most >= need, most / F.lit(len(own)))
 
     return share
@@ -170,7 +242,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     best = []
     for k, t in enumerate(templates):
         own = sorted(t.words, key=rank.__getitem__)
-        found = F.when(passes(own, t.need)(F.col("held")), best_share(own, t.need, t.span)(F.col("words")))
+        found = F.when(passes(own, t.need)(F.col("held")), best_share(own, t.need, t.span, t.must, t.without)(F.col("words")))
         rows = rows.withColumn(f"t{k}", found)
         best.append((t.label, F.col(f"t{k}")))
     base = F.array(*(F.when(F.size(name) > 0, name) for _, name in PHRASES))
@@ -199,7 +271,7 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-    rows = ",\n    ".join(f"('{t.label}', {quoted(t.words)}, {t.need}, {t.span})" for t in template_list())
+    rows = ",\n    ".join(f"('{t.label}', {quoted(t.words)}, {t.need}, {t.span}, {quoted(t.must)}::VARCHAR[], {quoted(t.without)}::VARCHAR[])" for t in template_list())
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -209,11 +281,13 @@ WITH d AS (
     list_filter(range(0, len(w)), lambda i: w[i + 1] = 'mit' AND w[i + 2] = 'license') AS a,
     list_filter(range(0, len(w)), lambda i: w[i + 1] = 'apache' AND w[i + 2] = 'license') AS b,
     list_filter(range(0, len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS c FROM d
-), templates(label, ws, need, span) AS (
+), templates(label, ws, need, span, must, wo) AS (
   VALUES {rows}
 ), runs AS (
-  SELECT rid, label, ws, need, list_max(list_transform(range(1, len(w) + 1), lambda i: len(list_intersect(ws, list_distinct(w[i:i + span - 1]))))) AS common
-  FROM d JOIN templates ON len(list_intersect(ws, list_distinct(w))) >= need
+  SELECT rid, label, ws, need, list_max(list_transform(list_transform(range(1, len(w) + 1), lambda i: w[i:i + coalesce(
+    list_min(list_filter(range(0, least(span, len(w) - i + 1)), lambda j: list_contains(wo, w[i + j]))), span) - 1]),
+    lambda b: CASE WHEN list_has_all(b, must) THEN len(list_intersect(ws, list_distinct(b))) ELSE 0 END)) AS common
+  FROM d JOIN templates ON list_has_all(w, must) AND len(list_intersect(ws, list_distinct(w))) >= need
 ), more AS (
   SELECT rid, list(label) AS labels, max(common / len(ws)) AS share FROM runs WHERE common >= need GROUP BY rid
 ), base AS (

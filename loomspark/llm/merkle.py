@@ -1,20 +1,21 @@
 """Document fingerprints as Merkle trees (operator 3), in DataFrame functions only.
 
 A text is cut into sections (at empty lines), a section into paragraphs (at line
-ends). A paragraph's node is the SHA-256 of its text, a section's that of its
-paragraphs' nodes, the root that of the sections' nodes: equal roots mean equal
-texts, and where two trees differ, the differing branches locate the edits: the
-paragraphs between what the two have in common at their beginning and at their
-end (so what is put in or taken out moves nothing else), each told by section
-and paragraph.
-
-Below the paragraphs stand leaves of a few words. Their ends are told by the
-text itself (a blank behind certain letters, signs or digits), so leaves behind
-an insertion stay the same; in the first HEAD code points they are pieces of
-words, for short texts. The fingerprint is the root and, behind a colon, DIGITS
-hexadecimal digits of each leaf's MD5 in order. The likeness of two fingerprints
-is the number of leaves that both hold, wherever they stand and counted as often
-as they occur in both, divided by the larger number of leaves.
+ends), a paragraph into leaves of a word or two: a leaf ends at a blank behind
+certain letters, signs or digits, so its ends are told by the text around them
+alone and leaves behind an insertion stay the same. A leaf's node is the SHA-256
+of its text, a paragraph's that of its leaves' nodes, a section's that of its
+paragraphs', the root that of the sections': equal roots mean equal texts, and
+where two trees differ, the differing branches locate the edits: the paragraphs
+between what the two have in common at their beginning and at their end (so what
+is put in or taken out moves nothing else), each told by section and paragraph.
+
+The fingerprint is the root and, behind a colon, an entry for each leaf in order:
+DIGITS hexadecimal digits of its node and a letter for its length (a: one code
+point). The likeness of two fingerprints is the length of the leaves that both
+hold, wherever they stand and counted as often as they occur in both, divided by
+the length of all leaves of the longer one. It is the same wherever in a text an
+edit of a given size is made.
 
 The successor of each document is found without a global window: cut values of
 doc_id deal the rows to order buckets, and the first row of a bucket is also
@@ -35,18 +36,28 @@ from pyspark.sql import functions as F
 
 from .common import literal, parts, range_bounds, range_bucket, table
 
-HEAD, DIGITS, BUCKET_ROWS, MOST_BUCKETS = 64, 6, 2_000, 20_000
-#: Leaves of the head and of the rest of a text.
-FINE, LEAF = "[^\n ]{1,4} ?| ", "[^\n]{16,38}?[esn.,:;!?0-9] |[^\n]{1,40}"
+DIGITS, BUCKET_ROWS, MOST_BUCKETS = 5, 2_000, 100_000
+#: A CJK character, or up to LONGEST other ones, as few as end at a blank behind one of the signs.
+LONGEST, CJK = 24, r"\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}"
+LEAF = rf"[{CJK}] ?|[^\n{CJK}]{{0,{LONGEST - 2}}}?[esndtr.,:;!?0-9] |[^\n{CJK}]{{1,{LONGEST}}}"
 
 
 def sha(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def tree(text: Column) -> Column:
+def leaf_nodes(text: Column) -> Column:
+    """node and size of the leaves by section and paragraph: array<array<array<struct>>>."""
+
+    def cut(paragraph: Column) -> Column:
+        return F.transform(F.regexp_extract_all(paragraph, F.lit(LEAF), F.lit(0)), lambda x: F.struct(sha(x).alias("node"), F.length(x).alias("size")))
+
+    return F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.split(s, "\n"), cut))
+
+
+def tree(nodes: Column) -> Column:
     """The paragraphs' nodes by section: array<array<string>>."""
-    return F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.split(s, "\n"), sha))
+    return F.transform(nodes, lambda s: F.transform(s, lambda p: sha(F.array_join(p["node"], ""))))
 
 
 def root(nodes: Column) -> Column:
@@ -54,23 +65,24 @@ def root(nodes: Column) -> Column:
     return sha(F.array_join(F.transform(nodes, lambda ps: sha(F.array_join(ps, ""))), ""))
 
 
-def leaves(text: Column) -> Column:
-    """The leaves' digests in order."""
+def entries(nodes: Column) -> Column:
+    """The leaves' entries in order."""
+    return F.transform(F.flatten(F.flatten(nodes)), lambda x: F.concat(F.substring(x["node"], 1, DIGITS), F.char(x["size"] + 96)))
 
-    def cut(part: Column, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(part, F.lit(pattern), F.lit(0)), lambda x: F.substring(F.md5(x.cast("binary")), 1, DIGITS))
 
-    return F.concat(cut(F.substring(text, 1, HEAD), FINE), cut(F.substring(text, HEAD + 1, 2**31 - 1), LEAF))
+def fingerprint(nodes: Column, leaves: Column) -> Column:
+    """The fingerprint of a tree and its leaves' entries."""
+    return F.concat(root(nodes), F.lit(":"), F.array_join(leaves, ""))
 
 
-def fingerprint(nodes: Column, digests: Column) -> Column:
-    """The fingerprint of a tree and its leaves."""
-    return F.concat(root(nodes), F.lit(":"), F.array_join(digests, ""))
+def entries_of(print_: Column) -> Column:
+    """The leaves' entries of a fingerprint."""
+    return F.regexp_extract_all(F.substring(print_, 66, 2**31 - 1), F.lit(f".{{{DIGITS + 1}}}"), F.lit(0))
 
 
-def leaves_of(print_: Column) -> Column:
-    """The leaves' digests of a fingerprint."""
-    return F.regexp_extract_all(F.substring(print_, 66, 2**31 - 1), F.lit(f".{{{DIGITS}}}"), F.lit(0))
+def size_of(leaves: Column) -> Column:
+    """The length of entries together."""
+    return F.aggregate(leaves, F.lit(0).cast("long"), lambda n, x: n + F.ascii(F.substring(x, DIGITS + 1, 1)) - 96)
 
 
 def numbered(digests: Column) -> Column:
@@ -91,9 +103,9 @@ def numbered(digests: Column) -> Column:
     return F.when(F.size(F.array_distinct(digests)) == F.size(digests), digests).otherwise(repeated)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of the leaves that two numbered lists have in common, 0 to 1; null if neither has any."""
-    return F.size(F.array_intersect(a, b)) / F.nullif(F.greatest(F.size(a), F.size(b)), F.lit(0))
+def likeness(a: Column, b: Column, size_a: Column, size_b: Column) -> Column:
+    """Share of the length of the leaves that two numbered lists have in common, 0 to 1; null if neither has any."""
+    return size_of(F.array_intersect(a, b)) / F.nullif(F.greatest(size_a, size_b), F.lit(0))
 
 
 def differences(a: Column, b: Column) -> Column:
@@ -121,28 +133,35 @@ def differences(a: Column, b: Column) -> Column:
     return F.get(F.transform(F.transform(lists, ends), middle), F.lit(0))
 
 
+def shown(rows: DataFrame, text: str, prefix: str) -> DataFrame:
+    """rows with the tree, entries, numbered (entries) and size of a text column, under names with the prefix."""
+    rows = rows.withColumn("__nodes", leaf_nodes(F.col(text)))
+    rows = rows.withColumn(f"{prefix}tree", tree(F.col("__nodes"))).withColumn(f"{prefix}entries", entries(F.col("__nodes"))).drop("__nodes")
+    # No leaf holds a line end, and everything else is in some leaf.
+    size = F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))).cast("long")
+    return rows.withColumn(f"{prefix}numbered", numbered(F.col(f"{prefix}entries"))).withColumn(f"{prefix}size", size)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, leaves, numbered (leaves) of every row of docs and next_text, next_numbered of its successor."""
+    """doc_id, text, tree, entries, numbered, size of every row of docs and next_text, next_numbered, next_size of its successor."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     buckets = min(MOST_BUCKETS, max(parts(spark), -(-docs.count() // BUCKET_ROWS)))
     bounds = range_bounds(docs, "doc_id", buckets)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("bucket", range_bucket(F.col("doc_id"), bounds, kind, F.xxhash64("text")))
-    # One row a bucket: at most MOST_BUCKETS of them.
-    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id"))["doc_id"]
-    first = sorted(rows.groupBy("bucket").agg(least.alias("first")).collect(), key=lambda r: r["bucket"])
-    firsts, before = [None] * (len(bounds) + 1), [0] * (len(bounds) + 1)
-    for k, r in enumerate(first):
-        firsts[r["bucket"]], before[r["bucket"]] = r["first"], first[k - 1]["bucket"]
-    is_first = F.col("doc_id").eqNullSafe(F.get(literal(firsts, kind), F.col("bucket")))
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("guest"))
-    guest = F.struct(F.get(literal(before, "int"), F.col("bucket")).alias("bucket"), F.lit(1).alias("guest"))
-    placed = rows.select("doc_id", "text", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own))).alias("at"))
-    placed = placed.select("doc_id", "text", "at.bucket", "at.guest").repartition(len(bounds) + 1, "bucket")
-    placed = placed.withColumn("leaves", leaves(F.col("text"))).withColumn("numbered", numbered(F.col("leaves"))).withColumn("tie", F.xxhash64("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("bucket", range_bucket(F.col("doc_id"), bounds, kind, F.col("tie")))
+    place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "tie")
+    # One row a bucket: its number comes to the driver, its first text goes to the bucket before it.
+    first = rows.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "text", "tie"), place).alias("first"))
+    have = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())
+    before = [0] * (len(bounds) + 1)
+    for k, b in enumerate(have):
+        before[b] = have[k - 1]
+    guests = first.select("first.*", F.get(literal(before, "int"), F.col("bucket")).alias("bucket"), F.lit(1).alias("guest"))
+    placed = rows.withColumn("guest", F.lit(0)).unionByName(guests).repartition(len(bounds) + 1, "bucket")
+    placed = shown(placed, "text", "")
     order = W.partitionBy("bucket").orderBy("guest", "doc_id", "tie")
-    both = placed.withColumn("next_text", F.lead("text").over(order)).withColumn("next_numbered", F.lead("numbered").over(order))
-    return both.where("guest = 0").select("doc_id", "text", "leaves", "numbered", "next_text", "next_numbered")
+    both = placed.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "numbered", "size")))
+    return both.where("guest = 0").drop("bucket", "guest", "tie")
 
 
 def compared(docs: DataFrame) -> DataFrame:
@@ -152,21 +171,19 @@ def compared(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     part = F.floor(n / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - part), F.substring("next_text", F.lit(1), part)))
-    rows = rows.withColumn("tree", tree(F.col("text"))).withColumn("edited_tree", tree(F.col("edited")))
-    rows = rows.withColumn("edited_leaves", leaves(F.col("edited")))
+    rows = shown(rows, "edited", "edited_")
 
     def near(other: str, text: str) -> Column:
-        return F.coalesce(likeness(F.col("numbered"), F.col(other)), (F.col("text") == F.col(text)).cast("double"))
+        return F.coalesce(likeness(F.col("numbered"), F.col(f"{other}numbered"), F.col("size"), F.col(f"{other}size")), (F.col("text") == F.col(text)).cast("double"))
 
-    rows = rows.withColumn("edited_numbered", numbered(F.col("edited_leaves")))
     return rows.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         sha(F.col("edited")).alias("edited_sha256"),
-        fingerprint(F.col("tree"), F.col("leaves")).alias("fingerprint"),
-        fingerprint(F.col("edited_tree"), F.col("edited_leaves")).alias("edited_fingerprint"),
-        near("edited_numbered", "edited").alias("near_edited"),
-        near("next_numbered", "next_text").alias("near_next"),
+        fingerprint(F.col("tree"), F.col("entries")).alias("fingerprint"),
+        fingerprint(F.col("edited_tree"), F.col("edited_entries")).alias("edited_fingerprint"),
+        near("edited_", "edited").alias("near_edited"),
+        near("next_", "next_text").alias("near_next"),
         F.array_join(differences(F.col("tree"), F.col("edited_tree")), ",").alias("edits"),
     )
 
@@ -176,7 +193,9 @@ def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(table(spark, sf_dir, "documents"))
 
 
-OP3_SQL = r"""
+_ENTRIES = "list_transform(regexp_extract_all({0}, '{1}'), lambda x: sha256(x)[1:5] || chr(96 + length(x)))"
+_TREE = r"list_transform(string_split({0}, E'\n\n'), lambda s: list_transform(string_split(s, E'\n'), lambda p: sha256(array_to_string(list_transform(regexp_extract_all(p, '{1}'), lambda x: sha256(x)), ''))))"
+OP3_SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
 ), n AS (
@@ -185,21 +204,17 @@ WITH d AS (
 ), e AS (
   SELECT *, substr(text, 1, n_chars - n_chars // 4) || substr(next_text, 1, n_chars // 4) AS edited FROM n
 ), t AS (
-  SELECT *,
-    list_transform(string_split(text, E'\n\n'), lambda s: list_transform(string_split(s, E'\n'), lambda p: sha256(p))) AS a,
-    list_transform(string_split(edited, E'\n\n'), lambda s: list_transform(string_split(s, E'\n'), lambda p: sha256(p))) AS b,
-    list_transform(regexp_extract_all(substr(text, 1, 64), '[^\n ]{1,4} ?| ') || regexp_extract_all(substr(text, 65), '[^\n]{16,38}?[esn.,:;!?0-9] |[^\n]{1,40}'), lambda x: md5(x)[1:6]) AS l,
-    list_transform(regexp_extract_all(substr(edited, 1, 64), '[^\n ]{1,4} ?| ') || regexp_extract_all(substr(edited, 65), '[^\n]{16,38}?[esn.,:;!?0-9] |[^\n]{1,40}'), lambda x: md5(x)[1:6]) AS m,
-    list_transform(regexp_extract_all(substr(next_text, 1, 64), '[^\n ]{1,4} ?| ') || regexp_extract_all(substr(next_text, 65), '[^\n]{16,38}?[esn.,:;!?0-9] |[^\n]{1,40}'), lambda x: md5(x)[1:6]) AS k
-  FROM e
+  SELECT *, {_TREE.format("text", LEAF)} AS a, {_TREE.format("edited", LEAF)} AS b,
+    {_ENTRIES.format("text", LEAF)} AS l, {_ENTRIES.format("edited", LEAF)} AS m, {_ENTRIES.format("next_text", LEAF)} AS k,
+    length(replace(text, E'\n', '')) AS sl, length(replace(edited, E'\n', '')) AS sm, length(replace(next_text, E'\n', '')) AS sk FROM e
 ), h AS (
   SELECT *, list_aggregate(l, 'histogram') AS hl, list_aggregate(m, 'histogram') AS hm, list_aggregate(k, 'histogram') AS hk,
     flatten(a) AS fa, flatten(b) AS fb,
     flatten(list_transform(b, lambda s, i: list_transform(s, lambda x, j: i || '.' || j))) AS places FROM t
 ), c AS (
   SELECT *,
-    coalesce(list_sum(list_transform(map_keys(hl), lambda x: least(hl[x], coalesce(hm[x], 0)))), 0) AS in_edited,
-    coalesce(list_sum(list_transform(map_keys(hl), lambda x: least(hl[x], coalesce(hk[x], 0)))), 0) AS in_next,
+    coalesce(list_sum(list_transform(map_keys(hl), lambda x: (ord(x[6]) - 96) * least(hl[x], coalesce(hm[x], 0)))), 0) AS in_edited,
+    coalesce(list_sum(list_transform(map_keys(hl), lambda x: (ord(x[6]) - 96) * least(hl[x], coalesce(hk[x], 0)))), 0) AS in_next,
     coalesce(nullif(list_position(list_transform(list_zip(fa, fb), lambda z: z[1] IS DISTINCT FROM z[2]), true), 0) - 1, len(fa)) AS head,
     coalesce(nullif(list_position(list_transform(list_zip(list_reverse(fa), list_reverse(fb)), lambda z: z[1] IS DISTINCT FROM z[2]), true), 0) - 1, len(fa)) AS back FROM h
 ), f AS (
@@ -208,8 +223,8 @@ WITH d AS (
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256,
   sha256(array_to_string(list_transform(a, lambda p: sha256(array_to_string(p, ''))), '')) || ':' || array_to_string(l, '') AS fingerprint,
   sha256(array_to_string(list_transform(b, lambda p: sha256(array_to_string(p, ''))), '')) || ':' || array_to_string(m, '') AS edited_fingerprint,
-  CASE WHEN greatest(len(l), len(m)) = 0 THEN CAST(text = edited AS DOUBLE) ELSE in_edited / greatest(len(l), len(m)) END AS near_edited,
-  CASE WHEN greatest(len(l), len(k)) = 0 THEN CAST(text = next_text AS DOUBLE) ELSE in_next / greatest(len(l), len(k)) END AS near_next,
+  CASE WHEN greatest(sl, sm) = 0 THEN CAST(text = edited AS DOUBLE) ELSE in_edited / greatest(sl, sm) END AS near_edited,
+  CASE WHEN greatest(sl, sk) = 0 THEN CAST(text = next_text AS DOUBLE) ELSE in_next / greatest(sl, sk) END AS near_next,
   array_to_string(list_transform(list_filter(range(head + 1, len(fb) - tail + 1), lambda i: fb[i] IS DISTINCT FROM CASE WHEN i <= len(fa) - tail THEN fa[i] END), lambda i: places[i]), ',') AS edits
 FROM f
 """

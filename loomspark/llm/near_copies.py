@@ -73,9 +73,21 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def row_mark(docs: DataFrame) -> Column:
-    """A hash of all columns, nulls told from missing places; maps, which have no hash, count as JSON."""
+    """128 bits of hashes of all columns, nulls told from missing places; maps, which have no hash, count as JSON."""
     whole = [F.to_json(F.struct(docs[f.name])) if "map<" in f.dataType.simpleString() else docs[f.name] for f in docs.schema]
-    return F.xxhash64(*whole, *(c.isNull() for c in whole))
+    whole += [c.isNull() for c in whole]
+    # What comes first changes the whole hash; what comes last would only hash the first 64 bits again.
+    return F.struct(F.xxhash64(*whole).alias("m1"), F.xxhash64(F.lit("second"), *whole).alias("m2"))
+
+
+def told_apart(found: DataFrame) -> DataFrame:
+    """Sets with a key of their own each: `found` has a row for every (key, key2);
+    where sets share the first 64 bits, the key is made of both."""
+    clash = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("clash"))
+    if clash.isEmpty():
+        return found.drop("key2")
+    key = F.when(F.col("clash"), F.xxhash64("key2", "key")).otherwise(F.col("key"))
+    return found.join(clash, "key", "left").withColumn("key", key).drop("key2", "clash")
 
 
 def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
@@ -93,7 +105,7 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def sets(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """key (hash of the set), size, prefix, odd (a bit for each bucket of hashes
+    """key (hash of the set, told apart by 128 bits), size, prefix, odd (a bit for each bucket of hashes
     that holds an odd number), fp (a SimHash) and best (the row with the smallest
     doc_id, nulls last, as a struct with its mark) of every distinct set."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
@@ -108,15 +120,17 @@ def sets(docs: DataFrame, width: int, similarity: float) -> DataFrame:
             upto = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1
             prefix = np.concatenate((s[~common], s[common]))[:upto]
             odd = np.packbits(np.bincount((s % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) & 1)
-            rows.append((xxhash.xxh64_intdigest(s.tobytes(), SEED), len(s), prefix.view(np.int64), odd.view(np.int64), majority(every)))
-        key, size, prefix, odd, fp = zip(*rows, strict=True) if rows else [()] * 5
+            whole = xxhash.xxh3_128_intdigest(s.tobytes(), SEED)
+            rows.append((whole >> 64, whole & (1 << 64) - 1, len(s), prefix.view(np.int64), odd.view(np.int64), majority(every)))
+        key, key2, size, prefix, odd, fp = zip(*rows, strict=True) if rows else [()] * 6
         signed = lambda x: np.array(x, np.uint64).view(np.int64)
-        return [signed(key), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())), signed(fp)]
+        return [signed(key), signed(key2), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())), signed(fp)]
 
     rows = docs.select("doc_id", "text", row_mark(docs).alias("mark"))
-    rows = extended(rows, ["doc_id", "mark"], made, "key bigint, size int, prefix array<bigint>, odd array<bigint>, fp bigint")
+    rows = extended(rows, ["doc_id", "mark"], made, "key bigint, key2 bigint, size int, prefix array<bigint>, odd array<bigint>, fp bigint")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("best")
-    return stored(rows.groupBy("key").agg(*(F.any_value(c).alias(c) for c in ("size", "prefix", "odd", "fp")), best))
+    found = stored(rows.groupBy("key", "key2").agg(*(F.any_value(c).alias(c) for c in ("size", "prefix", "odd", "fp")), best))
+    return told_apart(found)
 
 
 def possible(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomspark.llm import chat, common, features, licenses, merkle, mixing, packing, quality, simhash, token_counts, topk, toxicity
+from loomspark.llm import chat, common, features, licenses, merkle, mixing, near_copies, packing, quality, simhash, token_counts, topk, toxicity
 from loomspark.llm.components import components
 
 from .conftest import ODD
@@ -110,6 +110,29 @@ def test_near_copies_of_null_and_repeated_ids(spark):
     assert sum(not (r.text or "").strip() for r in got) == 1 and len(got) == len(brute_kept(rows)) == 12
 
 
+def test_sets_that_share_half_their_hash_stay_apart(spark):
+    rows = [(1, 10, 5), (1, 11, 6), (2, 12, 7), (3, 12, 8)]
+    found = near_copies.told_apart(spark.createDataFrame(rows, "key bigint, key2 bigint, size int")).collect()
+    assert sorted(r["size"] for r in found) == [5, 6, 7, 8] and len({r.key for r in found}) == 4 and {r.key for r in found} > {2, 3}
+    one = spark.createDataFrame([("a", None), (None, "a"), ("", "a")], "a string, b string")
+    marks = one.select(near_copies.row_mark(one).alias("m")).collect()
+    assert len({r.m.m1 for r in marks}) == len({r.m.m2 for r in marks}) == len({r.m.m1 for r in marks} | {r.m.m2 for r in marks}) / 2 == 3
+
+
+def test_sample_of_a_repeated_labelled_id_is_bounded(spark):
+    docs = spark.createDataFrame([(1 if k % 2 else k, f"text {k if k % 3 else 0} good" if k % 2 else f"bad {k}") for k in range(900)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(0, 60, 2)] + [(1, 1)] * 200 + [(None, 1), (3, None)], "doc_id bigint, toxic int")
+    sample = features.labelled(docs, labels, "toxic", 3, 3, rows=100)
+    assert 20 < sample.count() <= 150 and sample.where("y = 1").count() > 20
+    made = spark.createDataFrame([(k % 2, b"abcd" * (k % 5), h) for k in range(300) for h in [hash(("h", k // 2))]], "y int, f binary, h bigint")
+    assert features.bounded(made, 40, 1 << 20).count() == 40
+    few = features.bounded(made, 200, 300).collect()
+    assert sum(len(r.f) for r in few) <= 300 + 16 and len({r.h for r in few}) == len(few) > 5
+    assert features.bounded(made.limit(0), 40, 100).count() == 0
+    want = features.fitted(docs.limit(0).select("text", F.lit(1).alias("y"), F.lit(1).cast("long").alias("h")), lambda t: np.empty(0, np.uint64), 4, 1, lambda x, y: len(y))
+    assert want == 0
+
+
 def test_licenses(odd, empty):
     rows = {(r.doc_id, r.n_words): r for r in licenses.scan(odd).collect()}
     assert (rows[1, 9].n_base, rows[1, 9].first_word, rows[1, 9].last_word, rows[1, 9].base_labels) == (2, 3, 6, "gpl,mit")
@@ -122,7 +145,9 @@ def brute_labels(text):
     found = re.findall(licenses.WORDS, text.translate(common.ASCII_LOWER))
     out = set()
     for t in licenses.template_list():
-        if any(len(set(t.words) & set(found[k : k + t.span])) >= t.need for k in range(len(found))):
+        runs = [found[k : k + t.span] for k in range(len(found))]
+        blocks = [set(itertools.takewhile(lambda w, t=t: w not in t.without, r)) for r in runs]
+        if any(len(set(t.words) & b) >= t.need and b >= set(t.must) for b in blocks):
             out.add(t.label)
     return out | {name for phrase, name in licenses.PHRASES if f" {phrase} " in f" {' '.join(found)} "}
 
@@ -143,7 +168,7 @@ def test_license_join_against_brute_force(spark):
 
 
 def test_wrapped_licenses(spark):
-    notices = [(label, text) for label, text in licenses.TEMPLATES if label in ("mpl", "bsd", "mit", "apache")]
+    notices = [(label, text) for label, text, *_ in licenses.TEMPLATES if label in ("mpl", "bsd", "mit", "apache")]
     rows, want = [], []
     for label, text in notices:
         words = text.split()
@@ -157,6 +182,35 @@ def test_wrapped_licenses(spark):
     assert got == dict(enumerate(want)) | {99: ("", 0.0)}
 
 
+#: Notices as they stand in the wild, none of them a template as it is.
+NOTICES = (
+    ("This article is distributed under the terms of the Creative Commons Attribution-NonCommercial 4.0 International License, which permits non-commercial use.", "cc-by-nc"),
+    ("Except where otherwise noted, this work is licensed under a Creative Commons Attribution 4.0 International License (https://creativecommons.org/licenses/by/4.0/).", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy, visit the site.", "cc-by-sa"),
+    ("This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License.", "cc-by-nd"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.", "cc-by-nc-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "cc-by-nc-nd"),
+    ("Photo: J. Doe, CC BY 4.0, via the archive", "cc-by"), ("Text available under CC BY-SA 4.0.", "cc-by-sa"), ("figures (CC BY-NC-ND 4.0)", "cc-by-nc-nd"), ("Licensed under CC BY 4.0.", "cc-by"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either version 2.1", "gpl,lgpl"),
+    ("along with this program; it is covered by the GNU Affero General Public License", "agpl,gpl"),
+    ("// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by\n// the Free Software Foundation, either version 3 of the License", "gpl"),
+    ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\n"
+     "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE.", "mit"),
+    ("THIS SOFTWARE IS PROVIDED BY THE AUTHOR AND CONTRIBUTORS ``AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL", "bsd"),
+    ("   distributed under the License is distributed on an \"AS IS\" BASIS,\n   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n   See the License for the specific language governing permissions and\n   limitations under the License.", "apache"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\n   License, v. 2.0. If a copy of the MPL was not distributed with this\n   file, You can obtain one at http://mozilla.org/MPL/2.0/.", "mpl"),
+    ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use", "bsl"),
+    ("The creative commons of the town are open to the public under a new license, by 4 to 0 votes, and sale is not permitted.", ""), ("The authors claim that any damages arising from use of the software are covered by a contract.", ""),
+)
+
+
+def test_notices_get_their_own_label_and_no_other(spark):
+    df = spark.createDataFrame(list(enumerate(text for text, _ in NOTICES)), "doc_id bigint, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
+    assert got == {k: label for k, (_, label) in enumerate(NOTICES)}
+    assert got == {k: ",".join(sorted(brute_labels(text))) for k, (text, _) in enumerate(NOTICES)}
+
+
 def test_merkle(spark, odd, empty):
     rows = merkle.with_next(odd).collect()
     order = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0))
@@ -169,40 +223,69 @@ def test_merkle(spark, odd, empty):
         ("a\nb\n\nc\nd", "A\nb\n\nc\nD", ["1.1", "2.2"]), ("a", "a\n\nb", ["2.1"]), ("x\nx", "x\nx\nx", ["1.3"]),
     ]
     t = spark.createDataFrame([x[:2] for x in trees], "a string, b string").coalesce(1)
-    got = t.select("a", "b", merkle.differences(merkle.tree(F.col("a")), merkle.tree(F.col("b"))).alias("at"), (merkle.root(merkle.tree(F.col("a"))) == merkle.root(merkle.tree(F.col("b")))).alias("same")).collect()
+    tree = lambda c: merkle.tree(merkle.leaf_nodes(F.col(c)))
+    got = t.select("a", "b", merkle.differences(tree("a"), tree("b")).alias("at"), (merkle.root(tree("a")) == merkle.root(tree("b"))).alias("same")).collect()
     assert [(r.a, r.b, r["at"]) for r in got] == trees and all(r.same == (r.a == r.b) for r in got)
     hot = spark.createDataFrame([(7, f"t{k}") for k in range(60)] + [(8, "z")], "doc_id bigint, text string")
     assert merkle.with_next(hot).count() == 61
 
 
 def brute_leaves(text):
-    found = re.findall(merkle.FINE, text[: merkle.HEAD]) + re.findall(merkle.LEAF, text[merkle.HEAD :])
-    return [hashlib.md5(x.encode()).hexdigest()[: merkle.DIGITS] for x in found]
+    pattern = re.sub(r"\\x\{(\w+)\}", r"\\u\1", merkle.LEAF)
+    return re.findall(pattern, text)
+
+
+def brute_prints(text):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    paragraph = lambda p: sha("".join(map(sha, brute_leaves(p))))
+    root = sha("".join(sha("".join(paragraph(p) for p in s.split("\n"))) for s in text.split("\n\n")))
+    return root, [sha(x)[: merkle.DIGITS] + chr(96 + len(x)) for x in brute_leaves(text)]
 
 
 def test_likeness_of_fingerprints(spark, odd):
     rng = random.Random(13)
     words = ["".join(rng.choices("abcdehimnorstu", k=rng.randrange(2, 10))) for _ in range(300)]
     texts = [" ".join(rng.choices(words, k=n)) for n in (1, 3, 30, 90, 200, 4000)] + ["", "\n\n", "same line\n" * 400, None, "中文没有空格" * 60]
-    texts += ["x" + texts[4], texts[4][:300] + " put in " + texts[4][300:]]
+    texts += ["x" + texts[4], texts[4][:300] + " put in " + texts[4][300:], "y" * 500, "a\n\nb c, d\ne", "a\n\nb c, d\n\ne"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r for r in merkle.compared(docs).collect()}
-    like = lambda a, b: sum((Counter(a) & Counter(b)).values()) / max(len(a), len(b))
+    size = lambda c: sum(n * (ord(x[-1]) - 96) for x, n in c.items())
+    like = lambda a, b: size(Counter(a) & Counter(b)) / max(size(Counter(a)), size(Counter(b)))
     for k, text in enumerate(texts):
         text, after = text or "", texts[(k + 1) % len(texts)] or ""
         cut = len(text) // 4
         edited = text[: len(text) - cut] + after[:cut]
-        mine, theirs, other = map(brute_leaves, (text, edited, after))
-        assert got[k].fingerprint.partition(":")[2] == "".join(mine) and got[k].edited_fingerprint.partition(":")[2] == "".join(theirs)
+        (root, mine), (edited_root, theirs), (_, other) = map(brute_prints, (text, edited, after))
+        assert got[k].fingerprint == f"{root}:{''.join(mine)}" and got[k].edited_fingerprint == f"{edited_root}:{''.join(theirs)}"
         assert got[k].near_edited == (like(mine, theirs) if mine or theirs else text == edited)
         assert got[k].near_next == (like(mine, other) if mine or other else text == after)
         assert got[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
     prints = spark.createDataFrame([(got[4].fingerprint, got[k].fingerprint) for k in (11, 12)], "a string, b string").coalesce(1)
-    near = [r[0] for r in prints.select(merkle.likeness(merkle.numbered(merkle.leaves_of(F.col("a"))), merkle.numbered(merkle.leaves_of(F.col("b"))))).collect()]
-    assert near[0] > 0.5 and near[1] > 0.8
+    near = [r[0] for r in prints.select(near_prints("a", "b")).collect()]
+    assert min(near) > 0.95
     assert len(merkle.compared(odd).collect()) == len(ODD)
 
 
+def near_prints(a, b):
+    mine, theirs = merkle.entries_of(F.col(a)), merkle.entries_of(F.col(b))
+    return merkle.likeness(merkle.numbered(mine), merkle.numbered(theirs), merkle.size_of(mine), merkle.size_of(theirs))
+
+
+def test_likeness_does_not_depend_on_where_an_edit_is(spark):
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) > 900").orderBy("doc_id").limit(40).collect()]
+    for n in (200, 400, 800):
+        rows = []
+        for text, other in zip(docs, docs[1:] + docs[:1], strict=True):
+            q, text = n // 4, text[:n]
+            rows.append((text, other[:q] + text[q:], text[: 3 * q // 2] + other[:q] + text[3 * q // 2 + q :], text[:-q] + other[:q]))
+        df = spark.createDataFrame(rows, "a string, head string, middle string, tail string").coalesce(2)
+        for c in ("a", "head", "middle", "tail"):
+            df = merkle.shown(df, c, f"{c}_")
+        near = [merkle.likeness(F.col("a_numbered"), F.col(f"{c}_numbered"), F.col("a_size"), F.col(f"{c}_size")) for c in ("head", "middle", "tail")]
+        means = df.select(*(F.avg(x) for x in near)).first()
+        assert max(means) - min(means) < 0.1 and 0.6 < min(means) and max(means) < 0.8, (n, means)
+
+
 def random_texts(n, seed=1):
     rng = random.Random(seed)
     signs = [chr(c) for c in range(1, 256)] + list("  \n''sstredvmll01.,!") + ["<|endoftext|>", "中", "é", " ", "Σ", "ſ", "İ"]
