@@ -35,9 +35,9 @@ empty result; extra columns are left out.
 
 from __future__ import annotations
 
+import json
 import math
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -159,18 +159,28 @@ def phrase_starts(tokens: Column, phrase: str) -> Column:
     return F.when(there, F.filter(F.sequence(F.lit(0), F.size(tokens) - len(parts)), at)).otherwise(none)
 
 
+def constants(templates: list[Template], rank: dict[str, int] | None = None) -> Column:
+    """The templates as one folded constant, their words in the order of `rank`:
+    the plan is as short for many as for one."""
+    rows = []
+    for t in templates:
+        own = sorted(t.words, key=rank.__getitem__) if rank else t.words
+        rows.append({"label": t.label, "own": own, "prefix": own[: len(own) - t.need + 1], "need": t.need, "span": t.span, "must": t.must, "without": t.without})
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<label:string,own:array<string>,prefix:array<string>,need:int,span:int,must:array<string>,without:array<string>>>")
+
+
+def holds(words: Column, some: Column) -> Column:
+    """Whether all of `some` are among the words."""
+    return F.size(F.array_intersect(some, words)) == F.size(some)
+
+
 def scanned(docs: DataFrame, templates: list[Template]) -> DataFrame:
     """doc_id, n_words, the starts of each phrase, held (the template words in
     the text) and words (null where no template's `need` is held), written once."""
     vocabulary = literal(sorted({w for t in templates for w in t.words}), "string")
     rows = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("words"))
     rows = rows.select("*", F.array_intersect(vocabulary, F.col("words")).alias("held"), *(phrase_starts(F.col("words"), p).alias(name) for p, name in PHRASES))
-    fits = F.lit(False)
-    for t in templates:
-        told = F.lit(True)
-        for w in t.must:
-            told = told & F.array_contains("held", w)
-        fits = fits | (told & (F.size(F.array_intersect(literal(t.words, "string"), F.col("held"))) >= t.need))
+    fits = F.exists(constants(templates), lambda t: holds(F.col("held"), t["must"]) & (F.size(F.array_intersect(t["own"], F.col("held"))) >= t["need"]))
     names = [name for _, name in PHRASES]
     return stored(rows.select("doc_id", F.size("words").cast("long").alias("n_words"), *names, "held", F.when(fits, F.col("words")).alias("words")))
 
@@ -182,53 +192,37 @@ def word_order(rows: DataFrame, templates: list[Template]) -> list[str]:
     return sorted({w for t in templates for w in t.words}, key=lambda w: (counts.get(w, 0), w))
 
 
-def passes(own: list[str], need: int) -> Callable[[Column], Column]:
-    """Whether a set of template words (in the global order) passes the prefix, length and positional filters."""
-    prefix = own[: len(own) - need + 1]
-    template = literal(own, "string")
-
-    def fits(held: Column) -> Column:
-        first = F.get(F.array_intersect(literal(prefix, "string"), held), F.lit(0))
-        # Words left from the first common one on, in the template and in the set.
-        left = F.least(F.lit(len(own) + 1) - F.array_position(template, first), F.size(held) + 1 - F.array_position(held, first))
-        return (F.size(held) >= need) & F.arrays_overlap(literal(prefix, "string"), held) & (left >= need)
-
-    return fits
+def passes(t: Column, held: Column) -> Column:
+    """Whether a set of template words (in the global order) passes the template's prefix, length and positional filters."""
+    first = F.get(F.array_intersect(t["prefix"], held), F.lit(0))
+    # Words left from the first common one on, in the template and in the set.
+    left = F.least(F.size(t["own"]) + 1 - F.array_position(t["own"], first), F.size(held) + 1 - F.array_position(held, first))
+    return (F.size(held) >= t["need"]) & F.arrays_overlap(t["prefix"], held) & (left >= t["need"]) & holds(held, t["must"])
 
 
-def best_share(own: list[str], need: int, span: int, must: list[str], without: list[str]) -> Callable[[Column], Column]:
+def best_share(t: Column, tokens: Column) -> Column:
     """The largest share of the template's words in `span` consecutive words (fewer
     before one of `without`) that hold all of `must`, null if none reaches `need`."""
-    template, prefix = literal(own, "string"), literal(own[: len(own) - need + 1], "string")
-
-    def share(tokens: Column) -> Column:
-        def places(words: Column) -> Column:
-            return F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.array_contains(words, F.get(tokens, i)))
-
-        def common(hits: Column, barred: Column) -> Column:
-            # A best run may as well begin with one of the template's words and reach `need` of them.
-            starts = F.transform(F.filter(F.sequence(F.lit(0), F.size(hits) - need), lambda k: F.get(hits, k + (need - 1)) - F.get(hits, k) < span), lambda k: F.get(hits, k))
 
-            def run(start: Column) -> Column:
-                end = F.coalesce(F.array_min(F.filter(barred, lambda p: p >= start)), F.size(tokens))
-                return F.slice(tokens, start + 1, F.least(F.lit(span), end - start))
+    def places(words: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.array_contains(words, F.get(tokens, i)))
 
-            def sound(run: Column) -> Column:
-                ok = F.arrays_overlap(prefix, run)
-                for w in must:
-                    ok = ok & F.array_contains(run, w)
-                return ok
+    def common(hits: Column, barred: Column) -> Column:
+        # A best run may as well begin with one of the template's words and reach `need` of them.
+        close = F.filter(F.sequence(F.lit(0), F.size(hits) - t["need"]), lambda k: F.get(hits, k + (t["need"] - 1)) - F.get(hits, k) < t["span"])
 
-            runs = F.filter(F.transform(starts, run), sound)
-            return F.array_max(F.transform(runs, lambda run: F.size(F.array_intersect(template, run))))
+        def run(k: Column) -> Column:
+            start = F.get(hits, k)
+            end = F.coalesce(F.array_min(F.filter(barred, lambda p: p >= start)), F.size(tokens))
+            return F.slice(tokens, start + 1, F.least(t["span"], end - start))
 
-        # The places are found once, as a list of one pair of lists.
-        barred = places(literal(without, "string")) if without else F.array().cast("array<int>")
-        lists = F.array(F.struct(places(template).alias("hits"), barred.alias("barred")))
-        most = F.get(F.transform(lists, lambda x: F.when(F.size(x["hits"]) >= need, common(x["hits"], x["barred"]))), F.lit(0))
-        return F.when(most >= need, most / F.lit(len(own)))
+        runs = F.filter(F.transform(close, run), lambda r: F.arrays_overlap(t["prefix"], r) & holds(r, t["must"]))
+        return F.array_max(F.transform(runs, lambda r: F.size(F.array_intersect(t["own"], r))))
 
-    return share
+    # The places are found once, as a list of one pair of lists.
+    lists = F.array(F.struct(places(t["own"]).alias("hits"), places(t["without"]).alias("barred")))
+    most = F.get(F.transform(lists, lambda x: F.when(F.size(x["hits"]) >= t["need"], common(x["hits"], x["barred"]))), F.lit(0))
+    return F.when(most >= t["need"], most / F.size(t["own"]))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -236,17 +230,13 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     templates = template_list(threshold)
     rows = scanned(docs, templates)
     order = word_order(rows, templates)
-    rank = {w: k for k, w in enumerate(order)}
+    known = constants(templates, {w: k for k, w in enumerate(order)})
     rows = rows.withColumn("starts", F.concat(*(F.col(name) for _, name in PHRASES)))
     rows = rows.withColumn("held", F.when(F.col("words").isNotNull(), F.array_intersect(literal(order, "string"), F.col("held"))))
-    best = []
-    for k, t in enumerate(templates):
-        own = sorted(t.words, key=rank.__getitem__)
-        found = F.when(passes(own, t.need)(F.col("held")), best_share(own, t.need, t.span, t.must, t.without)(F.col("words")))
-        rows = rows.withColumn(f"t{k}", found)
-        best.append((t.label, F.col(f"t{k}")))
+    found = F.transform(known, lambda t: F.struct(t["label"].alias("label"), F.when(passes(t, F.col("held")), best_share(t, F.col("words"))).alias("share")))
+    rows = rows.withColumn("found", F.when(F.col("words").isNotNull(), F.filter(found, lambda x: x["share"].isNotNull())))
     base = F.array(*(F.when(F.size(name) > 0, name) for _, name in PHRASES))
-    more = F.array(*(F.when(c.isNotNull(), F.lit(label)) for label, c in best))
+    more = F.coalesce(F.col("found")["label"], F.array().cast("array<string>"))
     n = F.size("starts")
 
     def joined(names: Column) -> Column:
@@ -260,7 +250,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.array_max("starts").cast("long").alias("last_word"),
         joined(base).alias("base_labels"),
         joined(F.concat(base, more)).alias("labels"),
-        F.coalesce(F.greatest(F.when(n > 0, 1.0), *(c for _, c in best)), F.lit(0.0)).alias("score"),
+        F.coalesce(F.greatest(F.when(n > 0, 1.0), F.array_max(F.col("found")["share"])), F.lit(0.0)).alias("score"),
     )
 
 

@@ -193,7 +193,7 @@ def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(table(spark, sf_dir, "documents"))
 
 
-_ENTRIES = "list_transform(regexp_extract_all({0}, '{1}'), lambda x: sha256(x)[1:5] || chr(96 + length(x)))"
+_ENTRIES = "list_transform(regexp_extract_all({0}, '{1}'), lambda x: sha256(x)[1:5] || chr(CAST(96 + length(x) AS INTEGER)))"
 _TREE = r"list_transform(string_split({0}, E'\n\n'), lambda s: list_transform(string_split(s, E'\n'), lambda p: sha256(array_to_string(list_transform(regexp_extract_all(p, '{1}'), lambda x: sha256(x)), ''))))"
 OP3_SQL = rf"""
 WITH d AS (
