@@ -3,8 +3,9 @@
 build_network and degrees scale with the co-occurrence table. The walks over a
 whole graph (betweenness, closeness, communities, paths) are asked for on a
 network that build_network has cut to max_edges; they check that bound
-(MOST_EDGES) and run on it, betweenness and closeness spread over sources.
-PageRank and label propagation are DataFrame iterations without a bound.
+(MOST_EDGES) and run on it, betweenness and closeness spread over sources. Beyond
+it these two go through waves of joins (waves.py). PageRank and label propagation
+are DataFrame iterations without a bound.
 """
 
 from __future__ import annotations
@@ -123,11 +124,18 @@ def hops(graph: dict, source: str) -> tuple[int, int]:
     return len(seen) - 1, total
 
 
-def metrics(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
+def metrics(edges: DataFrame, most: int = MOST_EDGES, pivots: int | None = None) -> DataFrame:
     """term, degree, pagerank, betweenness (weights as lengths, normalized), closeness (by edges, scaled by component).
 
-    Every source is one unit of work over the broadcast, bounded graph.
+    Up to `most` edges every source is one unit of work over the broadcast
+    graph. Larger networks go through waves of joins (see waves), with
+    betweenness from `pivots` sources, or from all.
     """
+    if edges.limit(most + 1).count() > most:
+        from . import waves
+
+        wide = degrees(edges).join(pagerank(edges), "term").join(waves.betweenness(edges, pivots=pivots), "term").join(waves.closeness(edges), "term")
+        return wide.select("term", "degree", *(F.round(c, 6).alias(c) for c in ("pagerank", "betweenness", "closeness")))
     graph = neighbours(bounded(edges, most))
     spark, n = edges.sparkSession, len(graph)
     shared = spark.sparkContext.broadcast(graph)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text, values
-from .operators import dictionary, features, graph, models, relational, segmentation, stats, technology
+from .operators import deltas, dictionary, features, graph, models, relational, segmentation, stats, technology
 from .operators import phrases as phrase_search
 from .plans import executors, governance, workflow
 from .sinks import writers
@@ -760,6 +760,22 @@ def cluster_evaluation(spark, d):
 # --- governance ----------------------------------------------------------------------------
 
 
+@query("incremental_frequency", SQL["frequency"])
+def incremental_frequency(spark, d):
+    """The frequency table from an older state of the corpus and signed deltas:
+    since then documents were edited (every seventh), added and deleted."""
+    now = corpus(spark, d)
+    short = F.when(F.col("row_order") % 7 == 0, F.substring("raw_text", 1, 200)).otherwise(F.col("raw_text"))
+    once = now.where("row_order % 11 <> 0").withColumn("raw_text", short)
+    deleted = now.where("row_order % 13 = 0").withColumn("doc_id", F.concat(F.lit("gone"), "doc_id"))
+    tokens = lambda c: stats.filter_terms(c.withColumn("tokens", text.tokenize(text.normalize(text.clean(F.col("raw_text")))))).select("doc_id", stats.TOKENS, "year", "institution")
+    before = stored(tokens(once.unionByName(deleted)))
+    tables = deltas.summaries(before)
+    out, into = deltas.versions(before, stored(tokens(now)))
+    found = deltas.frequency(deltas.updated(tables, out, into)["terms"])
+    return found.withColumn("ratio", F.round("ratio", 12)).withColumn("avg_per_doc", F.round("avg_per_doc", 9))
+
+
 @query("incremental_changed", "SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 0")
 def incremental_changed(spark, d):
     now = corpus(spark, d).withColumn("raw_hash", F.md5(F.col("raw_text").cast("binary")))
