@@ -17,6 +17,7 @@ from .functions import text, values
 from .operators import deltas, dictionary, features, graph, models, relational, segmentation, stats, technology
 from .operators import phrases as phrase_search
 from .plans import executors, governance, workflow
+from .schemas import DICTIONARY
 from .sinks import writers
 from .sources import mapping
 from .storage import checkpoint_folder, stored
@@ -362,10 +363,24 @@ def audit_summary(spark, d):
     return dictionary.audit_summary(ruled(spark, d)[1])
 
 
-@query("dictionary_overlay", "SELECT * FROM (VALUES ('standard_terms', 'the', 'determiner'), ('synonym_map', 'und', 'and'), ('near_synonym_map', 'les', 'le'), ('standard_terms', 'el', 'article'), ('synonym_map', 'the', 'shadowed'), ('synonym_map', 'est', 'is')) t(kind, source, target)")
+@query("dictionary_overlay", f"""WITH {FILTERED}, words AS (
+  SELECT term, ['standard_terms', 'synonym_map', 'stopwords'][length(term) % 3 + 1] AS kind FROM ex GROUP BY term HAVING count(*) >= 2
+), own AS (
+  SELECT kind, term AS source, CASE WHEN starts_with(term, 't') THEN term || '_late' ELSE reverse(term) END AS target FROM words WHERE kind <> 'stopwords'
+), over_(kind, source, target) AS (
+  VALUES ('standard_terms', 'the', 'determiner'), ('synonym_map', 'und', 'and')
+)
+SELECT * FROM over_ UNION ALL SELECT * FROM own WHERE (kind, source) NOT IN (SELECT kind, source FROM over_)""")
 def dictionary_overlay(spark, d):
-    own = dictionary.select_tables(dictionary.entries(spark, ENTRIES), ["Standard_Terms", "synonym_map", "near_synonym_map"])
-    over = dictionary.overlay(own, "standard_terms|THE|determiner|true\nsynonym_map|est|is|true\nsynonym_map|x|y|false")
+    """A dictionary of all terms that occur twice, some of them twice over, with lines laid over it."""
+    words = stats.exploded(filtered(spark, d), "doc_id").groupBy("term").agg(F.count("*").alias("n")).where("n >= 2")
+    kind = F.get(F.array(*map(F.lit, ("standard_terms", "synonym_map", "stopwords"))), F.length("term") % 3)
+    first = words.select(kind.alias("kind"), F.col("term").alias("source"), F.reverse("term").alias("target"), F.lit(0).cast("long").alias("ordinal"))
+    later = words.where("term like 't%'").select(kind.alias("kind"), F.upper("term").alias("source"), F.concat("term", F.lit("_late")).alias("target"), F.lit(1).cast("long").alias("ordinal"))
+    rows = first.unionByName(later).withColumns({"enabled": F.lit(True), "table_id": F.col("kind"), "collection": F.lit("project")})
+    entries = rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in DICTIONARY.fields))
+    own = dictionary.select_tables(entries, ["Standard_Terms", "synonym_map"])
+    over = dictionary.overlay(own, "standard_terms|THE|determiner|true\nsynonym_map|und|and|true\nsynonym_map|x|y|false")
     return dictionary.rule_table(over)
 
 

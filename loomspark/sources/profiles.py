@@ -127,6 +127,22 @@ class Template:
         return "sha256:" + hashlib.sha256(plain.encode()).hexdigest()
 
 
+def saved(spec: Template, name: str) -> str:
+    """An import specification as JSON, under a name and with its fingerprint."""
+    return json.dumps({"name": name, "fingerprint": spec.fingerprint(), "specification": asdict(spec)}, ensure_ascii=False, indent=2)
+
+
+def restored(text: str) -> Template:
+    """The specification of such a JSON text; ValueError if its settings don't have its fingerprint."""
+    whole = json.loads(text)
+    plain = whole["specification"]
+    rules = tuple(Rule(r["target"], tuple(r["names"]), r["required"]) for r in plain["rules"])
+    spec = Template(plain["profile"], rules, tuple(plain["text"]), plain["delimiter"], plain["skip_empty"])
+    if spec.fingerprint() != whole["fingerprint"]:
+        raise ValueError(f"the import specification {whole.get('name')} was changed")
+    return spec
+
+
 def parse(text: str, profile: str = "generic", **options) -> Template:
     """A template from rule lines."""
     rules, parts = [], ()
