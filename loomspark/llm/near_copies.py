@@ -145,17 +145,18 @@ def possible(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame
 def confirmed(pairs: DataFrame, own: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = np.zeros(len(b), bool)
-            for k, (x, y) in enumerate(zip(b["x"], b["y"], strict=True)):
-                s, t = shingles(x, width), shingles(y, width)
+            # Texts leave the Arrow batch one pair at a time: a batch of long ones is held once.
+            left, right, ok = b.column("x"), b.column("y"), np.zeros(b.num_rows, bool)
+            for k in range(b.num_rows):
+                s, t = shingles(left[k].as_py(), width), shingles(right[k].as_py(), width)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 ok[k] = both >= similarity * (len(s) + len(t) - both) - 1e-9
-            yield b.loc[ok, ["a", "b"]]
+            yield b.select(["a", "b"]).filter(pa.array(ok))
 
     left, right = (own.select(F.col("key").alias(k), F.col("text").alias(t)) for k, t in (("a", "x"), ("b", "y")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def seeds(found: DataFrame, edges: DataFrame) -> DataFrame:
