@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from .common import dropped, joined_hot, parts, record_batch, stored, table
+from .common import dropped, joined_hot, parts, stored, table
 
 #: Turns of a block; signs of a joined string of ids.
 BLOCK, PIECE = 1024, 1 << 16
