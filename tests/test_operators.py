@@ -162,3 +162,10 @@ def test_technology_order(spark):
     rows = spark.createDataFrame([("b", 0.5, 0.2), ("a", 0.5, 0.2), ("c", 0.5, 0.9), ("d", 0.9, 0.1), ("e", None, 1.0)], "term string, novelty_score double, disruption_score double")
     assert [r.term for r in technology.ranked(rows).collect()] == ["d", "c", "a", "b", "e"]
     assert [r.term for r in technology.ranked(rows, 2).collect()] == ["d", "c"]
+
+
+def test_sample_ratio_rounds_halves_up(spark):
+    # A quarter of 10 rows is 2.5: three, as SQL rounds it.
+    rows = spark.range(10).select(F.col("id").cast("string").alias("doc_id"))
+    assert relational.sample(rows, ratio=0.25).count() == 3
+    assert relational.sample(rows, ratio=0.2).count() == 2
