@@ -19,8 +19,10 @@ ones; the sample steers only the cost, any order gives the same links.
 Links are wanted for components only. So after the SimHash links each set is
 compared with one head of the groups of its shingles (STARS rounds, with other
 heads each); then all pairs that share a prefix shingle and are not yet in one
-component are. Large groups of near
-copies thus cost no pairs of their own, and equal sets meet as one. Shingles of
+component are, as far as bit maps of both sets, which go along, show few enough
+differences. Large groups of near
+copies thus cost no pairs of their own, equal sets meet as one, and of shingles
+that the very same sets hold one is looked at. Shingles of
 very many rows are counted by partial aggregation and joined by broadcast.
 """
 
@@ -41,7 +43,7 @@ from .common import dropped, extended, joined_hot, stored, texts
 from .components import components
 
 WIDTH, SIMILARITY, SEED = 5, 0.8, 42
-SAMPLE_ROWS, COMMON_ROWS, COMMON, STARS, LONGS = 4000, 2, 100_000, 2, 8
+SAMPLE_ROWS, COMMON_ROWS, COMMON, STARS, LONGS = 4000, 2, 100_000, 2, 16
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -133,17 +135,22 @@ def sets(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     return told_apart(found)
 
 
+def near_enough(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two sets (structs with size and odd) may differ in few enough
+    shingles: every bit of `odd` that differs stands for one that only one has."""
+    differing = sum((F.bit_count(F.get(a["odd"], F.lit(k)).bitwiseXOR(F.get(b["odd"], F.lit(k)))) for k in range(LONGS)), F.lit(0))
+    return differing <= (1 - similarity) / (1 + similarity) * (a["size"] + b["size"]) + 1e-6
+
+
 def possible(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets may differ in few enough shingles: every bit
-    of `odd` that differs stands for one shingle at least that only one has."""
-    left, right = (found.select(F.col("key").alias(k), F.col("size").alias(f"{k}_size"), F.col("odd").alias(f"{k}_odd")) for k in "ab")
-    differing = sum((F.bit_count(F.get(F.col("a_odd"), F.lit(k)).bitwiseXOR(F.get(F.col("b_odd"), F.lit(k)))) for k in range(LONGS)), F.lit(0))
-    most = (1 - similarity) / (1 + similarity) * (F.col("a_size") + F.col("b_size")) + 1e-6
-    return pairs.join(left, "a").join(right, "b").where(differing <= most).select("a", "b")
+    """The pairs (a, b) whose sets may differ in few enough shingles."""
+    left, right = (found.select(F.col("key").alias(k), F.struct("size", "odd").alias(f"{k}_set")) for k in "ab")
+    return pairs.join(left, "a").join(right, "b").where(near_enough(F.col("a_set"), F.col("b_set"), similarity)).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, own: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough."""
+def confirmed(pairs: DataFrame, docs: DataFrame, found: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar enough. Only texts of these
+    pairs leave the documents; the tables stored tell Spark how few they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,8 +162,28 @@ def confirmed(pairs: DataFrame, own: DataFrame, width: int, similarity: float) -
                 ok[k] = both >= similarity * (len(s) + len(t) - both) - 1e-9
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
+    pairs = stored(possible(pairs, found, similarity))
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    marks = stored(found.join(keys, "key").select("key", F.col("best.mark").alias("mark")))
+    own = docs.select("text", row_mark(docs).alias("mark")).join(marks, "mark").dropDuplicates(["mark"])
     left, right = (own.select(F.col("key").alias(k), F.col("text").alias(t)) for k, t in (("a", "x"), ("b", "y")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    out = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"))
+    dropped(pairs, marks)
+    return out
+
+
+def told_once(held: DataFrame, total: int) -> DataFrame:
+    """The rows (key, size, place, shingle) of one shingle for all that the very
+    same sets hold: the first in the global order. A passage is many shingles of
+    the same sets; two sets' first common shingle is always the one that stays,
+    for the shingles before it have other sets."""
+    mark = (F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"m{k}") for k in (1, 2))
+    # Of two shingles with the same sets the first in the order has the smaller place in each.
+    members = held.groupBy("shingle").agg(F.count("*").alias("n"), *mark, F.min("place").alias("place"))
+    first = stored(members.groupBy("n", "m1", "m2").agg(F.min(F.struct("place", "shingle")).alias("first")).select("first.shingle", "n"))
+    out = stored(joined_hot(held, first, "shingle", "n", total))
+    dropped(first)
+    return out
 
 
 def seeds(found: DataFrame, edges: DataFrame) -> DataFrame:
@@ -177,10 +204,10 @@ def links(docs: DataFrame, found: DataFrame, first: DataFrame, width: int = WIDT
     counts = places.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     counts = stored(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0
-    shared = stored(joined_hot(places, counts, "shingle", "n", total))
-    rows = found.join(shared.select("key").distinct(), "key").select("key", F.col("best.mark").alias("mark"))
-    own = docs.select("text", row_mark(docs).alias("mark")).join(rows, "mark").dropDuplicates(["mark"])
-    own = stored(own.select("key", "text"))
+    held = stored(joined_hot(places, counts, "shingle", "n", total))
+    shared = told_once(held, total)
+    dropped(held, counts)
+    total = shared.count()
 
     def fits(a: str, b: str) -> Column:
         need = similarity / (1 + similarity) * (F.col(f"{a}.size") + F.col(f"{b}.size")) - 1e-9
@@ -189,7 +216,7 @@ def links(docs: DataFrame, found: DataFrame, first: DataFrame, width: int = WIDT
     me = F.struct("key", "size", "place", "root")
     pair = [F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b")]
     pairs = stored(first)
-    tried, edges = [pairs], [stored(confirmed(possible(pairs, found, similarity), own, width, similarity))]
+    tried, edges = [pairs], [confirmed(pairs, docs, found, width, similarity)]
     for k in range(STARS + 1):
         group = components(functools.reduce(DataFrame.unionByName, edges))
         named = shared.join(group, shared["key"] == group["node"], "left").select(shared["*"], F.coalesce("root", "key").alias("root"))
@@ -202,13 +229,15 @@ def links(docs: DataFrame, found: DataFrame, first: DataFrame, width: int = WIDT
             pairs = pairs.where((F.col("p.root") != F.col("q.root")) & fits("p", "q"))
             pairs = pairs.groupBy(F.col("p.key").alias("__key")).agg(F.min_by(F.struct("p", "q"), F.struct(F.xxhash64("q.key", F.lit(k)), "q.key")).alias("x")).select("x.p", "x.q")
         else:
-            named = stored(joined_hot(named, spread.drop("q"), "shingle", "n", total))
-            pairs = named.select("shingle", me.alias("p")).join(named.select("shingle", me.alias("q")), "shingle").where("p.root < q.root")
+            named = joined_hot(named, spread.drop("q"), "shingle", "n", total)
+            named = stored(named.join(found.select("key", "odd"), "key").select("shingle", F.struct("key", "size", "place", "root", "odd").alias("p")))
+            pairs = named.join(named.select("shingle", F.col("p").alias("q")), "shingle").where("p.root < q.root").where(near_enough(F.col("p"), F.col("q"), similarity))
         pairs = pairs.where((F.col("p.root") != F.col("q.root")) & fits("p", "q")).select(*pair).distinct()
         for old in tried:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         tried.append(pairs := stored(pairs))
-        edges.append(stored(confirmed(possible(pairs, found, similarity), own, width, similarity)))
+        edges.append(confirmed(pairs, docs, found, width, similarity))
+        dropped(spread, *([named] if k == STARS else []))
     out = stored(functools.reduce(DataFrame.unionByName, edges))
-    dropped(shared, counts, own, *tried, *edges)
+    dropped(shared, *tried, *edges)
     return out

@@ -100,6 +100,13 @@ def test_near_copies_by_similarity(spark):
     assert [r.doc_id for r in simhash.deduplicated(spark.createDataFrame(pairs, df.schema)).collect()] == [k for k in brute_kept(pairs)] == [0, 3]
 
 
+def test_near_copies_look_once_at_a_passage(spark):
+    # Sets 1 and 2 hold a passage of three shingles, 1 and 3 another one; 2, 3 and 4 hold one alike.
+    held = [(k, 9, place, shingle) for k, own in ((1, [-5, 7, 8, 9, 30]), (2, [-5, 7, 8, 40]), (3, [9, 30, 40]), (4, [40])) for place, shingle in enumerate(own)]
+    once = near_copies.told_once(spark.createDataFrame(held, "key bigint, size int, place int, shingle bigint"), len(held))
+    assert sorted((r.shingle, r.key, r.place) for r in once.collect()) == [(-5, 1, 0), (-5, 2, 0), (9, 1, 3), (9, 3, 0), (40, 2, 3), (40, 3, 2), (40, 4, 0)]
+
+
 def test_near_copies_of_null_and_repeated_ids(spark):
     rng = random.Random(10)
     texts = [" ".join(rng.choices([f"u{k}" for k in range(200)], k=60)) for _ in range(12)]
