@@ -126,3 +126,20 @@ def test_a_corpus_without_cjk_is_left_alone(spark):
     df = spark.createDataFrame([(1, ["ab"]), (2, None)], "doc_id bigint, tokens array<string>")
     assert segmentation.segmented(df, "tokens") is df
     assert nats(1.0) == 0
+
+
+def test_grams_are_counted_over_windows(monkeypatch):
+    # Windows end inside runs, and more letters than fit into a number halve them.
+    monkeypatch.setattr(segmentation, "WINDOW", 7)
+    runs, times = ["".join(chr(0x4E00 + (7 * k + s) % 23) for k in range(23 + s)) for s in range(5)], [1, 3, 1, 2, 5]
+    want = Counter()
+    for run, n in zip(runs, times, strict=True):
+        for k in range(1, 6):
+            for i in range(len(run) - k + 1):
+                want[run[i : i + k]] += n
+    for longest in (5, 15):
+        got = Counter()
+        for found, n in segmentation.counted_grams(runs, times, longest):
+            for g, m in zip(found.tolist(), n.tolist(), strict=True):
+                got[g] += m
+        assert {g: n for g, n in got.items() if len(g) <= 5} == want
