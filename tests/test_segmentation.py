@@ -143,3 +143,10 @@ def test_grams_are_counted_over_windows(monkeypatch):
             for g, m in zip(found.tolist(), n.tolist(), strict=True):
                 got[g] += m
         assert {g: n for g, n in got.items() if len(g) <= 5} == want
+
+
+def test_long_stretches_are_tagged_in_proportion():
+    # Paths are traced back instead of carried along as strings.
+    model = Model.learnt({"ab": 3, "cde": 2}, dict.fromkeys("abcdefgh", 50))
+    run = "".join(random.Random(3).choices("abcdefgh", k=200_000))
+    assert "".join(model.cut(run)) == run
