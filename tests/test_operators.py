@@ -169,3 +169,31 @@ def test_sample_ratio_rounds_halves_up(spark):
     rows = spark.range(10).select(F.col("id").cast("string").alias("doc_id"))
     assert relational.sample(rows, ratio=0.25).count() == 3
     assert relational.sample(rows, ratio=0.2).count() == 2
+
+
+def test_yake_compares_closely_only_what_may_be_alike(monkeypatch):
+    from loomspark.operators import yake
+
+    calls = []
+    plain = yake.SequenceMatcher.ratio
+    monkeypatch.setattr(yake.SequenceMatcher, "ratio", lambda self: calls.append(1) or plain(self))
+    words = " ".join("abcdefghij"[k % 10] * (k % 7 + 2) + "klmnopqrst"[k // 10] * (k % 5 + 2) for k in range(100))
+    assert len(yake.extract(words, 30, frozenset())) == 30
+    assert len(calls) < 200  # all pairs: some thousands
+    assert [g for g, _ in yake.extract("battery recycling. battery recyclinx. policy", 9, frozenset(), width=2)].count("battery recyclinx") <= 1
+
+
+def test_counted_pairs_are_the_pairs_of_the_windows(spark):
+    docs = [["b", "a", "b", "é", "z", "a"], [], ["a"], ["x", "x", "x"], ["z", "Z", "z", "\U0001f600", "￿"]]
+    df = spark.createDataFrame([(d,) for d in docs], "filtered_tokens array<string>").coalesce(1)
+    for width in (2, 3, 5):
+        plain = df.select(F.explode(stats.window_pairs(F.col("filtered_tokens"), width)).alias("p")).select("p.a", "p.b")
+        want = Counter((r.a, r.b) for r in plain.collect())
+        got = {(r.term_a, r.term_b): r.cooccurrence_count for r in stats.cooccurrence(df, width, 1).collect()}
+        assert got == dict(want)
+        column = df.toArrow().column(0).combine_chunks()
+        sums = Counter()
+        for a, b, n in stats.counted_pairs(column, width):
+            for x, y, m in zip(a.to_pylist(), b.to_pylist(), n.tolist(), strict=True):
+                sums[x, y] += m
+        assert sums == want
