@@ -197,3 +197,11 @@ def test_counted_pairs_are_the_pairs_of_the_windows(spark):
             for x, y, m in zip(a.to_pylist(), b.to_pylist(), n.tolist(), strict=True):
                 sums[x, y] += m
         assert sums == want
+
+
+def test_term_document_shuffles_documents_once(corpus):
+    found = stats.term_document(corpus.unionByName(corpus))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")  # the terms are made behind it
+    assert {(r.doc_id, r.term): r.term_count_in_doc for r in found.collect()} == {(d, t): 2 * n for d, *_, tokens in DOCS for t, n in Counter(tokens).items()}
