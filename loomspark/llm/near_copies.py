@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, extended, joined_hot, stored, texts
+from .common import HOT, dropped, extended, joined_hot, stored, texts
 from .components import components
 
 WIDTH, SIMILARITY, SEED = 5, 0.8, 42
@@ -172,6 +172,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, found: DataFrame, width: int, s
     return out
 
 
+def joined_shingles(left: DataFrame, right: DataFrame, total: int) -> DataFrame:
+    """joined_hot by shingle with a stored `right` that counts left's rows as n.
+    The keys broadcast are fewer than HOT, so the other rows are told from a list
+    of them, by no join; where no key is that common there is but one join."""
+    hot = right.where(F.col("n") * HOT > total).drop("n")
+    common = [r["shingle"] for r in hot.select("shingle").collect()]
+    rest = left.where(~F.col("shingle").isin(common)).join(right.where(F.col("n") * HOT <= total).drop("n").hint("merge"), "shingle")
+    return left.join(F.broadcast(hot), "shingle").unionByName(rest) if common else rest
+
+
 def told_once(held: DataFrame, total: int) -> DataFrame:
     """The rows (key, size, place, shingle) of one shingle for all that the very
     same sets hold: the first in the global order. A passage is many shingles of
@@ -181,7 +191,7 @@ def told_once(held: DataFrame, total: int) -> DataFrame:
     # Of two shingles with the same sets the first in the order has the smaller place in each.
     members = held.groupBy("shingle").agg(F.count("*").alias("n"), *mark, F.min("place").alias("place"))
     first = stored(members.groupBy("n", "m1", "m2").agg(F.min(F.struct("place", "shingle")).alias("first")).select("first.shingle", "n"))
-    out = stored(joined_hot(held, first, "shingle", "n", total))
+    out = stored(joined_shingles(held, first, total))
     dropped(first)
     return out
 
@@ -204,7 +214,7 @@ def links(docs: DataFrame, found: DataFrame, first: DataFrame, width: int = WIDT
     counts = places.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     counts = stored(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0
-    held = stored(joined_hot(places, counts, "shingle", "n", total))
+    held = stored(joined_shingles(places, counts, total))
     shared = told_once(held, total)
     dropped(held, counts)
     total = shared.count()
@@ -224,12 +234,12 @@ def links(docs: DataFrame, found: DataFrame, first: DataFrame, width: int = WIDT
         spread = named.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(me, order).alias("q"), F.count("*").alias("n"))
         spread = stored(spread.where("low <> high").drop("low", "high"))
         if k < STARS:
-            pairs = joined_hot(named.select("shingle", me.alias("p")), spread, "shingle", "n", total)
+            pairs = joined_shingles(named.select("shingle", me.alias("p")), spread, total)
             # One head a set: as many pairs as sets, however large the groups are.
             pairs = pairs.where((F.col("p.root") != F.col("q.root")) & fits("p", "q"))
             pairs = pairs.groupBy(F.col("p.key").alias("__key")).agg(F.min_by(F.struct("p", "q"), F.struct(F.xxhash64("q.key", F.lit(k)), "q.key")).alias("x")).select("x.p", "x.q")
         else:
-            named = joined_hot(named, spread.drop("q"), "shingle", "n", total)
+            named = joined_shingles(named, spread.drop("q"), total)
             named = stored(named.join(found.select("key", "odd"), "key").select("shingle", F.struct("key", "size", "place", "root", "odd").alias("p")))
             pairs = named.join(named.select("shingle", F.col("p").alias("q")), "shingle").where("p.root < q.root").where(near_enough(F.col("p"), F.col("q"), similarity))
         pairs = pairs.where((F.col("p.root") != F.col("q.root")) & fits("p", "q")).select(*pair).distinct()
