@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import extended, free_name, joined_hot, stored, table, texts
+from .common import extended, free_name, joined_hot, small_batches, stored, table, texts
 from .components import components
 
 RADIUS, SHINGLE = 4, 4
@@ -257,6 +257,7 @@ def deduplicated(docs: DataFrame, width: int = near_copies.WIDTH, similarity: fl
     for every component; of a component's rows with the same smallest doc_id the
     one with the smallest hash stays.
     """
+    small_batches(docs.sparkSession)
     found = near_copies.sets(docs, width, similarity)
     first = near_copies.seeds(found, stored(similar(stored(found.select("fp").distinct()))))
     group = components(near_copies.links(docs, found, first, width, similarity))
