@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, dropped, extended, joined_hot, stored, texts
+from .common import HOT, dropped, extended, joined_hot, released, stored, texts
 from .components import components
 
 WIDTH, SIMILARITY, SEED = 5, 0.8, 42
@@ -131,6 +131,7 @@ def sets(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     rows = docs.select("doc_id", "text", row_mark(docs).alias("mark"))
     rows = extended(rows, ["doc_id", "mark"], made, "key bigint, key2 bigint, size int, prefix array<bigint>, odd array<bigint>, fp bigint")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("best")
+    released(docs.sparkSession)
     found = stored(rows.groupBy("key", "key2").agg(*(F.any_value(c).alias(c) for c in ("size", "prefix", "odd", "fp")), best))
     return told_apart(found)
 
@@ -213,10 +214,13 @@ def links(docs: DataFrame, found: DataFrame, first: DataFrame, width: int = WIDT
     places = found.select("key", "size", F.posexplode("prefix").alias("place", "shingle"))
     counts = places.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     counts = stored(counts)
+    released(docs.sparkSession)
     total = counts.agg(F.sum("n")).first()[0] or 0
     held = stored(joined_shingles(places, counts, total))
+    released(docs.sparkSession)
     shared = told_once(held, total)
     dropped(held, counts)
+    released(docs.sparkSession)
     total = shared.count()
 
     def fits(a: str, b: str) -> Column:
@@ -229,6 +233,7 @@ def links(docs: DataFrame, found: DataFrame, first: DataFrame, width: int = WIDT
     tried, edges = [pairs], [confirmed(pairs, docs, found, width, similarity)]
     for k in range(STARS + 1):
         group = components(functools.reduce(DataFrame.unionByName, edges))
+        released(docs.sparkSession)
         named = shared.join(group, shared["key"] == group["node"], "left").select(shared["*"], F.coalesce("root", "key").alias("root"))
         order = F.struct(F.xxhash64("key", F.lit(k)), "key")
         spread = named.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(me, order).alias("q"), F.count("*").alias("n"))
@@ -248,6 +253,7 @@ def links(docs: DataFrame, found: DataFrame, first: DataFrame, width: int = WIDT
         tried.append(pairs := stored(pairs))
         edges.append(confirmed(pairs, docs, found, width, similarity))
         dropped(spread, *([named] if k == STARS else []))
+        released(docs.sparkSession)
     out = stored(functools.reduce(DataFrame.unionByName, edges))
     dropped(shared, *tried, *edges)
     return out

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import extended, free_name, joined_hot, small_batches, stored, table, texts
+from .common import extended, free_name, joined_hot, released, small_batches, stored, table, texts
 from .components import components
 
 RADIUS, SHINGLE = 4, 4
@@ -259,8 +259,11 @@ def deduplicated(docs: DataFrame, width: int = near_copies.WIDTH, similarity: fl
     """
     small_batches(docs.sparkSession)
     found = near_copies.sets(docs, width, similarity)
+    released(docs.sparkSession)
     first = near_copies.seeds(found, stored(similar(stored(found.select("fp").distinct()))))
+    released(docs.sparkSession)
     group = components(near_copies.links(docs, found, first, width, similarity))
+    released(docs.sparkSession)
     named = found.join(group, found["key"] == group["node"], "left").select(F.coalesce("root", "key").alias("root"), "best")
     mark = free_name("mark", docs.columns)
     kept = stored(named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.mark").alias(mark)))
